@@ -327,7 +327,7 @@ def number_rows(df: DataFrame, natural: Sequence[str], key: str, start: int | Co
 
     Rows are numbered within 4096 hash groups; the group offsets come from 4096 counts.
     """
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in natural])
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in natural])
     hashed = df.withColumn("_digest", F.md5(text)).withColumn(
         "_group", F.substring("_digest", 1, GROUP_DIGITS)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 PAYLOAD_SCHEMA = "received_at long, payload string, kind string"
 DISPATCH_SCHEMA = "t string, d string, seq long, received_at long, realtime boolean"
 # What one micro-batch may read. It also bounds what one key can bring to one task.
-BATCH_BYTES = "1g"
+BATCH_BYTES = 1 << 30
 
 
 def read_payloads(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -32,12 +32,12 @@ def write_payloads(df: DataFrame, path: str) -> None:
     documents.write.partitionBy("kind").mode("append").json(path)
 
 
-def read_dispatches(spark: SparkSession, path: str, batch_bytes: str = BATCH_BYTES, **options: str) -> DataFrame:
+def read_dispatches(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES, **options: str) -> DataFrame:
     """Stream of change events (t, d, seq, received_at, realtime) from JSON-lines files.
 
     A Kafka source with the same five columns gives the same plan.
     """
-    reader = spark.readStream.schema(DISPATCH_SCHEMA).option("maxBytesPerTrigger", batch_bytes)
+    reader = spark.readStream.schema(DISPATCH_SCHEMA).option("maxBytesPerTrigger", str(batch_bytes))
     for name, value in options.items():
         reader = reader.option(name, value)
     return reader.json(path)

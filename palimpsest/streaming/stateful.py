@@ -1,0 +1,279 @@
+"""Keyed stream operators on ``transformWithStateInPandas``.
+
+Each keeps one small state per key in RocksDB, so a micro-batch touches only the keys it has and
+never reads the archive. The processors are plain state machines over the rows of a key in order
+of ``seq``; what one key can bring at a time is bounded by the size of a micro-batch
+(``landing.read_dispatches``). Output is append-only, and what it means as a table is given by the
+batch functions named in each docstring.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructType
+
+from palimpsest.operators.capture import KEPT
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _transform(rows: DataFrame, key: Sequence[str], processor: StatefulProcessor, schema) -> DataFrame:
+    rows.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    return rows.groupBy(*key).transformWithStateInPandas(
+        processor, outputStructType=schema, outputMode="append", timeMode="none"
+    )
+
+
+def start_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream to a Parquet table, up to what has landed by now."""
+    return (
+        stream.writeStream.format("parquet").outputMode("append")
+        .option("path", path).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def _snapshot_processor(columns: list[str]) -> StatefulProcessor:
+    # Defined here so that executors get the class with the job and need no installed package.
+    class Snapshots(StatefulProcessor):
+        def init(self, handle):
+            self.last = handle.getValueState("last", "ts long, state string")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+            stored = self.last.get() if self.last.exists() else None
+            results = []
+            for ts, state in zip(batch["ts"], batch["_state"]):
+                if stored is None:
+                    result, stored = "first", (int(ts), state)
+                elif state == stored[1]:
+                    result = "same"
+                elif ts <= stored[0]:
+                    result = "rejected"
+                else:
+                    result, stored = "another", (int(ts), state)
+                results.append(result)
+            self.last.update(tuple(stored))
+            batch["result"] = results
+            yield batch.loc[batch["result"] != "same", columns]
+
+        def close(self):
+            pass
+
+    return Snapshots()
+
+
+def stream_snapshots(rows: DataFrame, key: Sequence[str], state: Sequence[str]) -> DataFrame:
+    """History rows and rejected rows of a stream of observations, in order of arrival.
+
+    ``rows``: key, ts, seq and any columns, of which ``state`` are compared. The result has
+    ``result`` (first, another or rejected). Where time goes with arrival it equals
+    ``capture.compact_snapshots``; a late equal row is dropped, a late different one is rejected.
+    """
+    fields = rows.schema.fields
+    schema = StructType(list(fields)).add("result", "string")
+    compared = rows.withColumn("_state", F.to_json(F.struct(*state), {"ignoreNullFields": "false"}))
+    return _transform(compared, key, _snapshot_processor(schema.fieldNames()), schema)
+
+
+def split_results(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(history rows, quarantine) of a stream with ``result``."""
+    kept = F.col("result").isin(*KEPT)
+    return stream.where(kept), stream.where(~kept)
+
+
+def _member_processor(columns: list[str], partial: list[str]) -> StatefulProcessor:
+    class Members(StatefulProcessor):
+        def init(self, handle):
+            fills = "".join(f", {c} boolean" for c in partial)
+            self.last = handle.getValueState("last", "ts long, present boolean, rest string" + fills)
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+            stored = tuple(self.last.get()) if self.last.exists() else None
+            kept, filled, results = [], {c: [] for c in partial}, []
+            own = {c: batch[c].tolist() for c in partial}
+            for i, (ts, gone, rest) in enumerate(zip(batch["ts"], batch["_leave"], batch["_rest"])):
+                values = []
+                for n, c in enumerate(partial):
+                    value = own[c][i]
+                    value = None if value is None or pd.isna(value) else bool(value)
+                    if gone:
+                        value = None
+                    elif value is None and stored is not None and stored[1]:
+                        value = stored[3 + n]
+                    values.append(value)
+                row = (not gone, None if gone else rest, *values)
+                if stored is None:
+                    result = "first"
+                elif row == stored[1:]:
+                    continue
+                else:
+                    result = "rejected" if ts <= stored[0] else "another"
+                if result != "rejected":
+                    stored = (int(ts), *row)
+                kept.append(i)
+                results.append(result)
+                for n, c in enumerate(partial):
+                    filled[c].append(values[n])
+            self.last.update(stored)
+            out = batch.iloc[kept].copy()
+            for c in partial:
+                out[c] = pd.array(filled[c], dtype="boolean")
+            out["result"] = results
+            yield out[columns]
+
+        def close(self):
+            pass
+
+    return Members()
+
+
+def stream_members(
+    rows: DataFrame,
+    state: Sequence[str],
+    *,
+    key: Sequence[str] = ("guild_id", "user_id"),
+    partial: Sequence[str] = ("deaf", "mute"),
+    joined: str = "joined_at",
+) -> DataFrame:
+    """Membership history of joins, updates, leaves and voice states (``capture.members_append``).
+
+    A row without a join time is a leave. ``state`` are the compared columns besides ``partial``.
+    """
+    schema = StructType(list(rows.schema.fields)).add("result", "string")
+    prepared = rows.withColumns({
+        "_leave": F.col(joined).isNull(),
+        "_rest": F.to_json(F.struct(joined, *state), {"ignoreNullFields": "false"}),
+    })
+    return _transform(prepared, key, _member_processor(schema.fieldNames(), list(partial)), schema)
+
+
+REACTION_LOG_SCHEMA = "message_id long, emoji string, type int, user_id long, start long, opened_seq long, end long"
+
+
+def _reaction_processor() -> StatefulProcessor:
+    class Reactions(StatefulProcessor):
+        def init(self, handle):
+            self.open = handle.getMapState(
+                "open", "emoji string, type int, user_id long", "start long, seq long"
+            )
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            message = int(key[0])
+            batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+            out = []
+            columns = [batch[c].tolist() for c in ("action", "emoji", "type", "user_id", "ts", "seq")]
+            for action, emoji, type_, user, ts, seq in zip(*columns):
+                if action == "clear":
+                    everything = emoji is None or pd.isna(emoji)
+                    # The keys are listed first, as the map must not change while it is read.
+                    closing = [k for k in self.open.keys() if everything or k[0] == emoji]
+                    for k in closing:
+                        start, opened = self.open.getValue(k)
+                        out.append((message, k[0], k[1], k[2], start, opened, int(ts)))
+                        self.open.removeKey(k)
+                    continue
+                k = (emoji, int(type_), int(user))
+                is_open = self.open.containsKey(k)
+                if action == "add" and not is_open:
+                    self.open.updateValue(k, (int(ts), int(seq)))
+                    out.append((message, *k, int(ts), int(seq), None))
+                elif action == "remove" and is_open:
+                    start, opened = self.open.getValue(k)
+                    out.append((message, *k, start, opened, int(ts)))
+                    self.open.removeKey(k)
+            frame = pd.DataFrame(
+                out, columns=["message_id", "emoji", "type", "user_id", "start", "opened_seq", "end"]
+            )
+            frame["end"] = frame["end"].astype("Int64")
+            yield frame
+
+        def close(self):
+            pass
+
+    return Reactions()
+
+
+def stream_reactions(log: DataFrame) -> DataFrame:
+    """Interval log of add, remove and clear events: a row when an interval opens, one when it closes.
+
+    ``intervals_from_log`` makes the intervals of it (``reactions.fold_reaction_log``).
+    """
+    rows = log.select(
+        "message_id", F.col("emoji").cast("string"), F.col("type").cast("int"), "user_id", "action", "ts", "seq"
+    )
+    return _transform(rows, ["message_id"], _reaction_processor(), REACTION_LOG_SCHEMA)
+
+
+def intervals_from_log(log: DataFrame) -> DataFrame:
+    return log.groupBy("message_id", "emoji", "type", "user_id", "start", "opened_seq").agg(
+        F.max("end").alias("end")
+    ).drop("opened_seq")
+
+
+EMOJI_LOG_SCHEMA = "guild_id long, id long, ts long, seq long, payload string, change string"
+
+
+def _list_processor() -> StatefulProcessor:
+    class Lists(StatefulProcessor):
+        def init(self, handle):
+            self.known = handle.getMapState("known", "id long", "ts long, state string, deleted boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            guild = int(key[0])
+            batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+            out = []
+            for ts, seq, ids, states in zip(batch["ts"], batch["seq"], batch["ids"], batch["states"]):
+                ts, seq, listed = int(ts), int(seq), set(int(i) for i in ids)
+                for k in list(self.known.keys()):
+                    at, state, deleted = self.known.getValue(k)
+                    if not deleted and k[0] not in listed:
+                        self.known.updateValue(k, (at, state, True))
+                        out.append((guild, int(k[0]), ts, seq, None, "deleted"))
+                for i, state in zip(ids, states):
+                    k = (int(i),)
+                    stored = self.known.getValue(k) if self.known.containsKey(k) else None
+                    if stored is None:
+                        change, deleted = "first", False
+                    elif stored[1] == state:
+                        continue
+                    else:
+                        change, deleted = ("another" if ts > stored[0] else "rejected"), stored[2]
+                    if change != "rejected":
+                        self.known.updateValue(k, (ts, state, deleted))
+                    out.append((guild, int(i), ts, seq, state, change))
+            yield pd.DataFrame(out, columns=["guild_id", "id", "ts", "seq", "payload", "change"])
+
+        def close(self):
+            pass
+
+    return Lists()
+
+
+def stream_id_list_sync(lists: DataFrame) -> DataFrame:
+    """Changes that complete lists bring: ``change`` is first, another, rejected or deleted.
+
+    ``lists``: guild_id, ts, seq, items (array of JSON documents with an id). Lists are complete,
+    so a known live item that is missing is deleted (``capture.sync_deletions``), then each item
+    is compared with its last state. The service bounds a list to a few hundred items.
+    """
+    rows = lists.select(
+        "guild_id", "ts", "seq",
+        F.transform("items", lambda i: F.get_json_object(i, "$.id").cast("long")).alias("ids"),
+        F.transform("items", lambda i: F.coalesce(F.to_json(F.try_parse_json(i)), i)).alias("states"),
+    )
+    return _transform(rows, ["guild_id"], _list_processor(), EMOJI_LOG_SCHEMA)
