@@ -125,11 +125,12 @@ def expression_permission(server: DataFrame, bot: str = "bot") -> DataFrame:
 
 def overwrites_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """Channels whose set of (target, allow, deny) differs."""
-    def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select("channel_id", "target_id", F.struct("allow", "deny").alias(side)).distinct()
-
-    both = named(old, "_old").join(named(new, "_new"), ["channel_id", "target_id"], "full_outer")
-    return both.where(~F.col("_old").eqNullSafe(F.col("_new"))).select("channel_id").distinct()
+    columns = ["channel_id", "target_id", "allow", "deny"]
+    both = old.select(*columns, F.lit(1).alias("_side")).unionByName(
+        new.select(*columns, F.lit(2).alias("_side"))
+    )
+    sides = both.groupBy(*columns).agg(F.bit_or("_side").alias("_sides"))
+    return sides.where(F.col("_sides") != 3).select("channel_id").distinct()
 
 
 # Options and their defaults. Fixed values of the archived service.

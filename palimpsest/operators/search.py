@@ -61,9 +61,13 @@ def search_phrase(postings: DataFrame, phrase: str | Sequence[str]) -> DataFrame
     """Ids of messages with the words at consecutive positions; one shuffle for any length."""
     words = _words([phrase] if isinstance(phrase, str) else phrase)
     column = {w: f"p{i}" for i, w in enumerate(sorted(set(words)))}
+
+    def shift(word: str, offset: int) -> Column:
+        return F.transform(column[word], lambda p: p - offset)
+
     starts = None
     for offset, word in enumerate(words):
-        shifted = F.transform(column[word], lambda p, o=offset: p - o)
+        shifted = shift(word, offset)
         starts = shifted if starts is None else F.array_intersect(starts, shifted)
     return _positions_by_word(postings, words).where(F.size(starts) > 0).select("id")
 

@@ -38,7 +38,21 @@ def start_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def _snapshot_processor(columns: list[str]) -> StatefulProcessor:
+# What only passes through travels as one JSON text: pandas would make floats of nullable ids.
+ROW = "row"
+
+
+def _with_row(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(ROW, F.to_json(F.struct(*rows.columns)))
+
+
+def _unpack(out: DataFrame, schema: StructType, *added: str) -> DataFrame:
+    return out.withColumn(ROW, F.from_json(ROW, schema)).select(
+        *[F.col(f"{ROW}.{c}").alias(c) for c in schema.fieldNames() if c not in added], *added
+    )
+
+
+def _snapshot_processor() -> StatefulProcessor:
     # Defined here so that executors get the class with the job and need no installed package.
     class Snapshots(StatefulProcessor):
         def init(self, handle):
@@ -50,7 +64,7 @@ def _snapshot_processor(columns: list[str]) -> StatefulProcessor:
             batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
             stored = self.last.get() if self.last.exists() else None
             results = []
-            for ts, state in zip(batch["ts"], batch["_state"]):
+            for ts, state in zip(batch["ts"], batch["compared"]):
                 if stored is None:
                     result, stored = "first", (int(ts), state)
                 elif state == stored[1]:
@@ -62,7 +76,7 @@ def _snapshot_processor(columns: list[str]) -> StatefulProcessor:
                 results.append(result)
             self.last.update(tuple(stored))
             batch["result"] = results
-            yield batch.loc[batch["result"] != "same", columns]
+            yield batch.loc[batch["result"] != "same", ["row", "result"]]
 
         def close(self):
             pass
@@ -77,10 +91,10 @@ def stream_snapshots(rows: DataFrame, key: Sequence[str], state: Sequence[str])
     ``result`` (first, another or rejected). Where time goes with arrival it equals
     ``capture.compact_snapshots``; a late equal row is dropped, a late different one is rejected.
     """
-    fields = rows.schema.fields
-    schema = StructType(list(fields)).add("result", "string")
-    compared = rows.withColumn("_state", F.to_json(F.struct(*state), {"ignoreNullFields": "false"}))
-    return _transform(compared, key, _snapshot_processor(schema.fieldNames()), schema)
+    compared = F.to_json(F.struct(*state), {"ignoreNullFields": "false"})
+    slim = _with_row(rows).select(*key, "ts", "seq", compared.alias("compared"), ROW)
+    out = _transform(slim, key, _snapshot_processor(), f"{ROW} string, result string")
+    return _unpack(out, rows.schema, "result")
 
 
 def split_results(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +103,7 @@ def split_results(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stream.where(kept), stream.where(~kept)
 
 
-def _member_processor(columns: list[str], partial: list[str]) -> StatefulProcessor:
+def _member_processor(partial: list[str]) -> StatefulProcessor:
     class Members(StatefulProcessor):
         def init(self, handle):
             fills = "".join(f", {c} boolean" for c in partial)
@@ -100,37 +114,31 @@ def _member_processor(columns: list[str], partial: list[str]) -> StatefulProcess
 
             batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
             stored = tuple(self.last.get()) if self.last.exists() else None
-            kept, filled, results = [], {c: [] for c in partial}, []
-            own = {c: batch[c].tolist() for c in partial}
-            for i, (ts, gone, rest) in enumerate(zip(batch["ts"], batch["_leave"], batch["_rest"])):
-                values = []
-                for n, c in enumerate(partial):
-                    value = own[c][i]
-                    value = None if value is None or pd.isna(value) else bool(value)
-                    if gone:
-                        value = None
-                    elif value is None and stored is not None and stored[1]:
-                        value = stored[3 + n]
-                    values.append(value)
-                row = (not gone, None if gone else rest, *values)
+            out = []
+            own = [batch[c].tolist() for c in partial]
+            for ts, gone, rest, row, *given in zip(
+                batch["ts"], batch["is_leave"], batch["rest"], batch["row"], *own
+            ):
+                values = [None if v is None or pd.isna(v) else bool(v) for v in given]
+                if gone:
+                    rest, values = None, [None] * len(partial)
+                elif stored is not None and stored[1]:
+                    values = [old if v is None else v for v, old in zip(values, stored[3:])]
+                state = (not gone, rest, *values)
                 if stored is None:
                     result = "first"
-                elif row == stored[1:]:
+                elif state == stored[1:]:
                     continue
                 else:
                     result = "rejected" if ts <= stored[0] else "another"
                 if result != "rejected":
-                    stored = (int(ts), *row)
-                kept.append(i)
-                results.append(result)
-                for n, c in enumerate(partial):
-                    filled[c].append(values[n])
+                    stored = (int(ts), *state)
+                out.append((row, result, *values))
             self.last.update(stored)
-            out = batch.iloc[kept].copy()
+            frame = pd.DataFrame(out, columns=["row", "result", *partial])
             for c in partial:
-                out[c] = pd.array(filled[c], dtype="boolean")
-            out["result"] = results
-            yield out[columns]
+                frame[c] = frame[c].astype("boolean")
+            yield frame
 
         def close(self):
             pass
@@ -150,12 +158,15 @@ def stream_members(
 
     A row without a join time is a leave. ``state`` are the compared columns besides ``partial``.
     """
-    schema = StructType(list(rows.schema.fields)).add("result", "string")
-    prepared = rows.withColumns({
-        "_leave": F.col(joined).isNull(),
-        "_rest": F.to_json(F.struct(joined, *state), {"ignoreNullFields": "false"}),
-    })
-    return _transform(prepared, key, _member_processor(schema.fieldNames(), list(partial)), schema)
+    slim = _with_row(rows).select(
+        *key, "ts", "seq", *partial,
+        F.col(joined).isNull().alias("is_leave"),
+        F.to_json(F.struct(joined, *state), {"ignoreNullFields": "false"}).alias("rest"),
+        ROW,
+    )
+    schema = f"{ROW} string, result string" + "".join(f", {c} boolean" for c in partial)
+    out = _transform(slim, key, _member_processor(list(partial)), schema)
+    return _unpack(out, rows.schema, "result", *partial)
 
 
 REACTION_LOG_SCHEMA = "message_id long, emoji string, type int, user_id long, start long, opened_seq long, end long"
@@ -212,7 +223,10 @@ def stream_reactions(log: DataFrame) -> DataFrame:
     ``intervals_from_log`` makes the intervals of it (``reactions.fold_reaction_log``).
     """
     rows = log.select(
-        "message_id", F.col("emoji").cast("string"), F.col("type").cast("int"), "user_id", "action", "ts", "seq"
+        "message_id", F.col("emoji").cast("string"),
+        # Clears have neither; without NULLs the ids stay whole numbers in pandas.
+        F.coalesce(F.col("type").cast("int"), F.lit(0)).alias("type"),
+        F.coalesce("user_id", F.lit(0).cast("long")).alias("user_id"), "action", "ts", "seq",
     )
     return _transform(rows, ["message_id"], _reaction_processor(), REACTION_LOG_SCHEMA)
 

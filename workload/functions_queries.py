@@ -71,7 +71,7 @@ def _(t):
     heads = current.select("id", F.col("ts").alias("head"))
     previous = kept.join(heads, "id").where("ts < head").drop("head")
     path = work_dir(t.spark, "archive")
-    archive.write_archive({"current": (current, "id", ["id"]), "previous": (previous, "id", ["id", "ts"])}, path)
+    archive.write_archive({"current": (current, "id", ["id"]), "previous": (previous, "id", ["id", "ts"])}, path, buckets=8)
     parts = [
         archive.read_latest(t.spark, path, name).select(F.lit(name).alias("part"), "id", "ts", "kind", "lvl")
         for name in ("current", "previous")
@@ -83,7 +83,7 @@ def _(t):
 def _(t):
     path = work_dir(t.spark, "archive")
     pages = t.pages.withColumn("size", F.length("html").cast("long"))
-    archive.write_archive({"files": (pages, "page_id", ["page_id"])}, path)
+    archive.write_archive({"files": (pages, "page_id", ["page_id"])}, path, buckets=8)
     return archive.read_latest(t.spark, path, "files", ["page_id", "url", "size"])
 
 
@@ -91,7 +91,7 @@ def _(t):
 def _(t):
     path = work_dir(t.spark, "archive")
     members = t.customer.select("c_custkey", "c_name", "c_nationkey")
-    archive.write_archive({"members": (members, "c_nationkey", ["c_custkey"])}, path)
+    archive.write_archive({"members": (members, "c_nationkey", ["c_custkey"])}, path, buckets=8)
     return archive.read_children(t.spark, path, "members", 7).select("c_custkey", "c_name", "c_nationkey")
 
 

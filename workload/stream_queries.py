@@ -1 +1,218 @@
+"""ST: streams. Each keyed stream runs over landed files and is compared with its batch meaning."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest.functions import scalars as P
+from palimpsest.operators.capture import classify_snapshots, mark_deleted, state_of
+from palimpsest.plans.ordered import newest
+from palimpsest.plans.staging import work_dir
+from palimpsest.sources.landing import read_dispatches, write_dispatches
+from palimpsest.streaming import dispatch as S
+from palimpsest.streaming import stateful as K
+from workload.registry import query
+from workload.stand_ins import (
+    INTERVALS_SQL, MEMBERS_KEPT_SQL, MIDDLE, OBS_SQL, member_obs, ms_of, obs, reaction_log,
+)
+from workload.sync_queries import MARKS_SQL, marks as channel_marks, newest as channel_newest
+
+NAMES = {
+    "click": "MESSAGE_CREATE", "view": "MESSAGE_UPDATE", "error": "MESSAGE_DELETE",
+    "signup": "GUILD_MEMBER_ADD", "purchase": "PRESENCE_UPDATE",
+}
+
+
+def dispatches(t):
+    """Events as landed change events; purchases are of a kind that nobody handles."""
+    pairs = [F.lit(x) for pair in NAMES.items() for x in pair]
+    return t.events.select(
+        F.create_map(*pairs)[F.col("event_type")].alias("t"),
+        F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), "user_id", F.floor(F.col("value") / 20).alias("lvl")))
+        .alias("d"),
+        F.col("event_id").alias("seq"), P.ntz_millis("ts").alias("received_at"),
+        F.col("event_type").isin("view", "click").alias("realtime"),
+    )
+
+
+def run(t, name, rows, operator):
+    """Land ``rows`` as events, run ``operator`` on the stream of them, give the written table."""
+    path = work_dir(t.spark, name)
+    write_dispatches(rows, f"{path}/in")
+    stream = read_dispatches(t.spark, f"{path}/in")
+    K.start_append(operator(stream), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out")
+
+
+def as_dispatches(rows, seq="seq"):
+    """Any table as events whose document is the row."""
+    return rows.select(
+        F.lit("ROW").alias("t"), F.to_json(F.struct("*")).alias("d"), F.col(seq).alias("seq"),
+        F.lit(0).cast("long").alias("received_at"), F.lit(False).alias("realtime"),
+    )
+
+
+def documents(stream, schema):
+    return stream.select(F.from_json("d", schema).alias("doc")).select("doc.*")
+
+
+@query("ST1_route_dispatches", f"""
+SELECT CASE event_type WHEN 'error' THEN 'deletion' WHEN 'signup' THEN 'member' ELSE 'message' END AS "table",
+  c_custkey IS NOT NULL AS known, count(*) AS n
+FROM events LEFT JOIN customer ON c_custkey = user_id AND c_acctbal > 0
+WHERE event_type <> 'purchase' GROUP BY 1, 2""")
+def _(t):
+    path = work_dir(t.spark, "routing")
+    write_dispatches(dispatches(t), f"{path}/in")
+    stream = read_dispatches(t.spark, f"{path}/in")
+    S.start_routing(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    routed = t.spark.read.parquet(f"{path}/out").drop("table").withColumn(
+        "parent_id", F.get_json_object("d", "$.user_id").cast("long")
+    )
+    parents = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    known, unknown = S.route_dispatches(routed, parents=parents)
+    both = known.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)))
+    return both.groupBy("table", "known").agg(F.count("*").alias("n"))
+
+
+@query("ST2_stream_snapshots", f"""WITH m AS (
+  SELECT user_id AS id, CASE WHEN event_type = 'click' THEN 'MESSAGE_CREATE' ELSE 'MESSAGE_UPDATE' END AS kind,
+    CAST(floor(value / 20) AS BIGINT) AS lvl, {ms_of('ts')} * 2 + 1 AS ts, event_id AS seq FROM events WHERE event_type IN ('click', 'view')),
+x AS (SELECT *, row_number() OVER w AS rn, lag(kind) OVER w AS pk, lag(lvl) OVER w AS pl FROM m WINDOW w AS (PARTITION BY id ORDER BY seq))
+SELECT id, ts, kind, lvl, CASE WHEN rn = 1 THEN 'first' ELSE 'another' END AS result FROM x
+WHERE rn = 1 OR kind <> pk OR lvl <> pl""")
+def _(t):
+    def operator(stream):
+        rows = stream.where("t IN ('MESSAGE_CREATE', 'MESSAGE_UPDATE')").select(
+            F.get_json_object("d", "$.user_id").cast("long").alias("id"), F.col("t").alias("kind"),
+            F.get_json_object("d", "$.lvl").cast("long").alias("lvl"),
+            P.encode_timing("received_at", "realtime").alias("ts"), "seq",
+        )
+        return K.stream_snapshots(rows, ["id"], ["kind", "lvl"])
+
+    return run(t, "snapshots", dispatches(t), operator).select("id", "ts", "kind", "lvl", "result")
+
+
+@query("ST3_stream_members", f"WITH {MEMBERS_KEPT_SQL} SELECT guild_id, user_id, ts, nick, joined_at, deaf, mute FROM members")
+def _(t):
+    schema = "guild_id long, user_id long, ts long, seq long, deaf boolean, mute boolean, nick string, joined_at long"
+    table = run(t, "members", as_dispatches(member_obs(t)), lambda s: K.stream_members(documents(s, schema), ["nick"]))
+    return K.split_results(table)[0].select("guild_id", "user_id", "ts", "nick", "joined_at", "deaf", "mute")
+
+
+@query("ST4_stream_reactions", f'WITH {INTERVALS_SQL} SELECT message_id, emoji, type, user_id, "start", "end" FROM intervals')
+def _(t):
+    schema = "message_id long, emoji string, type int, user_id long, action string, ts long, seq long"
+    table = run(t, "reactions", as_dispatches(reaction_log(t)), lambda s: K.stream_reactions(documents(s, schema)))
+    return K.intervals_from_log(table)
+
+
+@query("ST5_stream_deletions", f"""
+SELECT o_orderkey AS id, o_orderstatus AS status, {ms_of('ts')} * 2 AS _deleted
+FROM orders LEFT JOIN events ON event_id = o_orderkey AND event_type = 'error'""")
+def _(t):
+    table = run(t, "deletions", dispatches(t), S.stream_deletions)
+    current = t.orders.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("long").alias("_deleted")
+    )
+    return mark_deleted(current, table.where("type = 'message'")).select("id", "status", "_deleted")
+
+
+# Each event lists three emojis of its user, two of them by its value: one list per event.
+LISTS_SQL = f"""lists AS (SELECT user_id AS g, {ms_of('ts')} * 2 AS ts, event_id AS seq,
+    CAST(floor(value / 10) AS BIGINT) % 4 AS v, event_type FROM events),
+items AS (SELECT g, ts, seq, unnest([g * 10, g * 10 + 1 + v]) AS id, event_type AS name FROM lists),
+listings AS (SELECT i.g, i.id, l.seq, l.ts, EXISTS (SELECT 1 FROM items x WHERE x.seq = l.seq AND x.id = i.id) AS present
+  FROM (SELECT g, id, min(seq) AS first_seq FROM items GROUP BY 1, 2) i JOIN lists l ON l.g = i.g AND l.seq > i.first_seq),
+gone AS (SELECT g, id, min(seq) AS seq, arg_min(ts, seq) AS ts FROM listings WHERE NOT present GROUP BY 1, 2),
+changed AS (SELECT *, row_number() OVER w AS rn, lag(name) OVER w AS before FROM items WINDOW w AS (PARTITION BY g, id ORDER BY seq))"""
+
+
+@query("ST6_stream_id_list_sync", f"""WITH {LISTS_SQL}
+SELECT g AS guild_id, id, ts, seq, CASE WHEN rn = 1 THEN 'first' ELSE 'another' END AS change FROM changed WHERE rn = 1 OR name <> before
+UNION ALL SELECT g, id, ts, seq, 'deleted' FROM gone""")
+def _(t):
+    v = F.floor(F.col("value") / 10) % 4
+    item = lambda i: F.struct(i.cast("string").alias("id"), F.col("event_type").alias("name"))
+    lists = t.events.select(
+        F.lit("GUILD_EMOJIS_UPDATE").alias("t"),
+        F.to_json(F.struct(
+            F.col("user_id").alias("guild_id"),
+            F.array(item(F.col("user_id") * 10), item(F.col("user_id") * 10 + 1 + v)).alias("emojis"),
+        )).alias("d"),
+        F.col("event_id").alias("seq"), P.ntz_millis("ts").alias("received_at"), F.lit(False).alias("realtime"),
+    )
+
+    def operator(stream):
+        rows = stream.where("t = 'GUILD_EMOJIS_UPDATE'").select(
+            F.get_json_object("d", "$.guild_id").cast("long").alias("guild_id"),
+            P.encode_timing("received_at", "realtime").alias("ts"), "seq",
+            F.from_json(F.get_json_object("d", "$.emojis"), "array<string>").alias("items"),
+        )
+        return K.stream_id_list_sync(rows)
+
+    return run(t, "lists", lists, operator).select("guild_id", "id", "ts", "seq", "change")
+
+
+@query("ST7_stream_thread_list", f"""WITH items AS (
+  SELECT event_id AS seq, {ms_of('ts')} * 2 + 1 AS ts, unnest([user_id * 10, user_id * 10 + 1]) AS id,
+    unnest([event_type, CASE WHEN event_type = 'view' THEN 'private' ELSE 'open' END]) AS name FROM events),
+x AS (SELECT *, row_number() OVER w AS rn, lag(name) OVER w AS before FROM items WHERE name <> 'private' WINDOW w AS (PARTITION BY id ORDER BY seq))
+SELECT id, ts, name, CASE WHEN rn = 1 THEN 'first' ELSE 'another' END AS result FROM x WHERE rn = 1 OR name <> before""")
+def _(t):
+    def thread(offset, name, type_):
+        return F.struct((F.col("user_id") * 10 + offset).cast("string").alias("id"), name.alias("name"), type_.alias("type"))
+
+    private = F.col("event_type") == "view"
+    lists = t.events.select(
+        F.lit("THREAD_LIST_SYNC").alias("t"),
+        F.to_json(F.struct(F.array(
+            thread(0, F.col("event_type"), F.lit(11)),
+            thread(1, F.when(private, "private").otherwise("open"), F.when(private, 12).otherwise(11)),
+        ).alias("threads"))).alias("d"),
+        F.col("event_id").alias("seq"), P.ntz_millis("ts").alias("received_at"), F.lit(True).alias("realtime"),
+    )
+
+    def operator(stream):
+        rows = S.explode_thread_list(stream).withColumn("name", F.get_json_object("payload", "$.name"))
+        return K.stream_snapshots(rows.drop("payload"), ["id"], ["name"])
+
+    return run(t, "threads", lists, operator).select("id", "ts", "name", "result")
+
+
+@query("ST8_replay_flag", """WITH e AS (SELECT event_id AS seq, user_id AS connection, user_id % 2 = 0 AS resumed,
+  CASE WHEN event_type = 'signup' THEN 'RESUMED' ELSE 'MESSAGE_CREATE' END AS t FROM events)
+SELECT seq, connection, NOT resumed OR coalesce(bool_or(t = 'RESUMED') OVER (
+  PARTITION BY connection ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS realtime FROM e""")
+def _(t):
+    events = t.events.select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("connection"), (F.col("user_id") % 2 == 0).alias("resumed"),
+        F.when(F.col("event_type") == "signup", "RESUMED").otherwise("MESSAGE_CREATE").alias("t"),
+    )
+    return S.replay_flag(events).select("seq", "connection", "realtime")
+
+
+@query("ST9_late_data", f"""WITH {OBS_SQL}, latest AS (
+  SELECT id, max(ts) AS ts, arg_max(kind, ts) AS kind, arg_max(lvl, ts) AS lvl FROM obs
+  WHERE ts <= {MIDDLE * 2 + 1} AND kind <> 'purchase' GROUP BY id)
+SELECT o.id, o.ts, o.kind, 'rejected' AS result FROM obs o JOIN latest l ON l.id = o.id
+WHERE o.ts <= l.ts AND (o.kind <> l.kind OR o.lvl <> l.lvl)""")
+def _(t):
+    # The whole log arrives again: what is not newer than the stored row is the same or late.
+    latest = newest(obs(t).where((F.col("ts") <= P.time_bound(MIDDLE)) & (F.col("kind") != "purchase")), ["id"], ["ts"])
+    late = obs(t).join(latest.select("id", F.col("ts").alias("head")), "id").where("ts <= head")
+    results = classify_snapshots(late, ["id"], state_of(["kind", "lvl"], None), latest=latest)
+    return K.split_results(results.where("result <> 'same'"))[1].select("id", "ts", "kind", "result")
+
+
+@query("ST10_resync_plan", f"""WITH {MARKS_SQL}
+SELECT 'messages' AS kind, n.channel_id AS id FROM newest n JOIN customer ON c_custkey = n.channel_id
+  LEFT JOIN marks m ON m.channel_id = n.channel_id
+WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) OR newest_id IS NULL OR coalesce(last_synced_id, 0) < newest_id
+UNION ALL SELECT 'members', n_nationkey FROM nation WHERE n_regionkey = 2""")
+def _(t):
+    homes = t.customer.select(F.col("c_custkey").alias("channel_id"), F.col("c_nationkey").cast("long").alias("guild_id"))
+    channels = channel_newest(t).join(homes, "channel_id")
+    servers = t.nation.select(F.col("n_nationkey").cast("long").alias("id"))
+    lost = t.nation.where("n_regionkey = 2").select(F.col("n_nationkey").cast("long").alias("id"))
+    return S.resync_plan(servers, channels, channel_marks(t), lost)
