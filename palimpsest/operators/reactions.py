@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import encode_timing, time_bound
-from palimpsest.plans.ordered import carry, find_hot_keys
+from palimpsest.plans.ordered import Pass, carry, carry_passes
 
 MESSAGE = ("message_id",)
 EMOJI = ("message_id", "emoji")
@@ -34,23 +34,25 @@ def _is(action: str) -> Column:
     return F.col("action") == action
 
 
-def _nearest(log: DataFrame, backward: bool) -> DataFrame:
-    """Add for each row the nearest own event and the nearest clears, before or after it.
+def _nearest(log: DataFrame, *sides: bool) -> DataFrame:
+    """Add for each row the nearest own event and the nearest clears, before or (True) after it.
 
-    Values are (ts, seq) with the action, so that they compare by place in the log.
+    Values are (ts, seq, action), so that they compare by place in the log. Keys of clears differ
+    from those of adds, so every pass sees the whole log.
     """
-    side = "_next" if backward else "_last"
     place = F.struct("ts", "seq", "action")
-    on_message, on_emoji, on_key = find_hot_keys(log, MESSAGE, EMOJI, KEY)
-    clears_all = _is("clear") & F.col("emoji").isNull()
-    clears_emoji = _is("clear") & F.col("emoji").isNotNull()
-    if backward:
-        own = F.when(_is("remove"), place)
-    else:
-        own = F.when(_is("add") | _is("remove"), place)
-    rows = carry(log, MESSAGE, ORDER, {f"{side}_all": F.when(clears_all, place)}, backward=backward, hot=on_message)
-    rows = carry(rows, EMOJI, ORDER, {f"{side}_emoji": F.when(clears_emoji, place)}, backward=backward, hot=on_emoji)
-    return carry(rows, KEY, ORDER, {f"{side}_own": own}, backward=backward, hot=on_key)
+    clears_all = F.when(_is("clear") & F.col("emoji").isNull(), place)
+    clears_emoji = F.when(_is("clear") & F.col("emoji").isNotNull(), place)
+    passes = []
+    for backward in sides:
+        side = "_next" if backward else "_last"
+        own = F.when(_is("remove") if backward else _is("add") | _is("remove"), place)
+        passes += [
+            Pass(MESSAGE, ORDER, {f"{side}_all": clears_all}, backward),
+            Pass(EMOJI, ORDER, {f"{side}_emoji": clears_emoji}, backward),
+            Pass(KEY, ORDER, {f"{side}_own": own}, backward),
+        ]
+    return carry_passes(log, passes)
 
 
 def _is_opening() -> Column:
@@ -68,9 +70,7 @@ def _end() -> Column:
 
 def fold_reaction_log(log: DataFrame) -> DataFrame:
     """Intervals of a whole log: repeated adds are dropped, removes and clears close."""
-    # Keys of clears differ from those of adds, so all three passes must see the whole log.
-    opened = _nearest(log, backward=False)
-    closed = _nearest(opened, backward=True)
+    closed = _nearest(log, False, True)
     return closed.where(_is_opening()).select(*KEY, F.col("ts").alias("start"), _end().alias("end"))
 
 
@@ -125,7 +125,7 @@ def _close(intervals: DataFrame, events: DataFrame) -> DataFrame:
     shut = intervals.where(F.col("end").isNotNull())
     opened = _open_as_log(intervals)
     log = opened.unionByName(events.select(*opened.columns))
-    closed = _nearest(log, backward=True).where(_is("add")).select(
+    closed = _nearest(log, True).where(_is("add")).select(
         *KEY, F.col("ts").alias("start"), _end().alias("end")
     )
     return shut.select(*closed.columns).unionByName(closed)

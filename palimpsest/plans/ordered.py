@@ -23,6 +23,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.plans.staging import staged
+
 HOT_ROWS_SETTING = "spark.palimpsest.hotKeyRows"
 DEFAULT_HOT_ROWS = 4_000_000
 # Keys beyond the first 4096 hold at most 1/4096 of the rows each; they need no slices.
@@ -76,26 +78,32 @@ def find_hot_keys(df: DataFrame, *keys: Sequence[str]) -> list[HotKeys]:
     return result
 
 
-def with_slices(df: DataFrame, key: Sequence[str], order: str, hot: HotKeys) -> DataFrame:
-    """Add the slice number: 0 for cold keys, else the place of ``order`` between the borders."""
-    hashed = df.withColumn(KEY_HASH, F.xxhash64(*key))
-    shares = [i / hot.slices for i in range(1, hot.slices)]
-    borders = (
-        hashed.where(F.col(KEY_HASH).isin(*hot.hashes))
-        .groupBy(KEY_HASH)
-        .agg(F.percentile_approx(order, shares, 10 * hot.slices).alias("_borders"))
-    )
-    # At most MAX_BORDERS longs by construction of ``hot``.
-    joined = hashed.join(F.broadcast(borders), KEY_HASH, "left")
-    every = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.size("_borders") / STEP)).cast("int")),
-        lambda i: F.try_element_at("_borders", i * STEP),
-    )
-    coarse = F.size(F.filter(every, lambda b: b < F.col(order)))
-    fine = F.size(F.filter(F.slice("_borders", coarse * STEP + 1, STEP), lambda b: b < F.col(order)))
-    return joined.withColumn(
-        SLICE, F.when(F.col("_borders").isNull(), 0).otherwise(coarse * STEP + fine)
-    ).drop("_borders", KEY_HASH)
+@dataclass(frozen=True)
+class Pass:
+    """One ordered look along the rows of each key.
+
+    For each name in ``values``: the last non-null value among the earlier rows. ``order`` must
+    give a total order; its columns are numbers. ``backward`` takes the nearest later row instead;
+    ``inclusive`` lets a row see its own value. With ``first_of_tie`` only the first row of those
+    with an equal first order column gives a value, and a column ``_tie`` marks the others (such
+    rows always share a slice).
+    """
+
+    key: Sequence[str]
+    order: Sequence[str]
+    values: Mapping[str, Column]
+    backward: bool = False
+    inclusive: bool = False
+    first_of_tie: bool = False
+
+    def with_values(self, df: DataFrame) -> DataFrame:
+        # A struct around each value, so that a value may be a struct of NULLs and still count.
+        return df.withColumns({
+            f"_v_{n}": F.when(v.isNotNull(), F.struct(v.alias("v"))) for n, v in self.values.items()
+        })
+
+    def direction(self) -> list[Column]:
+        return [F.col(c).desc() if self.backward else F.col(c).asc() for c in self.order]
 
 
 def carry(
@@ -104,52 +112,82 @@ def carry(
     order: Sequence[str],
     values: Mapping[str, Column],
     *,
-    backward: bool = False,
-    inclusive: bool = False,
-    first_of_tie: bool = False,
     hot: HotKeys | None = None,
+    **how: bool,
 ) -> DataFrame:
-    """Add, per name in ``values``, its last non-null value among the earlier rows of the key.
+    """A single ``Pass``."""
+    return carry_passes(df, [Pass(key, order, values, **how)], None if hot is None else [hot])
+
 
-    ``order`` must give a total order; its columns are numbers. ``backward`` takes the nearest
-    later row instead; ``inclusive`` lets a row see its own value. With ``first_of_tie`` only the
-    first row of those with an equal first order column gives a value, and a column ``_tie``
-    marks the others (such rows always share a slice).
+def carry_passes(df: DataFrame, passes: Sequence[Pass], hot: Sequence[HotKeys] | None = None) -> DataFrame:
+    """Add the columns of all passes; their values come from the columns of ``df``.
+
+    With hot keys ``df`` is written once, since slices and slice ends read it again; they read
+    that table and not the passes before them, so the plan grows with the number of passes.
     """
     if hot is None:
-        (hot,) = find_hot_keys(df, key)
-    names = list(values)
-    frame = df.withColumns({f"_v_{n}": F.struct(v.alias("v")) for n, v in values.items()})
-    frame = frame.withColumns({
-        f"_v_{n}": F.when(F.col(f"_v_{n}.v").isNotNull(), F.col(f"_v_{n}")) for n in names
-    })
-    direction = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
-    end = Window.currentRow if inclusive else -1
-
-    def mask_ties(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-        if not first_of_tie:
-            return rows
-        before = F.lag(order[0]).over(Window.partitionBy(*group).orderBy(*direction))
-        rows = rows.withColumn("_tie", F.coalesce(before == F.col(order[0]), F.lit(False)))
-        return rows.withColumns({f"_v_{n}": F.when(~F.col("_tie"), F.col(f"_v_{n}")) for n in names})
-
-    if not hot:
-        window = (
-            Window.partitionBy(*key).orderBy(*direction)
-            .rowsBetween(Window.unboundedPreceding, end)
-        )
-        frame = mask_ties(frame, key)
-        seen = {n: F.last(f"_v_{n}", ignorenulls=True).over(window)["v"] for n in names}
-        return frame.withColumns(seen).drop(*[f"_v_{n}" for n in names])
-
-    frame = with_slices(frame, key, order[0], hot)
-    nearest = F.min_by if backward else F.max_by
+        keys = list(dict.fromkeys(tuple(p.key) for p in passes))
+        by_key = dict(zip(keys, find_hot_keys(df, *keys)))
+        hot = [by_key[tuple(p.key)] for p in passes]
+    base = staged(df, "ordered") if any(hot) else df
+    frame = base
+    for one, hot_keys in zip(passes, hot):
+        frame = _sliced_pass(frame, base, one, hot_keys) if hot_keys else _plain_pass(frame, one, one.key)
+    return frame
+
+
+def _plain_pass(df: DataFrame, one: Pass, group: Sequence[str], starts: bool = False) -> DataFrame:
+    rows = df if starts else one.with_values(df)
+    names = list(one.values)
+    ordered = Window.partitionBy(*group).orderBy(*one.direction())
+    if one.first_of_tie:
+        before = F.lag(one.order[0]).over(ordered)
+        rows = rows.withColumn("_tie", F.coalesce(before == F.col(one.order[0]), F.lit(False)))
+        rows = rows.withColumns({f"_v_{n}": F.when(~F.col("_tie"), F.col(f"_v_{n}")) for n in names})
+    window = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow if one.inclusive else -1)
+    seen = {}
+    for n in names:
+        value = F.last(f"_v_{n}", ignorenulls=True).over(window)
+        seen[n] = (F.coalesce(value, F.col(f"_s_{n}")) if starts else value)["v"]
+    return rows.withColumns(seen).drop(*[f"_v_{n}" for n in names], *[f"_s_{n}" for n in names])
+
+
+def _borders(base: DataFrame, one: Pass, hot: HotKeys) -> DataFrame:
+    """(key hash, ascending slice borders) of the hot keys: at most MAX_BORDERS longs."""
+    shares = [i / hot.slices for i in range(1, hot.slices)]
+    return (
+        base.select(F.xxhash64(*one.key).alias(KEY_HASH), F.col(one.order[0]).alias("_at"))
+        .where(F.col(KEY_HASH).isin(*hot.hashes))
+        .groupBy(KEY_HASH)
+        .agg(F.percentile_approx("_at", shares, 10 * hot.slices).alias("_borders"))
+    )
+
+
+def _with_slices(df: DataFrame, one: Pass, borders: DataFrame) -> DataFrame:
+    """Add the slice number: 0 for cold keys, else the place of the row between the borders."""
+    at = F.col(one.order[0])
+    joined = df.withColumn(KEY_HASH, F.xxhash64(*one.key)).join(F.broadcast(borders), KEY_HASH, "left")
+    every = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.size("_borders") / STEP)).cast("int")),
+        lambda i: F.try_element_at("_borders", i * STEP),
+    )
+    coarse = F.size(F.filter(every, lambda b: b < at))
+    fine = F.size(F.filter(F.slice("_borders", coarse * STEP + 1, STEP), lambda b: b < at))
+    return joined.withColumn(
+        SLICE, F.when(F.col("_borders").isNull(), 0).otherwise(coarse * STEP + fine)
+    ).drop("_borders", KEY_HASH)
+
+
+def _sliced_pass(df: DataFrame, base: DataFrame, one: Pass, hot: HotKeys) -> DataFrame:
+    names, key = list(one.values), list(one.key)
+    borders = _borders(base, one, hot)
+    nearest = F.min_by if one.backward else F.max_by
     # Of tied rows the first counts, else the last.
-    later = [-F.col(c) if first_of_tie else F.col(c) for c in order[1:]]
-    place = F.struct(F.col(order[0]), *[c.alias(f"o{i}") for i, c in enumerate(later)])
+    later = [-F.col(c) if one.first_of_tie else F.col(c) for c in one.order[1:]]
+    place = F.struct(F.col(one.order[0]), *[c.alias(f"o{i}") for i, c in enumerate(later)])
     # Cold keys have slice 0 only and need no starts.
     ends = (
-        frame.where(F.xxhash64(*key).isin(*hot.hashes))
+        _with_slices(one.with_values(base.where(F.xxhash64(*key).isin(*hot.hashes))), one, borders)
         .groupBy(*key, SLICE)
         .agg(*[
             nearest(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_v_{n}")
@@ -158,25 +196,15 @@ def carry(
     )
     by_slice = (
         Window.partitionBy(*key)
-        .orderBy(F.col(SLICE).desc() if backward else F.col(SLICE).asc())
+        .orderBy(F.col(SLICE).desc() if one.backward else F.col(SLICE).asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = ends.select(
         *key, SLICE,
         *[F.last(f"_v_{n}", ignorenulls=True).over(by_slice).alias(f"_s_{n}") for n in names],
     )
-    window = (
-        Window.partitionBy(*key, SLICE).orderBy(*direction)
-        .rowsBetween(Window.unboundedPreceding, end)
-    )
-    met = mask_ties(frame.join(starts, [*key, SLICE], "left"), [*key, SLICE])
-    seen = {
-        n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(window), F.col(f"_s_{n}"))["v"]
-        for n in names
-    }
-    return met.withColumns(seen).drop(
-        SLICE, *[f"_v_{n}" for n in names], *[f"_s_{n}" for n in names]
-    )
+    met = _with_slices(one.with_values(df), one, borders).join(starts, [*key, SLICE], "left")
+    return _plain_pass(met, one, [*key, SLICE], starts=True).drop(SLICE)
 
 
 def newest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
