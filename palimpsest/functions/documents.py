@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.scalars import col, format_iso_millis, parse_iso_millis
+from palimpsest.plans.spread import spread
 
 # What a stored NULL means. Without a policy the leaf is required.
 ABSENT, NULL, EMPTY_ARRAY = "absent", "null", "empty_array"
@@ -104,7 +105,7 @@ def flatten_object(df: DataFrame, payload: str, spec: Spec, keep: Sequence[str]
 
     Leaves of an absent sub-object are NULL, strict booleans included.
     """
-    parsed = df.withColumn("_doc", F.from_json(payload, payload_schema(spec)))
+    parsed = spread(df).withColumn("_doc", F.from_json(payload, payload_schema(spec)))
     columns = []
     for path, leaf in _leaves(spec):
         parent = F.col(".".join(["_doc", *path[:-1]]))
@@ -142,13 +143,21 @@ def _residual_map(document: Column, spec: Spec) -> Column:
         return keep
 
     rest = F.map_filter(entries, open_key)
-    for field in spec:
-        if isinstance(field, Group):
-            child = _residual_map(F.try_variant_get(document, f"$.{field.name}", "variant"), field.fields)
-            rest = F.when(
-                F.size(child) > 0,
-                F.map_concat(rest, F.create_map(F.lit(field.name), F.parse_json(F.to_json(child)))),
-            ).otherwise(rest)
+    below = [
+        F.struct(
+            F.lit(field.name).alias("k"),
+            F.parse_json(F.nullif(
+                F.to_json(_residual_map(F.try_variant_get(document, f"$.{field.name}", "variant"), field.fields)),
+                F.lit("{}"),
+            )).alias("v"),
+        )
+        for field in spec
+        if isinstance(field, Group)
+    ]
+    if below:
+        # Each child is named once: an expression used twice would be computed twice per level.
+        found = F.filter(F.array(*below), lambda e: e["v"].isNotNull())
+        rest = F.map_concat(rest, F.map_from_entries(found))
     return rest
 
 
@@ -157,8 +166,8 @@ def residual_json(payload: str | Column, spec: Spec) -> Column:
 
     An explicit null survives, an absent key does not.
     """
-    rest = _residual_map(F.try_parse_json(col(payload)), spec)
-    return F.when(F.size(rest) > 0, canonical_json(F.to_json(rest)))
+    rest = F.nullif(F.to_json(_residual_map(F.try_parse_json(col(payload)), spec)), F.lit("{}"))
+    return F.to_json(F.parse_json(rest))
 
 
 def _encode(value: Column, leaf: Leaf) -> Column:
@@ -223,7 +232,9 @@ def _export_map(spec: Spec, residual: Column, path: tuple[str, ...]) -> tuple[Co
 def export_documents(df: DataFrame, spec: Spec, extra: str = "_extra", id_: str = "id") -> DataFrame:
     """(id, json): the nested document with the residual merged in and the null policy undone."""
     document, _ = _export_map(spec, F.try_parse_json(F.col(extra)), ())
-    return df.select(F.col(id_).alias("id"), canonical_json(F.to_json(document)).alias("json"))
+    # Through a variant once more, which sorts the keys.
+    text = F.to_json(F.parse_json(F.to_json(document)))
+    return spread(df).select(F.col(id_).alias("id"), text.alias("json"))
 
 
 def known_paths(spec: Spec, path: str = "") -> list[tuple[str, str]]:

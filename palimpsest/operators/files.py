@@ -12,6 +12,7 @@ from palimpsest.functions.scalars import (
     extract_custom_emojis, hash_asset_url, link_name, normalize_media_url,
 )
 from palimpsest.plans.ordered import oldest
+from palimpsest.plans.spread import spread
 
 # Options that ask for a download. Fixed values of the archived service.
 DOWNLOAD_OPTIONS = (
@@ -107,7 +108,7 @@ def message_file_manifest(
         ))
         files = F.concat(files, F.coalesce(inner, F.array().cast("array<struct<url:string,download_url:string>>")))
     return (
-        messages.select("id", F.explode(files).alias("file"))
+        spread(messages).select("id", F.explode(files).alias("file"))
         .where(F.col("file").isNotNull())
         .select("id", "file.url", "file.download_url")
     )

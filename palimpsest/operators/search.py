@@ -12,12 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import MARKED, PLAIN, fold_term, term_words, tokens
+from palimpsest.plans.spread import spread
 
 
 def build_index(messages: DataFrame, id_: str = "id", content: str = "content") -> DataFrame:
-    """Postings of the current content. A group is one word of one message, so none is hot."""
-    words = messages.select(F.col(id_).alias("id"), F.posexplode(tokens(content)).alias("pos", "token"))
-    return words.groupBy("token", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """Postings of the current content, without a shuffle.
+
+    All positions of a word in a message come from one row, so they are grouped inside that row:
+    sort (word, position), find where a new word begins, cut there.
+    """
+    sorted_words = spread(messages).select(
+        F.col(id_).alias("id"),
+        F.array_sort(F.transform(
+            tokens(content), lambda w, i: F.struct(w.alias("token"), i.alias("pos"))
+        )).alias("words"),
+    ).where(F.size("words") > 0)
+    begun = sorted_words.withColumn("starts", F.filter(
+        F.sequence(F.lit(1), F.size("words")),
+        lambda i: (i == 1) | (F.try_element_at("words", i)["token"] != F.get("words", i - 2)["token"]),
+    ))
+
+    def positions(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("words") + 1)
+        return F.transform(F.slice("words", start, end - start), lambda p: p["pos"])
+
+    return begun.select("id", F.explode(F.transform("starts", lambda s, k: F.struct(
+        F.try_element_at("words", s)["token"].alias("token"), positions(s, k).alias("positions"),
+    ))).alias("p")).select("p.token", "id", "p.positions")
 
 
 def write_index(postings: DataFrame, path: str, mode: str = "overwrite") -> None:

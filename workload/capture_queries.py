@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scalars as P
 from palimpsest.operators import capture as C
 from palimpsest.plans.ordered import newest
+from palimpsest.plans.staging import staged
 from workload.registry import query
 from workload.stand_ins import (
     KEPT_SQL, MEMBER_SQL, MEMBERS_KEPT_SQL, MIDDLE, SERVER_SQL, member_obs, ms_of, obs,
@@ -53,7 +54,10 @@ FROM obs o LEFT JOIN kept k ON k.id = o.id AND k.ts = o.ts WHERE o.ts > {MIDDLE
 def _(t):
     columns = ["id", "ts", "kind", "lvl", "_extra"]
     bound = P.time_bound(MIDDLE)
-    kept = C.compact_snapshots(obs(t).where(F.col("ts") <= bound), ["id"], ["kind", "lvl"]).select(*columns)
+    # What is stored is a table, so it is one here.
+    kept = staged(
+        C.compact_snapshots(obs(t).where(F.col("ts") <= bound), ["id"], ["kind", "lvl"]).select(*columns), "history"
+    )
     current = newest(kept, ["id"], ["ts"]).withColumn("_deleted", F.lit(None).cast("long"))
     previous = kept.join(current.select("id", F.col("ts").alias("head")), "id").where("ts < head").drop("head")
     after, before, results = C.apply_batch(
@@ -85,7 +89,9 @@ def _(t):
     early = F.col("ts") <= P.time_bound(MIDDLE)
     gone = F.col("joined_at").isNull()
     columns = ["guild_id", "user_id", "ts", *MEMBER_STATE]
-    first = C.members_append(None, rows.where(early & ~gone), rows.where(early & gone), MEMBER_STATE).select(*columns)
+    first = staged(
+        C.members_append(None, rows.where(early & ~gone), rows.where(early & gone), MEMBER_STATE).select(*columns), "history"
+    )
     second = C.members_append(first, rows.where(~early & ~gone), rows.where(~early & gone), MEMBER_STATE)
     return first.unionByName(second.select(*columns))
 

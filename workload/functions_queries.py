@@ -8,6 +8,7 @@ from palimpsest.functions import documents as D
 from palimpsest.functions import scalars as P
 from palimpsest.operators.capture import compact_snapshots
 from palimpsest.plans.ordered import newest
+from palimpsest.plans.spread import spread
 from palimpsest.plans.staging import work_dir
 from palimpsest.sources import archive, landing
 from palimpsest.streaming.stateful import start_append
@@ -283,7 +284,7 @@ SELECT o_orderkey,
     '"unknown_below":' || o_custkey || '},' END || '"unknown":' || o_custkey || '}' AS residual
 FROM orders""")
 def _(t):
-    return order_documents(t).select("o_orderkey", D.residual_json("payload", FLATTEN_SPEC).alias("residual"))
+    return spread(order_documents(t)).select("o_orderkey", D.residual_json("payload", FLATTEN_SPEC).alias("residual"))
 
 
 @query("P12_canonical_json", """
