@@ -11,7 +11,7 @@ from palimpsest.functions.documents import canonical_json
 from palimpsest.functions.scalars import (
     SIGNED_URL_PREFIXES, author_kind, encode_timing, normalize_media_url,
 )
-from palimpsest.plans.ordered import HotKeys, carry, newest, oldest
+from palimpsest.plans.ordered import HotKeys, carry, find_hot_keys, newest, oldest
 from palimpsest.plans.staging import staged
 
 ORDER = ("ts", "seq")
@@ -37,33 +37,77 @@ def classify_snapshots(
 ) -> DataFrame:
     """Add ``result`` to each observation: first, another, same or rejected.
 
-    Dropping equal neighbours is transitive, so comparing with the previous observation gives the
-    same rows as comparing with the previous kept one. Of observations with one time the first
-    counts and a different one is rejected. ``latest`` holds one stored row per key: an
-    observation that is not newer than it is the same or rejected.
+    An observation equal to the last kept one is the same; a different one is kept if it is newer,
+    else rejected. ``latest`` holds one stored row per key to start from.
+
+    Rows of one time form a group. A group ends with its first state, or, if that is what was
+    stored before, with its second distinct one (which then is newer than the stored row). So the
+    only thing that depends on the past is one bit per group, ``takes second``: constant for most
+    groups, and where two groups with several states follow each other it copies or flips the bit
+    before. The bit is the last constant and the parity of the flips since, so running values do
+    it without going through a key row by row.
     """
-    ts = order[0]
+    ts, arrival = order[0], list(order[1:])
+    if hot is None:
+        (hot,) = find_hot_keys(batch, key)
     rows = batch.withColumn("_state", state)
     if latest is None:
-        rows = rows.withColumns({"_stored_ts": F.lit(None).cast("long"), "_stored": F.lit(None)})
+        stored_type = rows.schema["_state"].dataType
+        rows = rows.withColumns({"_stored_ts": F.lit(None).cast("long"), "_stored": F.lit(None).cast(stored_type)})
     else:
         stored = latest.select(*key, F.col(ts).alias("_stored_ts"), state.alias("_stored"))
         rows = rows.join(stored, list(key), "left")
-    late = F.coalesce(F.col(ts) <= F.col("_stored_ts"), F.lit(False))
-    rows = carry(
-        rows, key, order, {"_before": F.when(~late, F.col("_state"))}, first_of_tie=True, hot=hot
-    )
-    if latest is None:
-        base = F.col("_before")
-    else:
-        base = F.when(late, F.col("_stored")).otherwise(F.coalesce("_before", "_stored"))
+    if not hot:
+        # One partitioning serves the groups and the keys.
+        rows = rows.repartition(*key)
+    rows = rows.withColumn("_late", F.coalesce(F.col(ts) <= F.col("_stored_ts"), F.lit(False)))
+
+    in_group = Window.partitionBy(*key, ts).orderBy(*arrival)
+    whole = in_group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({
+        "_one": F.first("_state").over(whole),
+        "_head": F.row_number().over(in_group) == 1,
+    })
+    other = ~F.col("_state").eqNullSafe(F.col("_one"))
+    rows = rows.withColumn("_two", F.first(
+        F.when(other, F.struct(F.col("_state").alias("state"), F.struct(*arrival).alias("place"))), ignorenulls=True
+    ).over(whole))
+
+    giving = F.col("_head") & ~F.col("_late")
+    group = F.struct(F.col("_one").alias("one"), F.col("_two.state").alias("two"), F.col("_two").isNotNull().alias("several"))
+    rows = carry(rows, key, order, {"_past": F.when(giving, group)}, strict=True, hot=hot)
+    start = F.when(F.col("_stored_ts").isNotNull(), F.struct(
+        F.col("_stored").alias("one"), F.col("_stored").alias("two"), F.lit(False).alias("several")
+    ))
+    rows = rows.withColumn("_past", F.coalesce("_past", start))
+
+    several = F.col("_two").isNotNull() & F.col("_past").isNotNull()
+    if_first = several & F.col("_past.one").eqNullSafe(F.col("_one"))
+    if_second = F.when(F.col("_past.several"), several & F.col("_past.two").eqNullSafe(F.col("_one"))).otherwise(if_first)
+    rows = rows.withColumns({"_if_first": F.coalesce(if_first, F.lit(False)), "_if_second": F.coalesce(if_second, F.lit(False))})
+    constant = F.col("_if_first") == F.col("_if_second")
+    flips = F.col("_if_first") & ~F.col("_if_second")
+    rows = carry(rows, key, order, {}, strict=True, hot=hot, sums={"_flips": (giving & flips).cast("long")})
+    fixed = F.struct(F.col("_if_first").alias("bit"), F.col("_flips").alias("at"))
+    rows = carry(rows, key, order, {"_fixed": F.when(giving & constant, fixed)}, strict=True, hot=hot)
+
+    odd = (F.col("_flips") - F.coalesce("_fixed.at", F.lit(0))) % 2 == 1
+    past_second = F.coalesce("_fixed.bit", F.lit(False)) != odd
+    second = F.when(past_second, F.col("_if_second")).otherwise(F.col("_if_first"))
+    base = F.when(past_second & F.col("_past.several"), F.col("_past.two")).otherwise(F.col("_past.one"))
+    place = F.struct(*arrival)
+    after_first = F.when(F.col("_state").eqNullSafe(F.col("_one")), "same").otherwise("rejected")
     result = (
-        F.when(base.isNull(), "first")
-        .when(F.col("_state").eqNullSafe(base), "same")
-        .when(F.col("_tie") | late, "rejected")
-        .otherwise("another")
+        F.when(F.col("_late"), F.when(F.col("_state").eqNullSafe(F.col("_stored")), "same").otherwise("rejected"))
+        .when(F.col("_past").isNull(), F.when(F.col("_head"), "first").otherwise(after_first))
+        .when(second, F.when(place < F.col("_two.place"), "same")
+              .when(place == F.col("_two.place"), "another")
+              .when(F.col("_state").eqNullSafe(F.col("_two.state")), "same").otherwise("rejected"))
+        .when(F.col("_one").eqNullSafe(base), "same")
+        .when(F.col("_head"), "another")
+        .otherwise(after_first)
     )
-    return rows.withColumn("result", result).drop("_state", "_stored", "_stored_ts", "_before", "_tie")
+    return rows.withColumn("result", result).select(*batch.columns, "result")
 
 
 def compact_snapshots(

@@ -21,24 +21,32 @@ def build_index(messages: DataFrame, id_: str = "id", content: str = "content")
     All positions of a word in a message come from one row, so they are grouped inside that row:
     sort (word, position), find where a new word begins, cut there.
     """
-    sorted_words = spread(messages).select(
-        F.col(id_).alias("id"),
-        F.array_sort(F.transform(
-            tokens(content), lambda w, i: F.struct(w.alias("token"), i.alias("pos"))
+    # No filter on what is computed here: it would move below ``spread`` and run there.
+    sorted_words = spread(messages.select(F.col(id_).alias("id"), F.col(content).alias("content"))).select(
+        "id",
+        F.sort_array(F.transform(
+            tokens("content"), lambda w, i: F.struct(w.alias("token"), i.alias("pos"))
         )).alias("words"),
-    ).where(F.size("words") > 0)
-    begun = sorted_words.withColumn("starts", F.filter(
-        F.sequence(F.lit(1), F.size("words")),
-        lambda i: (i == 1) | (F.try_element_at("words", i)["token"] != F.get("words", i - 2)["token"]),
-    ))
-
-    def positions(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("starts", k + 1), F.size("words") + 1)
-        return F.transform(F.slice("words", start, end - start), lambda p: p["pos"])
-
-    return begun.select("id", F.explode(F.transform("starts", lambda s, k: F.struct(
-        F.try_element_at("words", s)["token"].alias("token"), positions(s, k).alias("positions"),
-    ))).alias("p")).select("p.token", "id", "p.positions")
+    )
+    split = sorted_words.select(
+        "id", F.col("words.token").alias("tokens"), F.col("words.pos").alias("spots")
+    )
+    # Position (from 1) of each word that differs from the one before.
+    before = F.concat(F.array(F.lit("")), F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))))
+    begun = split.withColumn("starts", F.array_compact(F.transform(
+        F.zip_with("tokens", before, lambda token, last: token != last),
+        lambda new, i: F.when(new, i + 1),
+    )))
+
+    def posting(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("tokens") + 1)
+        return F.struct(
+            F.get("tokens", start - 1).alias("token"), F.slice("spots", start, end - start).alias("positions")
+        )
+
+    return begun.select("id", F.explode(F.transform("starts", posting)).alias("p")).select(
+        "p.token", "id", "p.positions"
+    )
 
 
 def write_index(postings: DataFrame, path: str, mode: str = "overwrite") -> None:

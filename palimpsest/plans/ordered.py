@@ -17,7 +17,7 @@ value seen so far) travels as one small row per slice:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,9 +84,9 @@ class Pass:
 
     For each name in ``values``: the last non-null value among the earlier rows. ``order`` must
     give a total order; its columns are numbers. ``backward`` takes the nearest later row instead;
-    ``inclusive`` lets a row see its own value. With ``first_of_tie`` only the first row of those
-    with an equal first order column gives a value, and a column ``_tie`` marks the others (such
-    rows always share a slice).
+    ``inclusive`` lets a row see its own value; ``strict`` shows only rows with a smaller first
+    order column, so that tied rows all see the same (they always share a slice). ``sums`` adds up
+    numbers of the seen rows instead of taking the last one.
     """
 
     key: Sequence[str]
@@ -94,16 +94,20 @@ class Pass:
     values: Mapping[str, Column]
     backward: bool = False
     inclusive: bool = False
-    first_of_tie: bool = False
+    strict: bool = False
+    sums: Mapping[str, Column] = field(default_factory=dict)
 
     def with_values(self, df: DataFrame) -> DataFrame:
         # A struct around each value, so that a value may be a struct of NULLs and still count.
-        return df.withColumns({
-            f"_v_{n}": F.when(v.isNotNull(), F.struct(v.alias("v"))) for n, v in self.values.items()
-        })
+        lasts = {f"_v_{n}": F.when(v.isNotNull(), F.struct(v.alias("v"))) for n, v in self.values.items()}
+        return df.withColumns(lasts | {f"_v_{n}": v for n, v in self.sums.items()})
 
-    def direction(self) -> list[Column]:
-        return [F.col(c).desc() if self.backward else F.col(c).asc() for c in self.order]
+    def window(self, group: Sequence[str]) -> Window:
+        if self.strict:
+            return Window.partitionBy(*group).orderBy(self.order[0]).rangeBetween(Window.unboundedPreceding, -1)
+        direction = [F.col(c).desc() if self.backward else F.col(c).asc() for c in self.order]
+        end = Window.currentRow if self.inclusive else -1
+        return Window.partitionBy(*group).orderBy(*direction).rowsBetween(Window.unboundedPreceding, end)
 
 
 def carry(
@@ -113,7 +117,7 @@ def carry(
     values: Mapping[str, Column],
     *,
     hot: HotKeys | None = None,
-    **how: bool,
+    **how,
 ) -> DataFrame:
     """A single ``Pass``."""
     return carry_passes(df, [Pass(key, order, values, **how)], None if hot is None else [hot])
@@ -138,18 +142,15 @@ def carry_passes(df: DataFrame, passes: Sequence[Pass], hot: Sequence[HotKeys] |
 
 def _plain_pass(df: DataFrame, one: Pass, group: Sequence[str], starts: bool = False) -> DataFrame:
     rows = df if starts else one.with_values(df)
-    names = list(one.values)
-    ordered = Window.partitionBy(*group).orderBy(*one.direction())
-    if one.first_of_tie:
-        before = F.lag(one.order[0]).over(ordered)
-        rows = rows.withColumn("_tie", F.coalesce(before == F.col(one.order[0]), F.lit(False)))
-        rows = rows.withColumns({f"_v_{n}": F.when(~F.col("_tie"), F.col(f"_v_{n}")) for n in names})
-    window = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow if one.inclusive else -1)
+    window = one.window(group)
     seen = {}
-    for n in names:
+    for n in one.values:
         value = F.last(f"_v_{n}", ignorenulls=True).over(window)
         seen[n] = (F.coalesce(value, F.col(f"_s_{n}")) if starts else value)["v"]
-    return rows.withColumns(seen).drop(*[f"_v_{n}" for n in names], *[f"_s_{n}" for n in names])
+    for n in one.sums:
+        total = F.coalesce(F.sum(f"_v_{n}").over(window), F.lit(0))
+        seen[n] = total + F.coalesce(F.col(f"_s_{n}"), F.lit(0)) if starts else total
+    return rows.withColumns(seen).drop(*[f"_v_{n}" for n in seen], *[f"_s_{n}" for n in seen])
 
 
 def _borders(base: DataFrame, one: Pass, hot: HotKeys) -> DataFrame:
@@ -179,29 +180,28 @@ def _with_slices(df: DataFrame, one: Pass, borders: DataFrame) -> DataFrame:
 
 
 def _sliced_pass(df: DataFrame, base: DataFrame, one: Pass, hot: HotKeys) -> DataFrame:
-    names, key = list(one.values), list(one.key)
+    key = list(one.key)
     borders = _borders(base, one, hot)
     nearest = F.min_by if one.backward else F.max_by
-    # Of tied rows the first counts, else the last.
-    later = [-F.col(c) if one.first_of_tie else F.col(c) for c in one.order[1:]]
-    place = F.struct(F.col(one.order[0]), *[c.alias(f"o{i}") for i, c in enumerate(later)])
+    place = F.struct(*one.order)
+    held = [
+        nearest(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_v_{n}") for n in one.values
+    ] + [F.sum(f"_v_{n}").alias(f"_v_{n}") for n in one.sums]
     # Cold keys have slice 0 only and need no starts.
     ends = (
         _with_slices(one.with_values(base.where(F.xxhash64(*key).isin(*hot.hashes))), one, borders)
         .groupBy(*key, SLICE)
-        .agg(*[
-            nearest(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_v_{n}")
-            for n in names
-        ])
+        .agg(*held)
     )
-    by_slice = (
+    before = (
         Window.partitionBy(*key)
         .orderBy(F.col(SLICE).desc() if one.backward else F.col(SLICE).asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = ends.select(
         *key, SLICE,
-        *[F.last(f"_v_{n}", ignorenulls=True).over(by_slice).alias(f"_s_{n}") for n in names],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(before).alias(f"_s_{n}") for n in one.values],
+        *[F.sum(f"_v_{n}").over(before).alias(f"_s_{n}") for n in one.sums],
     )
     met = _with_slices(one.with_values(df), one, borders).join(starts, [*key, SLICE], "left")
     return _plain_pass(met, one, [*key, SLICE], starts=True).drop(SLICE)
