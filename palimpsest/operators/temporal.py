@@ -156,21 +156,6 @@ def members_as_of(
     )
 
 
-def _in_order(
-    messages: DataFrame, ids: str, lookup: DataFrame, value: str, name: str, id_: str = "id"
-) -> DataFrame:
-    """(id, array of the looked-up values in the order of the id array).
-
-    A group is what one row's array held, so it is never larger than that row.
-    """
-    placed = messages.select(id_, F.posexplode(ids).alias("_pos", "_ref"))
-    found = placed.join(lookup.select(F.col("id").alias("_ref"), F.col(value).alias("_value")), "_ref", "left")
-    grouped = found.groupBy(id_).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_list")
-    )
-    return grouped.select(id_, F.transform("_list", lambda e: e["_value"]).alias(name))
-
-
 def hydrate_messages(
     messages: DataFrame,
     users: DataFrame,
@@ -185,27 +170,44 @@ def hydrate_messages(
 
     ``messages``: rows at t with id, author_id, author_kind, mention_ids, attachment_ids;
     ``users``: user history; ``webhooks``: (internal_id, username).
+
+    All that a message refers to is looked up in one join of narrow rows and comes back in one
+    group per message, which is never larger than the arrays of that row; the wide rows meet it
+    once. A user that wrote a third of all messages is a skewed join key, which Spark splits.
     """
-    people = as_of(users, t)
-    names = people.select(F.col("id").alias("author_id"), F.col(user_name).alias("_user_name"))
-    personas = webhooks.select(
-        F.col("internal_id").alias("author_id"), F.col("username").alias("_persona_name")
+    def refs(role: str, kind: Column, ids: Column) -> Column:
+        return F.transform(F.coalesce(ids, F.array().cast("array<bigint>")), lambda i, pos: F.struct(
+            F.lit(role).alias("role"), pos.alias("pos"), kind.alias("kind"), i.cast("long").alias("ref")
+        ))
+
+    placed = messages.select("id", F.explode(F.concat(
+        refs("author", F.col("author_kind"), F.array("author_id")),
+        refs("mention", F.lit("user"), F.col("mention_ids")),
+        refs("attachment", F.lit("file"), F.col("attachment_ids")),
+    )).alias("r")).select("id", "r.*")
+
+    def known(kind: str, rows: DataFrame, id_: str, name: str) -> DataFrame:
+        return rows.select(
+            F.lit(kind).alias("kind"), F.col(id_).cast("long").alias("ref"), F.col(name).alias("name")
+        )
+
+    names = (
+        known("user", as_of(users, t), "id", user_name)
+        .unionByName(known("webhook", webhooks, "internal_id", "username"))
+        .unionByName(known("file", attachments, "id", attachment_name))
     )
-    is_user = F.col("author_kind") == "user"
-    by_user = messages.where(is_user).join(names, "author_id", "left").withColumn(
-        "author_name", F.col("_user_name")
-    ).drop("_user_name")
-    by_persona = messages.where(~is_user).join(personas, "author_id", "left").withColumn(
-        "author_name", F.col("_persona_name")
-    ).drop("_persona_name")
-    written = by_user.unionByName(by_persona)
-    mentions = _in_order(messages, "mention_ids", people, user_name, "mentions")
-    files = _in_order(messages, "attachment_ids", attachments, attachment_name, "attachments")
-    return (
-        written.join(mentions, "id", "left").join(files, "id", "left")
-        .withColumn("mentions", F.coalesce("mentions", F.array().cast("array<string>")))
-        .withColumn("attachments", F.coalesce("attachments", F.array().cast("array<string>")))
+    found = placed.join(names, ["kind", "ref"], "left")
+
+    def listed(role: str) -> Column:
+        in_place = F.collect_list(F.when(F.col("role") == role, F.struct("pos", "name")))
+        return F.transform(F.sort_array(in_place), lambda e: e["name"])
+
+    grouped = found.groupBy("id").agg(
+        F.max(F.when(F.col("role") == "author", F.col("name"))).alias("author_name"),
+        listed("mention").alias("mentions"),
+        listed("attachment").alias("attachments"),
     )
+    return messages.join(grouped, "id", "left")
 
 
 SAME_CHANNEL, PARENT_CHANNEL, SAME_GUILD = 0, 1, 0

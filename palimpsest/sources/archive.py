@@ -20,9 +20,9 @@ BUCKETS = 64
 
 
 def bucket_of(parent: str | Column, buckets: int) -> Column:
-    """Coarse partition of a parent; a NULL parent (direct channels) has a bucket of its own."""
+    """Coarse partition of a parent; NULL (direct channels) hashes like any other value."""
     column = F.col(parent) if isinstance(parent, str) else parent
-    return F.coalesce(F.pmod(F.xxhash64(column), F.lit(buckets)), F.lit(0)).cast("int")
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
 def write_archive(
@@ -70,10 +70,9 @@ def read_children(spark: SparkSession, path: str, name: str, parent_id: int | No
     """Rows of one parent: one bucket folder, and in it the row groups whose range has the parent."""
     commit = _commit(spark, path, name)
     rows = spark.read.parquet(f"{path}/data/{commit['version']}/{name}")
-    bucket = 0 if parent_id is None else None
     value = F.lit(parent_id).cast(rows.schema[commit["parent"]].dataType)
-    place = F.lit(bucket) if bucket is not None else bucket_of(value, commit["buckets"])
-    return children_of(rows.where(F.col("bucket") == place).drop("bucket"), commit["parent"], parent_id)
+    bucket = bucket_of(value, commit["buckets"])
+    return children_of(rows.where(F.col("bucket") == bucket).drop("bucket"), commit["parent"], parent_id)
 
 
 def children_of(rows: DataFrame, parent: str, parent_id: int | None) -> DataFrame:
