@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -16,7 +17,10 @@ def land(folder, batches):
     folder.mkdir()
     for n, batch in enumerate(batches):
         lines = [json.dumps(dict(zip(("t", "d", "seq", "received_at", "realtime"), row))) for row in batch]
-        (folder / f"{n:03}.json").write_text("\n".join(lines))
+        file = folder / f"{n:03}.json"
+        file.write_text("\n".join(lines))
+        # The source takes files in order of their time.
+        os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))
     return str(folder)
 
 
