@@ -133,9 +133,10 @@ def _(t):
 
 
 # A third of the channels are threads of the customer one below; the code depends on the status.
+# Other channels have ids of their own, as a real id that equals the channel's would be coded.
 REFERENCE_SQL = """m AS (
   SELECT o_orderkey AS id, o_custkey AS channel_id, o_custkey % 3 = 1 AS in_thread,
-    CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN CASE WHEN o_custkey % 3 = 1 THEN 1 END ELSE o_orderkey + 10 END AS c,
+    CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN CASE WHEN o_custkey % 3 = 1 THEN 1 END ELSE o_orderkey + 1000000000 END AS c,
     CASE WHEN o_orderpriority = '1-URGENT' THEN NULL WHEN o_orderpriority = '5-LOW' THEN 7777 ELSE 0 END AS g,
     CASE WHEN o_custkey % 3 = 1 THEN o_custkey - 1 END AS parent
   FROM orders),
@@ -158,7 +159,7 @@ def _(t):
     in_thread = F.col("o_custkey") % 3 == 1
     messages = t.orders.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("channel_id"),
-        F.when(status == "F", 0).when(status == "O", F.when(in_thread, 1)).otherwise(F.col("o_orderkey") + 10)
+        F.when(status == "F", 0).when(status == "O", F.when(in_thread, 1)).otherwise(F.col("o_orderkey") + 1_000_000_000)
         .cast("long").alias("ref_channel_id"),
         F.when(priority == "1-URGENT", F.lit(None)).when(priority == "5-LOW", 7777).otherwise(0).cast("long").alias("ref_guild_id"),
     )
