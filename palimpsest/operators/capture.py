@@ -73,9 +73,16 @@ def classify_snapshots(
         F.when(other, F.struct(F.col("_state").alias("state"), F.struct(*arrival).alias("place"))), ignorenulls=True
     ).over(whole))
 
+    several_anywhere = True
+    if hot:
+        # Slices read the rows again, so they are written; then it costs little to see whether any
+        # group has several states. If none has, the bit is 0 everywhere.
+        rows = staged(rows, "observations")
+        several_anywhere = not rows.where(F.col("_two").isNotNull()).isEmpty()
+
     giving = F.col("_head") & ~F.col("_late")
     group = F.struct(F.col("_one").alias("one"), F.col("_two.state").alias("two"), F.col("_two").isNotNull().alias("several"))
-    rows = carry(rows, key, order, {"_past": F.when(giving, group)}, strict=True, hot=hot)
+    rows = carry(rows, key, order, {"_past": F.when(giving, group)}, strict=True, hot=hot, stored=True)
     start = F.when(F.col("_stored_ts").isNotNull(), F.struct(
         F.col("_stored").alias("one"), F.col("_stored").alias("two"), F.lit(False).alias("several")
     ))
@@ -87,9 +94,12 @@ def classify_snapshots(
     rows = rows.withColumns({"_if_first": F.coalesce(if_first, F.lit(False)), "_if_second": F.coalesce(if_second, F.lit(False))})
     constant = F.col("_if_first") == F.col("_if_second")
     flips = F.col("_if_first") & ~F.col("_if_second")
-    rows = carry(rows, key, order, {}, strict=True, hot=hot, sums={"_flips": (giving & flips).cast("long")})
     fixed = F.struct(F.col("_if_first").alias("bit"), F.col("_flips").alias("at"))
-    rows = carry(rows, key, order, {"_fixed": F.when(giving & constant, fixed)}, strict=True, hot=hot)
+    if several_anywhere:
+        rows = carry(rows, key, order, {}, strict=True, hot=hot, sums={"_flips": (giving & flips).cast("long")})
+        rows = carry(rows, key, order, {"_fixed": F.when(giving & constant, fixed)}, strict=True, hot=hot)
+    else:
+        rows = rows.withColumn("_flips", F.lit(0).cast("long")).withColumn("_fixed", F.when(F.lit(False), fixed))
 
     odd = (F.col("_flips") - F.coalesce("_fixed.at", F.lit(0))) % 2 == 1
     past_second = F.coalesce("_fixed.bit", F.lit(False)) != odd

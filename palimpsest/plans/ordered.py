@@ -117,23 +117,27 @@ def carry(
     values: Mapping[str, Column],
     *,
     hot: HotKeys | None = None,
+    stored: bool = False,
     **how,
 ) -> DataFrame:
     """A single ``Pass``."""
-    return carry_passes(df, [Pass(key, order, values, **how)], None if hot is None else [hot])
+    return carry_passes(df, [Pass(key, order, values, **how)], None if hot is None else [hot], stored)
 
 
-def carry_passes(df: DataFrame, passes: Sequence[Pass], hot: Sequence[HotKeys] | None = None) -> DataFrame:
+def carry_passes(
+    df: DataFrame, passes: Sequence[Pass], hot: Sequence[HotKeys] | None = None, stored: bool = False
+) -> DataFrame:
     """Add the columns of all passes; their values come from the columns of ``df``.
 
-    With hot keys ``df`` is written once, since slices and slice ends read it again; they read
-    that table and not the passes before them, so the plan grows with the number of passes.
+    With hot keys ``df`` is written once, unless it is ``stored`` already, since slices and slice
+    ends read it again; they read that table and not the passes before them, so the plan grows
+    with the number of passes.
     """
     if hot is None:
         keys = list(dict.fromkeys(tuple(p.key) for p in passes))
         by_key = dict(zip(keys, find_hot_keys(df, *keys)))
         hot = [by_key[tuple(p.key)] for p in passes]
-    base = staged(df, "ordered") if any(hot) else df
+    base = staged(df, "ordered") if any(hot) and not stored else df
     frame = base
     for one, hot_keys in zip(passes, hot):
         frame = _sliced_pass(frame, base, one, hot_keys) if hot_keys else _plain_pass(frame, one, one.key)

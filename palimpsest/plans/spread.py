@@ -11,5 +11,7 @@ def spread(df: DataFrame) -> DataFrame:
     A scan cannot split a row group, so a few files leave most cores idle in parsing or text
     work. Inputs with enough files, as any large table has, pass unchanged: no shuffle.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
