@@ -11,6 +11,8 @@ SETTINGS = {
     # Joins on a hot key (one bot wrote a third of the messages) are split at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Lists are collected for many small groups; the default gives up hashing at 128 of them.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
     # Needed by the keyed stream operators.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

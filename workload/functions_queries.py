@@ -9,7 +9,7 @@ from palimpsest.functions import scalars as P
 from palimpsest.operators.capture import compact_snapshots
 from palimpsest.plans.ordered import newest
 from palimpsest.plans.spread import spread
-from palimpsest.plans.staging import work_dir
+from palimpsest.plans.staging import staged, work_dir
 from palimpsest.sources import archive, landing
 from palimpsest.streaming.stateful import start_append
 from workload.registry import query
@@ -67,7 +67,7 @@ def _(t):
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC) AS back FROM kept)
 SELECT CASE WHEN back = 1 THEN 'current' ELSE 'previous' END AS part, id, ts, kind, lvl FROM ranked""")
 def _(t):
-    kept = compact_snapshots(obs(t), ["id"], ["kind", "lvl"]).select("id", "ts", "kind", "lvl")
+    kept = staged(compact_snapshots(obs(t), ["id"], ["kind", "lvl"]).select("id", "ts", "kind", "lvl"), "history")
     current = newest(kept, ["id"], ["ts"])
     heads = current.select("id", F.col("ts").alias("head"))
     previous = kept.join(heads, "id").where("ts < head").drop("head")
