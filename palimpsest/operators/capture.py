@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -444,32 +444,27 @@ def explode_message_users(messages: DataFrame, received: str = "received_ms") ->
     ``interaction_user``, ``interaction_target`` and ``referenced`` with the same four, where
     users are structs of one type.
     """
-    def people(prefix: str) -> Column:
-        def field(name: str) -> Column:
-            return F.col(prefix + name)
-
-        author = F.when(
-            author_kind(field("webhook_id"), field("application_id")) == "user", field("author")
-        )
+    def addressed(prefix: str = "") -> Column:
         return F.concat(
-            F.coalesce(field("mentions"), F.array()),
-            F.array(field("interaction_user"), field("interaction_target"), author),
+            F.coalesce(F.col(prefix + "mentions"), F.array()),
+            F.array(F.col(prefix + "interaction_user"), F.col(prefix + "interaction_target")),
         )
 
-    both = people("")
+    def writer(prefix: str = "") -> Column:
+        kind = author_kind(prefix + "webhook_id", prefix + "application_id")
+        return F.array(F.when(kind == "user", F.col(prefix + "author")))
+
+    # In the order in which the archive takes them: the embedded message before the author.
+    embedded = F.array()
     if "referenced" in messages.columns:
-        below = F.when(F.col("referenced").isNotNull(), people("referenced.")).otherwise(F.array())
-        # The order of the archive: mentions and interaction, the embedded message, the author.
-        both = F.concat(
-            F.coalesce(F.col("mentions"), F.array()),
-            F.array(F.col("interaction_user"), F.col("interaction_target")),
-            below,
-            F.array(F.when(author_kind("webhook_id", "application_id") == "user", F.col("author"))),
-        )
+        embedded = F.when(
+            F.col("referenced").isNotNull(), F.concat(addressed("referenced."), writer("referenced."))
+        ).otherwise(F.array())
+    people = F.concat(addressed(), embedded, writer())
     seen = messages.select(
         F.col("id").alias("message_id"),
         encode_timing(received, F.lit(False)).alias("ts"),
-        F.posexplode(F.filter(both, lambda u: u.isNotNull())).alias("seq", "user"),
+        F.posexplode(F.filter(people, lambda u: u.isNotNull())).alias("seq", "user"),
     )
     return seen.select("message_id", "ts", "seq", "user.*")
 
@@ -528,8 +523,3 @@ def member_user_observation(members: DataFrame, user: str = "user", ts: str = "t
     """The user inside each member row, seen at the same time but not live."""
     not_live = F.shiftleft(F.shiftright(F.col(ts), 1), 1)
     return members.select(F.col(f"{user}.*"), not_live.alias("ts"))
-
-
-def batch_counts(results: DataFrame, by: Mapping[str, Column] | None = None) -> DataFrame:
-    """Rows per result of a classified batch."""
-    return results.groupBy("result").agg(F.count("*").alias("n"))

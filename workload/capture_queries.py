@@ -10,7 +10,7 @@ from palimpsest.plans.ordered import newest
 from palimpsest.plans.staging import staged
 from workload.registry import query
 from workload.stand_ins import (
-    KEPT_SQL, MEMBER_SQL, MEMBERS_KEPT_SQL, MIDDLE, SERVER_SQL, member_obs, ms_of, obs,
+    KEPT_SQL, MEMBERS_KEPT_SQL, MIDDLE, member_obs, ms_of, obs,
 )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions import scalars as P
 from palimpsest.operators import files as M
 from workload.functions_queries import EMOJI_TEXT, NAMED_PAGES, emoji_text, page_file_url
 from workload.registry import query

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions import scalars as P
 from palimpsest.operators import search as X
 from workload.registry import query
-from workload.stand_ins import SERVER_SQL, ms_of
+from workload.stand_ins import SERVER_SQL
 
 # Lower case, one accent off per letter, split on all but letters and digits.
 POSTINGS_SQL = """words AS (

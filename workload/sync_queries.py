@@ -8,7 +8,7 @@ from palimpsest.functions import scalars as P
 from palimpsest.operators import sync as I
 from palimpsest.operators.capture import classify_snapshots, state_of
 from workload.registry import query
-from workload.stand_ins import MIDDLE, OBS_SQL, ms_of, obs
+from workload.stand_ins import OBS_SQL, obs
 
 # Customers are channels and orders their messages; the mark is the last order before 1998.
 MARKS_SQL = """marks AS (SELECT o_custkey AS channel_id, max(o_orderkey) AS last_synced_id FROM orders

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scalars as P
 from palimpsest.operators import temporal as T
 from palimpsest.operators.capture import MEMBER_KEY, compact_snapshots, mark_deleted, members_append
-from palimpsest.plans.ordered import newest
 from workload.capture_queries import DELETIONS_SQL, MEMBER_STATE, deletions, order_messages
 from workload.registry import query
 from workload.stand_ins import (
