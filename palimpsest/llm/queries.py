@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, mixing
+from palimpsest.llm import licenses, line_dedup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def joined_labels(*hits: str):
+    """The distinct labels of some hit columns, sorted and comma-joined."""
+    labels = F.concat(*[F.transform(h, lambda x: x["label"]) for h in hits])
+    return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+
+@query("op3_licenses")
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    starts = F.transform("_base", lambda x: x["first_word"])
+    best = F.array_max(F.transform(F.concat("_base", "_fuzzy"), lambda x: x["likeness"]))
+    return licenses.scan_licenses(docs).select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.size("_base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined_labels("_base").alias("base_labels"), joined_labels("_base", "_fuzzy").alias("labels"),
+        F.coalesce(best, F.lit(0.0)).alias("score"), F.size("_fuzzy").cast("long").alias("n_fuzzy"),
+    )
+
+
 @query("op5_line_dedup", """
 WITH lines AS (
   SELECT source AS host, text AS page, trim(unnest(string_split(text, chr(10)))) AS line FROM documents
@@ -86,3 +105,21 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"),
     )
+
+
+# Grades of the ratings: 0 for low quality, 1 for good but toxic text, 2 for good text.
+GOOD_GRADE = 2
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(
+        (F.col("quality") == 1) & (F.col("toxic") == 0), 2).alias("grade"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.classify(docs, graded(table(spark, folder, "labels")), good=GOOD_GRADE).select(
+        "doc_id", F.col("_expected_grade").alias("expected_grade"),
+        F.col("_tail_probability").alias("tail_probability"), F.col("_kept").alias("kept"),
+    )
