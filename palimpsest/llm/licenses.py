@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.textops import LETTERS, LOWER, slices
+from palimpsest.llm.textops import LETTERS, LOWER, slices, with_fields
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", notices: Sequence[Noti
     """``docs`` with _n_words, _base and _fuzzy, the places of base phrases and of notices within their edits."""
     docs = docs.drop("_n_words", "_base", "_fuzzy")
     notices = tuple(notices)
-    schema = docs.schema.add("_n_words", "long").add("_base", HITS).add("_fuzzy", HITS)
+    schema = with_fields(docs, f"_n_words long, _base {HITS}, _fuzzy {HITS}")
     kind = pa.list_(pa.struct([("label", pa.string()), ("notice", pa.string()), ("first_word", pa.int64()),
                                ("last_word", pa.int64()), ("edits", pa.int32()), ("likeness", pa.float64())]))
 

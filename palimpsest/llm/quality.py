@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textops import LETTERS, LOWER, mixed, slices, utf8, word_bounds, word_hashes
+from palimpsest.llm.textops import LETTERS, LOWER, mixed, slices, utf8, with_fields, word_bounds, word_hashes
 
 BITS = 18
 FIT_ROWS = 3000
@@ -156,7 +156,7 @@ def classify(docs: DataFrame, ratings: DataFrame, *, good: int, doc_id: str = "d
     model = train(docs, ratings, doc_id=doc_id, text=text, grade=grade, fit_rows=fit_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("_expected_grade", "_tail_probability", "_kept")
-    schema = docs.schema.add("_expected_grade", "double").add("_tail_probability", "double").add("_kept", "boolean")
+    schema = with_fields(docs, "_expected_grade double, _tail_probability double, _kept boolean")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

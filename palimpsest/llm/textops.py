@@ -1,4 +1,4 @@
-"""Text columns as arrays of bytes, for work inside tasks; nothing here needs Spark."""
+"""Text columns as arrays of bytes, for work inside tasks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
 
@@ -23,6 +25,11 @@ _POSITION = _RANDOM.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and more columns after it."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts after one another, and where each begins and the last ends; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):
