@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import licenses, line_dedup, mixing, quality
+from palimpsest.llm import licenses, line_dedup, mixing, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,6 +107,17 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"),
+)
+
+
+@query("op9_url_filter")
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
 # Grades of the ratings: 0 for low quality, 1 for good but toxic text, 2 for good text.
 GOOD_GRADE = 2
 
