@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import licenses, line_dedup, mixing, quality, url_filter
+from palimpsest.llm import licenses, line_dedup, mixing, pieces, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,6 +72,19 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op6_pieces")
+def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL).select(
+        "doc_id", F.coalesce(F.size("_pieces"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.xxhash64("_pieces").alias("pieces_hash"), F.sha2("_decoded", 256).alias("decoded_sha256"),
+        F.col("_decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 @query("op8_mixing", r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
