@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import licenses, line_dedup, mixing, pieces, quality, url_filter
+from palimpsest.llm import licenses, line_dedup, mixing, ngram_join, pieces, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def joined_labels(*hits: str):
     """The distinct labels of some hit columns, sorted and comma-joined."""
     labels = F.concat(*[F.transform(h, lambda x: x["label"]) for h in hits])
