@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import licenses, line_dedup, mixing, ngram_join, pieces, quality, url_filter
+from palimpsest.llm import fingerprints, licenses, line_dedup, mixing, ngram_join, pieces, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprints.fingerprint_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    bits = F.col("bits")
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.hex_digits(bits).alias("fingerprint"),
+        fingerprints.hex_digits(F.col("edited_bits")).alias("edited_fingerprint"),
+        fingerprints.likeness(bits, F.col("edited_bits")).alias("near_edited"),
+        fingerprints.likeness(bits, F.col("next_bits")).alias("near_next"), "n_similar", "similar_id",
+    )
+
+
 @query("op2_ngram_join")
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, folder, "documents").select("doc_id", "text"))
