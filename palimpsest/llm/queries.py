@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fingerprints, licenses, line_dedup, mixing, ngram_join, pieces, quality, url_filter
+from palimpsest.llm import fingerprints, licenses, line_dedup, mixing, ngram_join, pieces, quality, url_filter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,6 +102,12 @@ def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_vectors")
+def op7_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    found = vectors.near_vectors(table(spark, folder, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 @query("op8_mixing", r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
