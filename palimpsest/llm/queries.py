@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fingerprints, licenses, line_dedup, mixing, ngram_join, pieces, quality, url_filter, vectors
+from palimpsest.llm import fingerprints, licenses, line_dedup, lm_score, mixing, ngram_join, pieces, quality, url_filter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,6 +63,11 @@ def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_lm_score")
+def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, folder, "documents"))
+
+
 @query("op5_line_dedup", """
 WITH lines AS (
   SELECT source AS host, text AS page, trim(unnest(string_split(text, chr(10)))) AS line FROM documents
