@@ -1,37 +1,69 @@
-"""The corpus pipeline: documents through a chain of operators, each stage written before the next reads it."""
+"""The corpus pipeline: documents through a chain of operators, each stage written before the next reads it.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
+columns of ``docs``, further ones included. NULL texts are rejected by the classifier; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, mixing
+from palimpsest.llm import line_dedup, mixing, ngram_join, pieces, quality
+from palimpsest.llm.queries import GOOD_GRADE, PIECE_MODEL, graded, table
 from palimpsest.plans.staging import staged
 
 
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    judged = quality.classify(docs, graded(table(spark, sf_dir, "labels")), good=GOOD_GRADE)
+    return judged.where("_kept").select(*docs.columns)
+
+
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a source repeats on its documents go; a document that held nothing else goes as well."""
     cut = line_dedup.drop_boilerplate(docs)
-    emptied = (F.col("_n_dropped") > 0) & (F.trim("text") == "")
-    return cut.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    emptied = F.coalesce((F.col("_n_dropped") > 0) & (F.trim("text") == ""), F.lit(False))
+    return cut.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def join_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays; rows of one id count as one document."""
+    groups = ngram_join.similar_groups(docs)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    named = docs.where("doc_id IS NOT NULL")
+    chosen = named.join(kept, named.doc_id == kept._kept_id, "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources brought to their target weights."""
+    """Sources brought to their target weights; documents stand as often as the mix takes them."""
     return mixing.mix(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece numbers of each text, and the text that they decode to."""
+    encoded = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    return encoded.select(
+        *[c for c in docs.columns if c not in ("text", "pieces", "n_pieces")], F.col("_decoded").alias("text"),
+        F.col("_pieces").alias("pieces"), F.coalesce(F.size("_pieces"), F.lit(0)).cast("long").alias("n_pieces"),
+    )
+
+
 STAGES = [
+    ("quality classifier", judge_quality),
     ("line dedup", clean_lines),
-    ("mixing", mix_sources),
+    ("n-gram jaccard join", join_copies),
+    ("mixing sources", mix_sources),
+    ("sentencepiece", encode_pieces),
 ]
-# The classifier and the tokenizer have no SQL; the tests hold the stages against brute force.
+# The classifier, the groups and the tokenizer have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
