@@ -49,7 +49,8 @@ def source_rates(
     weight_left = F.sum("_weight").over(by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     all_sizes = F.sum("source_size").over(everything)
     levels = weighed.withColumn("_level", (all_sizes * share - stopped_before) / weight_left)
-    open_level = F.min(F.when(F.col("_level") * F.col("_weight") < F.col("_cap"), F.col("_level"))).over(everything)
+    # The first source that isn't stopped sets the level; for those after it the running sums take off too much.
+    open_level = F.max(F.when(F.col("_level") * F.col("_weight") < F.col("_cap"), F.col("_level"))).over(everything)
     target = F.when(
         F.col("_level") * F.col("_weight") < F.col("_cap"), open_level * F.col("_weight")
     ).otherwise(F.col("_cap"))

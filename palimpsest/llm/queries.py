@@ -130,7 +130,7 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size,
          CASE WHEN level * weight < cap
-              THEN min(CASE WHEN level * weight < cap THEN level END) OVER () * weight ELSE cap END AS target
+              THEN max(CASE WHEN level * weight < cap THEN level END) OVER () * weight ELSE cap END AS target
   FROM levels
 ), rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
