@@ -77,10 +77,11 @@ def fingerprints(rows: DataFrame, texts: dict[str, Column], keys: list[str]) ->
     Rows with equal keys must have equal texts; they are counted by a mark without votes, which also keeps rows
     without terms.
     """
-    tagged = [
-        F.transform(terms(text), lambda x, tag=tag: F.struct(F.lit(tag).alias("tag"), x["hash"].alias("hash"), x["weight"].alias("weight"), F.lit(0).alias("mark")))
-        for tag, text in enumerate(texts.values())
-    ]
+    def vote_rows(tag: int, text: Column) -> Column:
+        return F.transform(terms(text), lambda x: F.struct(
+            F.lit(tag).alias("tag"), x["hash"].alias("hash"), x["weight"].alias("weight"), F.lit(0).alias("mark")))
+
+    tagged = [vote_rows(tag, text) for tag, text in enumerate(texts.values())]
     marks = F.array(*[
         F.struct(F.lit(tag).alias("tag"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("weight"), F.lit(1).alias("mark"))
         for tag in range(len(texts))
