@@ -41,9 +41,9 @@ NOTICES = (
     Notice("lgpl", "gnu lesser general public license", 2),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
     Notice("mpl", "mozilla public license version", 3),
-    Notice("cc-by", "licensed under cc by", 1),
-    Notice("cc-by-nc", "licensed under cc by nc", 1),
-    Notice("cc-by-sa", "licensed under cc by sa", 1),
+    Notice("cc-by", "licensed under cc by 4 0", 1),
+    Notice("cc-by-nc", "licensed under cc by nc 4 0", 1),
+    Notice("cc-by-sa", "licensed under cc by sa 4 0", 1),
     Notice("cc", "creative commons attribution", 3),
 )
 HITS = "array<struct<label:string,notice:string,first_word:long,last_word:long,edits:int,likeness:double>>"
