@@ -57,9 +57,9 @@ def classify_snapshots(
     else:
         stored = latest.select(*key, F.col(ts).alias("_stored_ts"), state.alias("_stored"))
         rows = rows.join(stored, list(key), "left")
-    if not hot:
-        # One partitioning serves the groups and the keys.
-        rows = rows.repartition(*key)
+    # Without hot keys one partitioning serves the groups and the keys. A hot key is dealt anew by its times: the
+    # exchange lets Spark split the key in the join before it, and the groups don't meet in one task.
+    rows = rows.repartition(*key, *([ts] if hot else []))
     rows = rows.withColumn("_late", F.coalesce(F.col(ts) <= F.col("_stored_ts"), F.lit(False)))
 
     in_group = Window.partitionBy(*key, ts).orderBy(*arrival)
@@ -235,10 +235,14 @@ def fill_partial(
         .when(F.col(c).isNotNull(), F.struct(F.col(c).alias("x")))
         for c in columns
     }
+    if hot is None:
+        (hot,) = find_hot_keys(obs, key)
     rows = carry(obs, key, order, remembered, hot=hot)
     if latest is not None:
         stored = latest.select(*key, *[F.col(c).alias(f"_stored_{c}") for c in columns])
         rows = rows.join(stored, list(key), "left")
+        if hot:
+            rows = rows.repartition(*key, order[0])
     filled = {}
     for c in columns:
         memory = F.col(f"_fill_{c}")

@@ -5,20 +5,21 @@ row count is above ``spark.palimpsest.hotKeyRows`` is cut into time slices of ab
 count. The slices are separate window groups, and what has to cross a slice border (the last
 value seen so far) travels as one small row per slice:
 
-1. a sketch of the key column (``approx_top_k``, one narrow scan, one tiny result) names the
-   hot keys; without any, the plan is one shuffle and one plain window;
+1. exact counts of the keys, combined before the shuffle, give a table of the hot ones with the
+   number of slices of each; without any, the plan is one shuffle and one plain window;
 2. ``percentile_approx`` gives the borders of the slices of the hot keys;
 3. ``max_by`` per slice, combined before the shuffle, gives the value at its end; a window over
    the slice rows gives the value each slice starts with;
-4. rows and slice starts meet on (key, slice), and the window over the same columns reuses that
-   partitioning, so the wide rows are shuffled once in both plans.
+4. rows and slice starts meet on two hashes of the key and the slice, and the window over the same
+   columns reuses that partitioning, so the wide rows are shuffled once in both plans. Hashes are
+   never NULL, so NULL is a key like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from math import ceil
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,28 +28,31 @@ from palimpsest.plans.staging import staged
 
 HOT_ROWS_SETTING = "spark.palimpsest.hotKeyRows"
 DEFAULT_HOT_ROWS = 4_000_000
-# Keys beyond the first 4096 hold at most 1/4096 of the rows each; they need no slices.
-MAX_HOT_KEYS = 4096
-SKETCH_ITEMS = 65_536
 # Borders of a hot key are searched in two steps of 64, so 4096 slices cost 128 comparisons.
 STEP = 64
-MAX_SLICES = STEP * STEP
-# The border table is broadcast; this many longs are 32 MB.
-MAX_BORDERS = 4_000_000
+# There are at most two slices for each DEFAULT_HOT_ROWS rows. Up to this many borders (32 MB) are sent to
+# all executors; beyond that rows and borders are joined by key.
+BROADCAST_SLICES = 4_000_000
 
 KEY_HASH = "_key_hash"
+KEY_CHECK = "_key_check"
 SLICE = "_slice"
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hashes of the keys that hold too many rows for one task, and how many slices to cut."""
+    """Keys with too many rows for one task.
 
-    hashes: tuple[int, ...] = ()
-    slices: int = 1
+    ``table`` (written; key hashes, _doublings) names them: a key is cut into 2 ** doublings slices. ``doublings`` are
+    the numbers that occur, ``slices`` is the sum of all slices.
+    """
+
+    table: DataFrame | None = None
+    doublings: tuple[int, ...] = ()
+    slices: int = 0
 
     def __bool__(self) -> bool:
-        return bool(self.hashes)
+        return self.table is not None
 
 
 NO_HOT_KEYS = HotKeys()
@@ -58,23 +62,27 @@ def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(DEFAULT_HOT_ROWS)))
 
 
+def key_hashes(key: Sequence[str]) -> list[Column]:
+    return [F.xxhash64(*key).alias(KEY_HASH), F.xxhash64(F.lit(1), *key).alias(KEY_CHECK)]
+
+
 def find_hot_keys(df: DataFrame, *keys: Sequence[str]) -> list[HotKeys]:
-    """Hot keys for each of several key column lists, in one pass over those columns."""
+    """Hot keys for each of several key column lists, from exact counts in one pass over those columns."""
     limit = hot_rows(df)
-    hashed = df.select(*[F.xxhash64(*key).alias(f"k{i}") for i, key in enumerate(keys)])
-    found = hashed.agg(*[
-        F.expr(f"approx_top_k(k{i}, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias(f"k{i}")
-        for i in range(len(keys))
-    ]).first()
+    hashed = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_list"), *key_hashes(key)) for i, key in enumerate(keys)
+    ])).alias("k")).select("k.*")
+    counted = hashed.groupBy("_list", KEY_HASH, KEY_CHECK).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
+    hot = staged(counted.withColumn("_doublings", F.ceil(F.log2(F.col("_rows") / limit)).cast("int")), "hot-keys")
+    # One row for each list and number of doublings.
+    sizes = hot.groupBy("_list", "_doublings").agg(F.count("*").alias("n")).collect()
     result = []
-    for items in found:
-        hot = [(row["item"], row["count"]) for row in items or () if row["count"] > limit]
-        if not hot:
-            result.append(NO_HOT_KEYS)
-            continue
-        wanted = ceil(hot[0][1] / limit)
-        slices = max(2, min(wanted, MAX_SLICES, MAX_BORDERS // len(hot)))
-        result.append(HotKeys(tuple(sorted(h for h, _ in hot)), slices))
+    for i in range(len(keys)):
+        own = [r for r in sizes if r["_list"] == i]
+        result.append(HotKeys(
+            hot.where(F.col("_list") == i).select(KEY_HASH, KEY_CHECK, "_doublings"),
+            tuple(sorted(r["_doublings"] for r in own)), sum(r["n"] << r["_doublings"] for r in own),
+        ) if own else NO_HOT_KEYS)
     return result
 
 
@@ -158,20 +166,25 @@ def _plain_pass(df: DataFrame, one: Pass, group: Sequence[str], starts: bool = F
 
 
 def _borders(base: DataFrame, one: Pass, hot: HotKeys) -> DataFrame:
-    """(key hash, ascending slice borders) of the hot keys: at most MAX_BORDERS longs."""
-    shares = [i / hot.slices for i in range(1, hot.slices)]
-    return (
-        base.select(F.xxhash64(*one.key).alias(KEY_HASH), F.col(one.order[0]).alias("_at"))
-        .where(F.col(KEY_HASH).isin(*hot.hashes))
-        .groupBy(KEY_HASH)
-        .agg(F.percentile_approx("_at", shares, 10 * hot.slices).alias("_borders"))
-    )
-
-
-def _with_slices(df: DataFrame, one: Pass, borders: DataFrame) -> DataFrame:
-    """Add the slice number: 0 for cold keys, else the place of the row between the borders."""
+    """(key hashes, ascending slice borders) of the hot keys; keys with equally many slices go together."""
+    at = base.select(*key_hashes(one.key), F.col(one.order[0]).alias("_at"))
+    parts = []
+    for doublings in hot.doublings:
+        slices = 1 << doublings
+        keys = hot.table.where(F.col("_doublings") == doublings)
+        parts.append(
+            at.join(keys, [KEY_HASH, KEY_CHECK], "left_semi").groupBy(KEY_HASH, KEY_CHECK)
+            .agg(F.percentile_approx("_at", [i / slices for i in range(1, slices)], 10 * slices).alias("_borders"))
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_slices(df: DataFrame, one: Pass, borders: DataFrame, hot: HotKeys) -> DataFrame:
+    """Add the key hashes and the slice number: 0 for cold keys, else the place of the row between the borders."""
     at = F.col(one.order[0])
-    joined = df.withColumn(KEY_HASH, F.xxhash64(*one.key)).join(F.broadcast(borders), KEY_HASH, "left")
+    side = F.broadcast(borders) if hot.slices <= BROADCAST_SLICES else borders
+    hashed = df.withColumns(dict(zip((KEY_HASH, KEY_CHECK), key_hashes(one.key))))
+    joined = hashed.join(side, [KEY_HASH, KEY_CHECK], "left")
     every = F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.size("_borders") / STEP)).cast("int")),
         lambda i: F.try_element_at("_borders", i * STEP),
@@ -180,35 +193,34 @@ def _with_slices(df: DataFrame, one: Pass, borders: DataFrame) -> DataFrame:
     fine = F.size(F.filter(F.slice("_borders", coarse * STEP + 1, STEP), lambda b: b < at))
     return joined.withColumn(
         SLICE, F.when(F.col("_borders").isNull(), 0).otherwise(coarse * STEP + fine)
-    ).drop("_borders", KEY_HASH)
+    ).drop("_borders")
 
 
 def _sliced_pass(df: DataFrame, base: DataFrame, one: Pass, hot: HotKeys) -> DataFrame:
-    key = list(one.key)
     borders = _borders(base, one, hot)
     nearest = F.min_by if one.backward else F.max_by
     place = F.struct(*one.order)
     held = [
         nearest(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_v_{n}") for n in one.values
     ] + [F.sum(f"_v_{n}").alias(f"_v_{n}") for n in one.sums]
+    group = [KEY_HASH, KEY_CHECK, SLICE]
     # Cold keys have slice 0 only and need no starts.
     ends = (
-        _with_slices(one.with_values(base.where(F.xxhash64(*key).isin(*hot.hashes))), one, borders)
-        .groupBy(*key, SLICE)
-        .agg(*held)
+        _with_slices(one.with_values(base), one, borders, hot)
+        .join(hot.table, [KEY_HASH, KEY_CHECK], "left_semi").groupBy(*group).agg(*held)
     )
     before = (
-        Window.partitionBy(*key)
+        Window.partitionBy(KEY_HASH, KEY_CHECK)
         .orderBy(F.col(SLICE).desc() if one.backward else F.col(SLICE).asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = ends.select(
-        *key, SLICE,
+        *group,
         *[F.last(f"_v_{n}", ignorenulls=True).over(before).alias(f"_s_{n}") for n in one.values],
         *[F.sum(f"_v_{n}").over(before).alias(f"_s_{n}") for n in one.sums],
     )
-    met = _with_slices(one.with_values(df), one, borders).join(starts, [*key, SLICE], "left")
-    return _plain_pass(met, one, [*key, SLICE], starts=True).drop(SLICE)
+    met = _with_slices(one.with_values(df), one, borders, hot).join(starts, group, "left")
+    return _plain_pass(met, one, [*group, *one.key], starts=True).drop(*group)
 
 
 def newest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import capture as C
+from palimpsest.operators.temporal import as_of_join
 from palimpsest.plans.ordered import find_hot_keys, newest
 
 SCHEMA = "id long, ts long, seq long, v string, _extra string"
@@ -73,7 +74,37 @@ def test_hot_keys_are_found(spark):
     df = spark.range(300).select(F.when(F.col("id") < 100, 7).otherwise(F.col("id")).alias("k"))
     (hot,) = find_hot_keys(df, ["k"])
     spark.conf.unset("spark.palimpsest.hotKeyRows")
-    assert len(hot.hashes) == 1 and hot.slices == 2
+    assert hot.table.count() == 1 and hot.slices == 2
+
+
+def test_every_hot_key_has_its_own_slices(spark):
+    spark.conf.set("spark.palimpsest.hotKeyRows", "2")
+    df = spark.range(9000).select(F.when(F.col("id") < 40, None).otherwise(F.floor(F.col("id") / 3)).alias("k"))
+    (hot,) = find_hot_keys(df, ["k"])
+    spark.conf.unset("spark.palimpsest.hotKeyRows")
+    # NULL holds 40 rows and is cut into 32 slices, thousands of others into 2.
+    assert {r["_doublings"]: r["count"] for r in hot.table.groupBy("_doublings").count().collect()} == {5: 1, 1: 2986}
+
+
+def test_null_keys(spark, hot_mode):
+    rows = [(None if i % 2 else 3, 2 * (i // 2) + 2, i, "aabbcc"[i // 2 % 6], None) for i in range(48)]
+    kept = C.compact_snapshots(spark.createDataFrame(rows, SCHEMA).repartition(5), ["id"], ["v"])
+    found = {k: [] for k in (None, 3)}
+    for r in sorted(kept.collect(), key=lambda r: r.ts):
+        found[r.id].append((r.v, r.result))
+    want = [("a", "first")] + [(v, "another") for v in "bcabcabcabc"]
+    assert found == {None: want, 3: want}
+
+
+def test_as_of_join_with_null_keys(spark, hot_mode):
+    facts = spark.createDataFrame([(None if i % 2 else 1, 10 * i) for i in range(12)], "k long, ms long")
+    versions = spark.createDataFrame([(None if i % 2 else 1, 2 * 20 * i, f"n{i}") for i in range(8)], "k long, ts long, name string")
+    got = as_of_join(facts, versions, ["k"], ["name"])
+    want = {}
+    for i in range(12):
+        past = [j for j in range(8) if j % 2 == i % 2 and 20 * j <= 10 * i]
+        want[(None if i % 2 else 1, 10 * i)] = f"n{max(past)}" if past else None
+    assert {(r.k, r.ms): r.name for r in got.collect()} == want
 
 
 def test_compacting_twice_is_once(spark):
