@@ -240,10 +240,10 @@ def base_name(path: ColumnOrName) -> Column:
     return F.substring_index(F.rtrim(col(path), F.lit("/")), "/", -1)
 
 
-def link_name(url: ColumnOrName, key: ColumnOrName) -> Column:
-    """Base name of the URL path, four characters of the content key, last extension."""
+def link_name(url: ColumnOrName, key: ColumnOrName, letters: int | None = 4) -> Column:
+    """Base name of the URL path, four characters of the content key (all with None), last extension."""
     name = base_name(url_path(url))
-    mark = F.concat(F.lit("-"), F.substring(col(key), 1, 4))
+    mark = F.concat(F.lit("-"), col(key) if letters is None else F.substring(col(key), 1, letters))
     return F.when(
         F.locate(".", name) > 0,
         F.concat(

@@ -235,12 +235,20 @@ def classify_pending(pending: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def file_links(registry: DataFrame, hex_hash: str = "hash") -> DataFrame:
-    """(name, url, key): one link name per stored file; on a clash the first URL wins."""
+    """(name, url, key) of every stored file; names of different contents differ.
+
+    The name holds four characters of the key. Of several contents with one name that of the first URL keeps it; the others
+    take their whole key into the name. The first one is combined before the shuffle, so a name that many files have costs
+    one row of each task, and Spark splits it in the join.
+    """
     named = registry.where(F.col("error_code").isNull()).select(
         "url", digest_key(hex_hash).alias("key")
-    ).withColumn("name", link_name("url", "key"))
-    return named.groupBy("name").agg(
-        F.min("url").alias("url"), F.min_by("key", "url").alias("key")
+    ).withColumn("_short", link_name("url", "key"))
+    winners = named.groupBy("_short").agg(F.min(F.struct("url", "key")).alias("_winner")).select(
+        "_short", F.col("_winner.key").alias("_first"))
+    keeps = F.col("key") == F.col("_first")
+    return named.join(winners, "_short").select(
+        F.when(keeps, F.col("_short")).otherwise(link_name("url", "key", None)).alias("name"), "url", "key"
     )
 
 

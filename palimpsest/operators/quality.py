@@ -180,23 +180,37 @@ def archive_gate(
     object_id: str = "object_id",
     event: str = "t",
     needs: Mapping[str, str] = EVENT_OPTIONS,
+    parent_id: str = "parent_id",
 ) -> DataFrame:
     """Events that the resolved options of their object let through.
 
-    ``options`` has ``id`` and one boolean column per option name; events not in ``needs`` pass
-    when their object has an option row, as nothing rules them.
+    ``options`` has ``id`` and one boolean column per option name. An object without a row, as one that is just being
+    created, goes by the row of its parent (column ``parent_id`` of the events, if there is one). Events not
+    in ``needs`` pass when their object or its parent has a row, as nothing rules them.
     """
     used = sorted(set(needs.values()))
     extra = ["reactionArchivalMode"] if "reactionArchivalMode" in options.columns else []
-    rules = options.select(F.col("id").alias(object_id), *used, *extra)
-    allowed = F.lit(True)
+    names = [*used, *extra]
+
+    def rules(key: str, mark: str) -> DataFrame:
+        return options.select(F.col("id").alias(key), *[F.col(n).alias(f"{mark}{n}") for n in names], F.lit(True).alias(f"{mark}known"))
+
+    met = events.join(rules(object_id, "_own_"), object_id, "left")
+    if parent_id in events.columns:
+        met = met.join(rules(parent_id, "_parent_"), parent_id, "left")
+    rule_of = {
+        n: F.when(F.col("_own_known"), F.col(f"_own_{n}")).otherwise(
+            F.col(f"_parent_{n}") if parent_id in events.columns else F.lit(None))
+        for n in (*names, "known")
+    }
+    allowed = rule_of["known"]
     for name in reversed(used):
         events_of = [e for e, n in needs.items() if n == name]
-        rule = F.col(name)
+        rule = rule_of[name]
         if name == "storeReactionEvents" and extra:
-            rule = rule & (F.col("reactionArchivalMode") == "users")
+            rule = rule & (rule_of["reactionArchivalMode"] == "users")
         allowed = F.when(F.col(event).isin(*events_of), rule).otherwise(allowed)
-    return events.join(rules, object_id).where(allowed).drop(*used, *extra)
+    return met.where(allowed).select(*events.columns)
 
 
 def private_thread_filter(df: DataFrame, type_: str | Column = "type") -> DataFrame:

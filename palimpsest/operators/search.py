@@ -174,12 +174,16 @@ def search_results(
         F.col("id").alias("author_id"), F.col("username").alias("_user"), F.col("discriminator").alias("_disc")
     )
     personas = webhooks.select(F.col("internal_id").alias("author_id"), F.col("username").alias("_persona"))
-    is_webhook = F.col("author_kind") == "webhook"
-    by_user = rows.where(~is_webhook).join(people, "author_id", "left").withColumn("_persona", F.lit(None).cast("string"))
-    by_persona = rows.where(is_webhook).join(personas, "author_id", "left").withColumns(
-        {"_user": F.lit(None).cast("string"), "_disc": F.lit(None).cast("string")}
+    # An unknown kind of author is looked up among the users; every hit stays.
+    is_webhook = F.coalesce(F.col("author_kind") == "webhook", F.lit(False))
+    named = (
+        rows.withColumns({
+            "_person": F.when(~is_webhook, F.col("author_id")), "_number": F.when(is_webhook, F.col("author_id")),
+        })
+        .join(people.withColumnRenamed("author_id", "_person"), "_person", "left")
+        .join(personas.withColumnRenamed("author_id", "_number"), "_number", "left")
+        .drop("_person", "_number")
     )
-    named = by_user.unionByName(by_persona)
 
     own = channels.select(
         F.col("id").alias("channel_id"), F.col("name").alias("channel_name"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +30,33 @@ def sync_needed(marks: DataFrame, newest: DataFrame) -> DataFrame:
     return met.where(F.col("newest_id").isNull() | (F.col("last_synced_id") < F.col("newest_id")))
 
 
-def incremental_slice(rows: DataFrame, marks: DataFrame, n: int = PAGE, id_: str = "id") -> DataFrame:
-    """Per channel the first n rows above the mark, oldest first, with their ``position``.
+# A channel's rows are dealt to so many tasks before they are cut.
+SALTS = 32
+
+
+def first_of_each(
+    rows: DataFrame, marks: DataFrame, key: str, above: Column, order: Sequence[Column], n: int, id_: str = "id",
+) -> DataFrame:
+    """The first n rows of each key for which ``above`` holds, with their ``position``; ``marks`` has one row a key.
 
-    Spark keeps at most n rows per channel and task before the shuffle, so a hot channel does
-    not travel whole (up to n = 1000, the limit of that rule).
+    Rows and marks meet on the key and a salt of the row's id, and each salt is cut to n rows at once, so a hot key
+    brings at most SALTS * n rows to one task.
     """
-    above = (
-        rows.join(marks.select("channel_id", "last_synced_id"), "channel_id", "left")
-        .where(F.col(id_) > F.coalesce("last_synced_id", F.lit(0)))
-        .drop("last_synced_id")
+    salt = F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    met = rows.withColumn("_salt", salt).join(marks.withColumn("_salt", salts), [key, "_salt"], "left").where(above)
+    place = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))
+    cut = met.withColumn("position", place).where(F.col("position") <= n).select(*rows.columns)
+    return cut.withColumn(
+        "position", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("position") <= n)
+
+
+def incremental_slice(rows: DataFrame, marks: DataFrame, n: int = PAGE, id_: str = "id") -> DataFrame:
+    """Per channel the first n rows above the mark, oldest first, with their ``position``."""
+    return first_of_each(
+        rows, marks.select("channel_id", F.col("last_synced_id").alias("_mark")), "channel_id",
+        F.col(id_) > F.coalesce("_mark", F.lit(0)), [F.col(id_).asc()], n, id_,
     )
-    place = F.row_number().over(Window.partitionBy("channel_id").orderBy(id_))
-    return above.withColumn("position", place).where(F.col("position") <= n)
 
 
 def advance_mark(
@@ -122,12 +138,12 @@ def archived_threads_slice(
 ) -> DataFrame:
     """Per channel the n closed threads with the newest closing time before its cursor."""
     rows = threads.where(F.col(closed).isNotNull())
-    if before is not None:
-        rows = rows.join(before.select("parent_id", "before"), "parent_id", "left").where(
-            F.col("before").isNull() | (F.col(closed) < F.col("before"))
-        ).drop("before")
-    place = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.col(closed).desc(), F.col("id").desc()))
-    return rows.withColumn("position", place).where(F.col("position") <= n)
+    if before is None:
+        before = rows.select("parent_id", F.lit(None).cast(rows.schema[closed].dataType).alias("before")).limit(0)
+    return first_of_each(
+        rows, before.select("parent_id", F.col("before").alias("_before")), "parent_id",
+        F.col("_before").isNull() | (F.col(closed) < F.col("_before")), [F.col(closed).desc(), F.col("id").desc()], n,
+    )
 
 
 def run_stats(results: DataFrame, kind: str = "kind") -> DataFrame:

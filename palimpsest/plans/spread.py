@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+TASKS_SETTING = "spark.palimpsest.spreadTasks"
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer files than the cluster has cores.
+    """Rows dealt to as many tasks as the setting says; unchanged without it, and on streams.
 
-    A scan cannot split a row group, so a few files leave most cores idle in parsing or text
-    work. Inputs with enough files, as any large table has, pass unchanged: no shuffle.
+    A scan cannot split a row group, so with few large files most cores may be idle in parsing or text work; only
+    the user knows whether that is worth a shuffle.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    tasks = df.sparkSession.conf.get(TASKS_SETTING, None)
+    return df.repartition(int(tasks)) if tasks and not df.isStreaming else df

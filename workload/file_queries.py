@@ -170,13 +170,15 @@ def _(t):
 
 
 @query("M10_file_links", f"""WITH named AS (
-  SELECT url, key, CASE WHEN contains(name, '.') THEN
-      regexp_extract(name, '^(.*)\\.([^.]*)$', 1) || '-' || substr(key, 1, 4) || '.' || regexp_extract(name, '^(.*)\\.([^.]*)$', 2)
-    ELSE name || '-' || substr(key, 1, 4) END AS name
+  SELECT url, key, CASE WHEN contains(name, '.') THEN regexp_extract(name, '^(.*)\\.([^.]*)$', 1) || '-' ELSE name || '-' END AS head,
+    CASE WHEN contains(name, '.') THEN '.' || regexp_extract(name, '^(.*)\\.([^.]*)$', 2) ELSE '' END AS tail
   FROM {NAMED_PAGES} JOIN (SELECT page_id,
     regexp_extract(url, '^[^?#]*') || CASE WHEN page_id % 2 = 0 THEN '.tar.gz' ELSE '' END || regexp_extract(url, '^[^?#]*(.*)$', 1) AS url
-    FROM pages WHERE NOT contains(url, '/fr/')) USING (page_id))
-SELECT name, min(url) AS url, arg_min(key, url) AS key FROM named GROUP BY name""")
+    FROM pages WHERE NOT contains(url, '/fr/')) USING (page_id)
+), ranked AS (
+  SELECT *, first_value(key) OVER (PARTITION BY head || substr(key, 1, 4) || tail ORDER BY url, key) AS winner FROM named
+)
+SELECT head || CASE WHEN key = winner THEN substr(key, 1, 4) ELSE key END || tail AS name, url, key FROM ranked""")
 def _(t):
     files = t.pages.select(
         page_file_url().alias("url"), F.sha2("html", 256).alias("hash"),

@@ -172,8 +172,11 @@ def _(t):
         "signup": "GUILD_MEMBER_ADD", "purchase": "MESSAGE_REACTION_ADD",
     }
     pairs = [F.lit(x) for pair in names.items() for x in pair]
+    # Every seventh object is new: only its parent has options.
+    new = F.col("event_id") % 7 == 0
     events = t.events.select(
-        "event_id", "event_type", F.col("user_id").alias("object_id"), F.create_map(*pairs)[F.col("event_type")].alias("t")
+        "event_id", "event_type", F.when(new, -1 - F.col("event_id")).otherwise(F.col("user_id")).alias("object_id"),
+        F.when(new, F.col("user_id")).alias("parent_id"), F.create_map(*pairs)[F.col("event_type")].alias("t")
     )
     options = t.customer.select(
         F.col("c_custkey").alias("id"),
