@@ -24,7 +24,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
@@ -237,18 +237,25 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     every = staged(document_sets(docs, "doc_id", "text", width, s), "sets")
     usable = every.where("n > 0 AND doc_id IS NOT NULL")
-    # Copies: minima are combined before the shuffle.
-    sets = staged(usable.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("blocks").alias("blocks")), "distinct")
-    size_class = F.floor(F.log(F.col("n")) * 10).alias("class")
-    cells = staged(
-        usable.select(F.explode("first").alias("column"), "set", "n").distinct()
-        .withColumn("class", size_class), "cells")
-    fits = f"{s.denominator} * least(n, m) >= {s.numerator} * greatest(n, m)"
-
-    # Partial products with one member of each column and size class, added up over the columns.
-    hubs = cells.groupBy("column", "class").agg(F.min("set").alias("y"), F.min_by("n", "set").alias("m"), F.count("*").alias("k")).where("k > 1")
+    # Copies: one row of each set leaves a task.
+    sets = staged(usable.groupBy("set").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.first("first").alias("first"),
+    ), "distinct")
+    # Columns with one set make no pairs and go here; the rows of a column stay in one place for both steps.
+    in_column = Window.partitionBy("column")
+    shared = sets.select("set", "n", F.posexplode("first").alias("at", "column")).withColumn(
+        "k", F.count("*").over(in_column)).where("k > 1").drop("k")
+    cells = staged(shared.withColumn("class", F.floor(F.log(F.col("n")) * 10)), "cells")
+    p, q = s.numerator, s.numerator + s.denominator
+    fits = f"{s.denominator} * least(n, m) >= {p} * greatest(n, m)"
+
+    # Partial products with one member of each column and size class, the one in most columns, added up over the columns.
+    degrees = cells.groupBy("set").agg(F.count("*").alias("degree"))
+    central = cells.join(degrees, "set").groupBy("column", "class").agg(
+        F.max(F.struct("degree", "set", "n")).alias("hub")).select(
+        "column", "class", F.col("hub.set").alias("y"), F.col("hub.n").alias("m"))
     stars = (
-        cells.join(hubs, ["column", "class"]).where("set <> y").where(fits)
+        cells.join(central, ["column", "class"]).where("set <> y").where(fits)
         .groupBy(F.col("set").alias("x"), "y").agg(F.count("*").alias("overlap"))
     )
     check = Verifier(docs, width, s)
@@ -262,10 +269,12 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         cells.join(labelled, "set").groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high").select("column")
     )
-    left = staged(cells.join(open_columns, "column").join(labelled, "set").select("column", "set", "n", "component"), "open")
-    right = left.select("column", F.col("set").alias("y"), F.col("n").alias("m"), F.col("component").alias("other"))
+    left = staged(cells.join(open_columns, "column").join(labelled, "set").select("column", "set", "n", "at", "component"), "open")
+    right = left.select("column", F.col("set").alias("y"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("component").alias("other"))
+    # In the first column that both have, what is left of the smaller order must suffice for the overlap.
+    room = f"{q} * least(n - at, m - place) >= {p} * (n + m)"
     rest = (
-        left.join(right, "column").where("component < other").where(fits)
+        left.join(right, "column").where("component < other").where(fits).where(room)
         .groupBy(F.col("set").alias("x"), "y").agg(F.count("*").alias("overlap"))
     )
     more = staged(check.linked(staged(bounded(rest, sets, s), "pairs")), "links")
