@@ -422,7 +422,8 @@ def webhook_dimension(
         return condition
 
     personas = messages.where(F.col(natural[0]).isNotNull()).select(*natural).distinct()
-    fresh = personas.join(dimension, matches(personas, dimension), "left_anti")
+    # Few rows that the messages are read for; numbering and lookup read them again.
+    fresh = staged(personas.join(dimension, matches(personas, dimension), "left_anti"), "personas")
     top = dimension.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).first()["top"]
     added = number_rows(fresh, natural, key, int(top))
     after = dimension.select(key, *natural).unionByName(added.select(key, *natural))
@@ -499,28 +500,33 @@ GUILD_PARTS = {"role": "roles", "emoji": "emojis", "channel": "channels", "threa
 LISTED_PARTS = ("role", "emoji", "channel")
 
 
+def guild_parts(docs: DataFrame, payload: str = "payload", ts: str = "ts") -> DataFrame:
+    """(part, guild_id, ts, id, payload) of the server documents and all their parts, parsed once."""
+    schema = "id string, " + ", ".join(f"{c} array<string>" for c in GUILD_PARTS.values())
+    parsed = docs.select(F.col(payload), F.col(ts).alias("ts"), F.from_json(payload, schema).alias("doc"))
+
+    def rows(name: str, documents: Column) -> Column:
+        return F.transform(
+            F.coalesce(documents, F.array().cast("array<string>")), lambda d: F.struct(F.lit(name).alias("part"), d.alias("doc")))
+
+    every = F.concat(
+        rows("guild", F.array(payload)), *[rows(name, F.col(f"doc.{column}")) for name, column in GUILD_PARTS.items()])
+    return parsed.select(F.col("doc.id").cast("long").alias("guild_id"), "ts", F.explode(every).alias("p")).select(
+        F.col("p.part").alias("part"), "guild_id", "ts",
+        F.get_json_object("p.doc", "$.id").cast("long").alias("id"), F.col("p.doc").alias(payload),
+    )
+
+
 def explode_guild(docs: DataFrame, payload: str = "payload", ts: str = "ts") -> dict[str, DataFrame]:
-    """One server document to rows of its parts, one JSON document each.
+    """``guild_parts`` by part: guild, role, emoji, channel, thread (guild_id, ts, id, payload).
 
-    Keys: guild, role, emoji, channel, thread (guild_id, ts, id, payload); ``listed`` gives
-    (type, guild_id, id) for ``sync_deletions``, which is to run first.
+    ``listed`` gives (type, guild_id, id) for ``sync_deletions``, which is to run first. The parts are written once, so that
+    what reads several of them doesn't parse the documents again.
     """
-    schema = "id string, " + ", ".join(f"{c} array<string>" for c in GUILD_PARTS.values())
-    parsed = docs.select(F.col(payload), F.col(ts).alias("ts"), F.from_json(payload, schema).alias("doc"))
-    guild_id = F.col("doc.id").cast("long").alias("guild_id")
-    parts = {"guild": parsed.select(guild_id, "ts", F.col("doc.id").cast("long").alias("id"), payload)}
-    for name, column in GUILD_PARTS.items():
-        parts[name] = parsed.select(
-            guild_id, "ts", F.explode(f"doc.{column}").alias(payload)
-        ).select(
-            "guild_id", "ts", F.get_json_object(payload, "$.id").cast("long").alias("id"), payload
-        )
-    listed = None
-    for name in LISTED_PARTS:
-        part = parts[name].select(F.lit(name).alias("type"), "guild_id", "id")
-        listed = part if listed is None else listed.unionByName(part)
-    parts["listed"] = listed
-    return parts
+    parts = staged(guild_parts(docs, payload, ts), "guild-parts")
+    found = {name: parts.where(F.col("part") == name).drop("part") for name in ("guild", *GUILD_PARTS)}
+    found["listed"] = parts.where(F.col("part").isin(*LISTED_PARTS)).select(F.col("part").alias("type"), "guild_id", "id")
+    return found
 
 
 def member_user_observation(members: DataFrame, user: str = "user", ts: str = "ts") -> DataFrame:

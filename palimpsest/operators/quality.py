@@ -91,17 +91,18 @@ def check_order(
 def unknown_keys_report(
     payloads: DataFrame, spec: Spec, payload: str = "payload", type_: str = "type"
 ) -> DataFrame:
-    """(type, path, key, n) for every key without a column, at every level of the spec."""
-    found = None
-    for path in group_paths(spec):
+    """(type, path, key, n) for every key without a column, at every level of the spec; the payloads are read once."""
+    def level(path: str) -> Column:
         sub = F.col(payload) if not path else F.get_json_object(payload, f"$.{path}")
         known = [key for where, key in known_paths(spec) if where == path]
-        level = payloads.select(
-            F.col(type_).alias("type"), F.lit(path).alias("path"),
-            F.explode(F.json_object_keys(sub)).alias("key"),
-        ).where(~F.col("key").isin(*known))
-        found = level if found is None else found.unionByName(level)
-    return found.groupBy("type", "path", "key").agg(F.count("*").alias("n"))
+        keys = F.coalesce(F.json_object_keys(sub), F.array().cast("array<string>"))
+        unknown = F.array_except(keys, F.array(*[F.lit(k) for k in known]).cast("array<string>"))
+        return F.transform(unknown, lambda k: F.struct(F.lit(path).alias("path"), k.alias("key")))
+
+    found = payloads.select(
+        F.col(type_).alias("type"), F.explode(F.concat(*[level(path) for path in group_paths(spec)])).alias("k")
+    )
+    return found.groupBy("type", "k.path", "k.key").agg(F.count("*").alias("n"))
 
 
 def flags_mismatch(users: DataFrame, flags: str = "flags", public: str = "public_flags") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import MARKED, PLAIN, fold_term, term_words, tokens
@@ -49,11 +49,39 @@ def build_index(messages: DataFrame, id_: str = "id", content: str = "content")
     )
 
 
-def write_index(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Range-partitioned by token: common words spread over tasks, and statistics prune the rest."""
-    postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode(
-        mode
-    ).parquet(path)
+def write_index(postings: DataFrame, path: str, segment: int = 0) -> None:
+    """A segment of an index, range-partitioned by token: common words spread over tasks, and statistics prune the rest.
+
+    An index is a folder of segments, ``postings`` and ``gone`` (the ids that the segment replaces or removes).
+    """
+    postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.parquet(
+        f"{path}/postings/segment={segment}")
+    if segment == 0:
+        postings.select("id").limit(0).write.parquet(f"{path}/gone/segment=0")
+
+
+def append_segment(path: str, segment: int, changes: DataFrame, id_: str = "id", content: str = "content") -> None:
+    """Add inserted, changed and removed (NULL content) messages; only they are indexed, stored segments stay as they are.
+
+    ``segment`` is larger than those before. The removed ids are written first: a reader in between misses a message for a
+    moment and never finds two versions of one.
+    """
+    changes.select(F.col(id_).alias("id")).distinct().write.parquet(f"{path}/gone/segment={segment}")
+    write_index(build_index(changes.where(F.col(content).isNotNull()), id_, content), path, segment)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The postings that no later segment replaces. A filter on ``token`` reaches the scan, so ids meet only its postings."""
+    postings = spark.read.schema("token string, id long, positions array<int>, segment int").parquet(f"{path}/postings")
+    gone = spark.read.schema("id long, segment int").parquet(f"{path}/gone").groupBy(F.col("id").alias("_id")).agg(
+        F.max("segment").alias("_gone"))
+    met = postings.join(gone, F.col("id") == F.col("_id"), "left")
+    return met.where(F.col("_gone").isNull() | (F.col("segment") >= F.col("_gone"))).select("token", "id", "positions")
+
+
+def merge_segments(spark: SparkSession, path: str, to: str) -> None:
+    """All segments of an index as the first one of another."""
+    write_index(read_index(spark, path), to)
 
 
 def _words(terms: Sequence[str]) -> list[str]:
@@ -114,17 +142,18 @@ def search_near(postings: DataFrame, first: str, second: str, distance: int) ->
     """Ids of messages with two words and at most ``distance`` words between them."""
     words = [fold_term(first), fold_term(second)]
     column = {w: f"p{i}" for i, w in enumerate(sorted(set(words)))}
-    reach = distance + 1
-    around = F.flatten(F.transform(
-        column[words[1]],
-        # A word is not near itself.
-        lambda p: F.filter(F.sequence(p - reach, p + reach), lambda q: q != p),
-    ))
-    return (
-        _positions_by_word(postings, words)
-        .where(F.arrays_overlap(F.col(column[words[0]]), around))
-        .select("id")
+
+    def marked(word: str) -> Column:
+        return F.transform(column[word], lambda p: F.struct(p.alias("at"), F.lit(words.index(word)).alias("word")))
+
+    # In the merged order of both words the closest two places stand next to each other.
+    merged = F.array_sort(F.concat(*[marked(w) for w in column]))
+    last = F.greatest(F.size(merged) - 1, F.lit(0))
+    near = F.zip_with(
+        F.slice(merged, 1, last), F.slice(merged, 2, last),
+        lambda a, b: (b["at"] - a["at"] <= distance + 1) & ((a["word"] != b["word"]) | F.lit(len(column) == 1)),
     )
+    return _positions_by_word(postings, words).where(F.exists(near, lambda x: x)).select("id")
 
 
 def _term_pattern(words: Sequence[str]) -> str:
@@ -208,13 +237,3 @@ def search_results(
         })
         .drop("_user", "_persona", "_disc")
     )
-
-
-def maintain_index(postings: DataFrame, changes: DataFrame, id_: str = "id", content: str = "content") -> DataFrame:
-    """Postings after a batch of inserted, changed and removed (NULL content) messages."""
-    touched = changes.select(F.col(id_).alias("id")).distinct()
-    kept = postings.join(touched, "id", "left_anti")
-    fresh = build_index(changes.where(F.col(content).isNotNull()), id_, content)
-    return kept.unionByName(fresh)
-
-

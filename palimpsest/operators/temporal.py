@@ -8,11 +8,12 @@ object with the immutable columns and the deletion mark.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.scalars import decode_timing, time_bound
+from palimpsest.functions.scalars import decode_timing, snowflake_millis, time_bound
 from palimpsest.plans.ordered import HotKeys, carry, newest
 from palimpsest.spec import REFERENCING_TYPES
 
@@ -166,12 +167,14 @@ def hydrate_messages(
     user_name: str = "username",
     attachment_name: str = "filename",
 ) -> DataFrame:
-    """Messages with author, mentions and attachments as they were at t.
+    """Messages with author, mentions and attachments as they were at t, and the time that the id carries.
 
     ``messages``: rows at t with id, author_id, author_kind, mention_ids, attachment_ids;
-    ``users``: user history; ``webhooks``: (internal_id, username).
+    ``users``: user history; ``webhooks``: (internal_id, username, ...). Adds created_ms, the names (author_name, mentions,
+    attachments) and the whole objects: author_user and author_webhook (structs), mention_users and attachment_files (arrays
+    in the order of the ids, NULL where an object is unknown).
 
-    All that a message refers to is looked up in one join of narrow rows and comes back in one
+    All that a message refers to is looked up in one join of references and comes back in one
     group per message, which is never larger than the arrays of that row; the wide rows meet it
     once. A user that wrote a third of all messages is a skewed join key, which Spark splits.
     """
@@ -186,28 +189,38 @@ def hydrate_messages(
         refs("attachment", F.lit("file"), F.col("attachment_ids")),
     )).alias("r")).select("id", "r.*")
 
+    sources = {
+        "user": (as_of(users, t), "id", user_name),
+        "webhook": (webhooks, "internal_id", "username"),
+        "file": (attachments, "id", attachment_name),
+    }
+    kinds = {kind: rows.select(F.struct(*rows.columns).alias("o")).schema["o"].dataType for kind, (rows, _, _) in sources.items()}
+
     def known(kind: str, rows: DataFrame, id_: str, name: str) -> DataFrame:
-        return rows.select(
-            F.lit(kind).alias("kind"), F.col(id_).cast("long").alias("ref"), F.col(name).alias("name")
-        )
+        objects = [
+            (F.struct(*rows.columns) if k == kind else F.lit(None).cast(type_)).alias(f"_{k}") for k, type_ in kinds.items()
+        ]
+        return rows.select(F.lit(kind).alias("kind"), F.col(id_).cast("long").alias("ref"), F.col(name).alias("name"), *objects)
 
-    names = (
-        known("user", as_of(users, t), "id", user_name)
-        .unionByName(known("webhook", webhooks, "internal_id", "username"))
-        .unionByName(known("file", attachments, "id", attachment_name))
-    )
-    found = placed.join(names, ["kind", "ref"], "left")
+    objects = reduce(DataFrame.unionByName, [known(kind, *source) for kind, source in sources.items()])
+    found = placed.join(objects, ["kind", "ref"], "left")
 
-    def listed(role: str) -> Column:
-        in_place = F.collect_list(F.when(F.col("role") == role, F.struct("pos", "name")))
-        return F.transform(F.sort_array(in_place), lambda e: e["name"])
+    def listed(role: str, object_: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(
+            F.col("role") == role, F.struct("pos", "name", F.col(object_).alias("object")))))
+
+    def author(column: str) -> Column:
+        return F.any_value(F.when(F.col("role") == "author", F.col(column)), True)
 
     grouped = found.groupBy("id").agg(
-        F.max(F.when(F.col("role") == "author", F.col("name"))).alias("author_name"),
-        listed("mention").alias("mentions"),
-        listed("attachment").alias("attachments"),
+        author("name").alias("author_name"), author("_user").alias("author_user"), author("_webhook").alias("author_webhook"),
+        listed("mention", "_user").alias("_mentions"), listed("attachment", "_file").alias("_files"),
     )
-    return messages.join(grouped, "id", "left")
+    return messages.join(grouped, "id", "left").withColumns({
+        "created_ms": snowflake_millis("id"),
+        "mentions": F.transform("_mentions", lambda e: e["name"]), "mention_users": F.transform("_mentions", lambda e: e["object"]),
+        "attachments": F.transform("_files", lambda e: e["name"]), "attachment_files": F.transform("_files", lambda e: e["object"]),
+    }).drop("_mentions", "_files")
 
 
 SAME_CHANNEL, PARENT_CHANNEL, SAME_GUILD = 0, 1, 0
@@ -328,13 +341,24 @@ def server_at(
     parent: str = "guild_id",
     servers: Sequence[int] | None = None,
     name: str = "name",
+    members: DataFrame | None = None,
+    member_name: str = "nick",
 ) -> DataFrame:
     """(type, guild_id, id, ts, name, deleted) of everything that was in the servers at t.
 
     ``parts`` maps a type to its (history, current); each current table has the server id in
-    ``parent``.
+    ``parent``. ``members`` is the member history: who was in a server at t comes as type ``member`` under the
+    id of the user.
     """
     report = None
+    if members is not None:
+        there = members_as_of(members, t).where(F.col("left_at").isNull())
+        if servers is not None:
+            there = there.where(F.col("guild_id").isin(*servers))
+        report = there.select(
+            F.lit("member").alias("type"), "guild_id", F.col("user_id").alias("id"), "ts",
+            F.col(member_name).alias("name"), F.lit(None).cast("long").alias("_deleted"),
+        )
     for kind, (history, current) in parts.items():
         rows = as_of_children(history, current, t, servers, parent=parent).select(
             F.lit(kind).alias("type"), F.col(parent).alias("guild_id"), "id", "ts",

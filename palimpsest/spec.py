@@ -22,8 +22,8 @@ class ObjectType:
     fields: Spec = field(default=())
 
 
-def _ignored(names: str) -> tuple[Ignored, ...]:
-    return tuple(Ignored(n) for n in names.split())
+def _ignored(*names: str) -> tuple[Ignored, ...]:
+    return tuple(Ignored(n) for n in names)
 
 
 def _decoration(null: str) -> Group:
@@ -70,8 +70,8 @@ USER = ObjectType(
             Leaf("tag", "string", NULL), Leaf("badge", "hash", NULL),
         ), NULL),
         Leaf("bot", "strict_boolean"), Leaf("system", "strict_boolean"),
-        *_ignored("pronouns bio banner banner_color accent_color flags"),
-        Leaf("public_flags", "integer", ABSENT), *_ignored("display_name member"),
+        *_ignored("pronouns", "bio", "banner", "banner_color", "accent_color", "flags"),
+        Leaf("public_flags", "integer", ABSENT), *_ignored("display_name", "member"),
     ),
 )
 
@@ -103,13 +103,14 @@ GUILD = ObjectType(
         Leaf("premium_progress_bar_enabled", "strict_boolean"),
         Group("profile", (Leaf("tag", "string"), Leaf("badge", "hash")), NULL),
         *_ignored(
-            "owner permissions region roles emojis features application_id approximate_member_count "
-            "approximate_presence_count welcome_screen nsfw stickers safety_alerts_channel_id "
-            "incidents_data large unavailable member_count voice_states members channels threads "
-            "presences stage_instances guild_scheduled_events soundboard_sounds joined_at guild_id "
-            "moderator_reporting activity_instances hub_type latest_onboarding_question_id "
-            "premium_features owner_configured_content_level embedded_activities lazy "
-            "application_command_counts home_header version inventory_settings"
+            "owner", "permissions", "region", "roles", "emojis", "features", "application_id",
+            "approximate_member_count", "approximate_presence_count", "welcome_screen", "nsfw", "stickers",
+            "safety_alerts_channel_id", "incidents_data", "large", "unavailable", "member_count",
+            "voice_states", "members", "channels", "threads", "presences", "stage_instances",
+            "guild_scheduled_events", "soundboard_sounds", "joined_at", "guild_id", "moderator_reporting",
+            "activity_instances", "hub_type", "latest_onboarding_question_id", "premium_features",
+            "owner_configured_content_level", "embedded_activities", "lazy", "application_command_counts",
+            "home_header", "version", "inventory_settings",
         ),
     ),
 )
@@ -152,7 +153,7 @@ MEMBER = ObjectType(
         Leaf("premium_since", "timestamp", NULL), Leaf("deaf", "boolean", ABSENT),
         Leaf("mute", "boolean", ABSENT), Leaf("flags", "integer"), Leaf("pending", "strict_boolean"),
         Leaf("communication_disabled_until", "timestamp", NULL),
-        *_ignored("unusual_dm_activity_until guild_id"),
+        *_ignored("unusual_dm_activity_until", "guild_id"),
     ),
 )
 
@@ -179,9 +180,9 @@ CHANNEL = ObjectType(
         Leaf("default_sort_order", "integer", NULL), Leaf("default_forum_layout", "integer", ABSENT),
         Leaf("default_tag_setting", "string", ABSENT),
         *_ignored(
-            "last_message_id recipients application_id last_pin_timestamp permissions available_tags "
-            "icon_emoji theme_color status hd_streaming_until hd_streaming_buyer_id linked_lobby "
-            "voice_background_display template version"
+            "last_message_id", "recipients", "application_id", "last_pin_timestamp", "permissions",
+            "available_tags", "icon_emoji", "theme_color", "status", "hd_streaming_until",
+            "hd_streaming_buyer_id", "linked_lobby", "voice_background_display", "template", "version",
         ),
     ),
 )
@@ -203,8 +204,8 @@ THREAD = ObjectType(
         ), ABSENT),
         Leaf("applied_tags", "ids", ABSENT),
         *_ignored(
-            "guild_id last_message_id last_pin_timestamp message_count member_count member "
-            "total_message_sent bitrate rtc_region user_limit"
+            "guild_id", "last_message_id", "last_pin_timestamp", "message_count", "member_count", "member",
+            "total_message_sent", "bitrate", "rtc_region", "user_limit",
         ),
     ),
 )
@@ -213,7 +214,7 @@ FORUM_TAG = ObjectType(
     "forum_tag", ("id",), "channel_id", ("channel_id",), ("name", "moderated", "emoji"),
     (
         Leaf("id", "id"), Leaf("name", "string"), Leaf("moderated", "boolean"),
-        *_ignored("emoji_id emoji_name color version"),
+        *_ignored("emoji_id", "emoji_name", "color", "version"),
     ),
 )
 
@@ -234,14 +235,15 @@ MESSAGE = ObjectType(
             Extra("id"), Extra("type", None), Extra("name"), Extra("command_type"),
             Extra("ephemerality_reason"), Extra("user"), Extra("original_response_message_id"),
             Extra("interacted_message_id"), Extra("target_message_id"),
-            *_ignored("authorizing_integration_owners triggering_interaction_metadata target_user"),
+            *_ignored("authorizing_integration_owners", "triggering_interaction_metadata", "target_user"),
         ), ABSENT),
         Extra("components", EMPTY_ARRAY), Extra("sticker_items"), Extra("role_subscription_data"),
         Extra("poll"), Extra("call"),
         *_ignored(
-            "author timestamp mentions mention_channels attachments reactions pinned webhook_id "
-            "message_reference referenced_message interaction thread stickers position resolved "
-            "activity_instance channel_type guild_id member metadata nonce"
+            "author", "timestamp", "mentions", "mention_channels", "attachments", "reactions", "pinned",
+            "webhook_id", "message_reference", "referenced_message", "interaction", "thread", "stickers",
+            "position", "resolved", "activity_instance", "channel_type", "guild_id", "member", "metadata",
+            "nonce",
         ),
     ),
 )
@@ -259,7 +261,7 @@ ATTACHMENT = ObjectType(
         Leaf("ephemeral", "strict_boolean"), Leaf("duration_secs", "float", ABSENT),
         Leaf("waveform", "base64", ABSENT), Leaf("flags", "integer", ABSENT),
         Extra("clip_created_at"), Extra("clip_participants"), Extra("application"),
-        *_ignored("url proxy_url content_scan_version placeholder_version placeholder"),
+        *_ignored("url", "proxy_url", "content_scan_version", "placeholder_version", "placeholder"),
     ),
 )
 
@@ -269,7 +271,7 @@ GUILD_EMOJI = ObjectType(
     (
         Leaf("id", "id"), Leaf("require_colons", "strict_boolean"), Leaf("managed", "strict_boolean"),
         Leaf("animated", "strict_boolean"), Leaf("name", "string"), Leaf("roles", "ids", ABSENT),
-        *_ignored("user available version"),
+        *_ignored("user", "available", "version"),
     ),
 )
 

@@ -48,8 +48,26 @@ def test_highlight(spark):
     assert got[6] == "[fox]-trot über_alles x"
 
 
-def test_maintain(spark):
-    changes = spark.createDataFrame([(1, "new words"), (2, None), (7, "fox")], "id long, content string")
-    after = X.maintain_index(index(spark), changes)
+def test_segments(spark, tmp_path):
+    path = str(tmp_path / "index")
+    X.write_index(index(spark), path)
+    X.append_segment(path, 1, spark.createDataFrame([(1, "new words"), (2, None), (7, "fox")], "id long, content string"))
+    after = X.read_index(spark, path)
     assert ids(X.search_any(after, ["fox"])) == [6, 7] and ids(X.search_any(after, ["new"])) == [1]
     assert after.where(F.col("id") == 2).count() == 0
+    X.append_segment(path, 2, spark.createDataFrame([(2, "back again"), (7, None), (1, "the fox")], "id long, content string"))
+    assert ids(X.search_any(after.sparkSession.read.parquet(path + "/postings"), ["fox"])) == [1, 6, 7]
+    after = X.read_index(spark, path)
+    assert ids(X.search_any(after, ["fox", "back", "new"])) == [1, 2, 6]
+    X.merge_segments(spark, path, str(tmp_path / "merged"))
+    assert sorted(X.read_index(spark, str(tmp_path / "merged")).collect()) == sorted(after.collect())
+
+
+def test_terms_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "index")
+    X.write_index(index(spark), path)
+    for found, pushed in (
+        (X.search_all(X.read_index(spark, path), ["quick", "fox"]), "In(token, [fox,quick])"),
+        (X.search_prefix(X.read_index(spark, path), "ca"), "StringStartsWith(token,ca)"),
+    ):
+        assert pushed in found._jdf.queryExecution().executedPlan().toString()

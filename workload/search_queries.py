@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import search as X
+from palimpsest.plans.staging import work_dir
 from workload.registry import query
 from workload.stand_ins import SERVER_SQL
 
@@ -16,11 +17,25 @@ spots AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY place) -
 postings AS (SELECT token, id, list(pos ORDER BY pos) AS positions FROM spots GROUP BY token, id)"""
 
 
+# Folders of written indexes, one for each application and input.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def postings(t):
     texts = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return X.build_index(texts)
 
 
+def stored(t):
+    """The index of all documents; the first query writes it."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _WRITTEN:
+        path = work_dir(t.spark, "index")
+        X.write_index(postings(t), path)
+        _WRITTEN[key] = path
+    return X.read_index(t.spark, _WRITTEN[key])
+
+
 @query("X1_build_index", f"""WITH {POSTINGS_SQL}
 SELECT token, id, len(positions) AS n, array_to_string(positions, ',') AS positions FROM postings""")
 def _(t):
@@ -33,36 +48,36 @@ def _(t):
 @query("X2_search_all", f"""WITH {POSTINGS_SQL}
 SELECT id FROM postings WHERE token IN ('the', 'erst', 'and') GROUP BY id HAVING count(*) = 3""")
 def _(t):
-    return X.search_all(postings(t), ["The", "erst", "AND"])
+    return X.search_all(stored(t), ["The", "erst", "AND"])
 
 
 @query("X3_search_any", f"WITH {POSTINGS_SQL} SELECT DISTINCT id FROM postings WHERE token IN ('erst', 'ecole', 'ete')")
 def _(t):
-    return X.search_any(postings(t), ["erst", "école", "Été"])
+    return X.search_any(stored(t), ["erst", "école", "Été"])
 
 
 @query("X4_search_phrase", f"""WITH {POSTINGS_SQL}
 SELECT DISTINCT a.id FROM spots a JOIN spots b ON b.id = a.id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'""")
 def _(t):
-    return X.search_phrase(postings(t), "of the")
+    return X.search_phrase(stored(t), "of the")
 
 
 @query("X5_search_prefix", f"WITH {POSTINGS_SQL} SELECT DISTINCT id FROM postings WHERE token LIKE 'eau%'")
 def _(t):
-    return X.search_prefix(postings(t), "Éau")
+    return X.search_prefix(stored(t), "Éau")
 
 
 @query("X6_search_not", f"""WITH {POSTINGS_SQL}
 SELECT DISTINCT id FROM postings WHERE token = 'the' AND id NOT IN (SELECT id FROM postings WHERE token = 'erst')""")
 def _(t):
-    index = postings(t)
+    index = stored(t)
     return X.search_not(X.search_any(index, ["the"]), X.search_any(index, ["erst"]))
 
 
 @query("X7_search_near", f"""WITH {POSTINGS_SQL}
 SELECT DISTINCT a.id FROM spots a JOIN spots b ON b.id = a.id AND abs(b.pos - a.pos) <= 4 WHERE a.token = 'is' AND b.token = 'the'""")
 def _(t):
-    return X.search_near(postings(t), "is", "the", 3)
+    return X.search_near(stored(t), "is", "the", 3)
 
 
 @query("X8_highlight", r"""
@@ -124,5 +139,7 @@ def _(t):
         F.when(F.col("lang") == "fr", F.concat(F.lit("changed text "), F.col("doc_id").cast("string")))
         .when(F.col("lang") == "es", F.col("text")).alias("content"),
     )
-    after = X.maintain_index(before, changes)
-    return after.select("token", "id", F.size("positions").cast("long").alias("n"), F.col("positions")[0].cast("long").alias("first"))
+    path = work_dir(t.spark, "index")
+    X.write_index(before, path)
+    X.append_segment(path, 1, changes)
+    return X.read_index(t.spark, path).select("token", "id", F.size("positions").cast("long").alias("n"), F.col("positions")[0].cast("long").alias("first"))

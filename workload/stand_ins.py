@@ -191,7 +191,7 @@ def users_at_sql(t_ms: int | None) -> str:
     """``USERS_SQL`` and the name of each user at a time."""
     bound = "" if t_ms is None else f"WHERE ts <= {t_ms * 2 + 1}"
     return USERS_SQL + f""", users_at AS (
-  SELECT id, arg_max(username, ts) AS username FROM user_history {bound} GROUP BY id)"""
+  SELECT id, max(ts) AS ts, arg_max(username, ts) AS username FROM user_history {bound} GROUP BY id)"""
 
 
 SERVER_SQL = """places AS (

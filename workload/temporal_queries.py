@@ -93,22 +93,29 @@ def _(t):
     return T.version_diff(kept(t), ["kind", "lvl"])
 
 
+def member_history(t):
+    rows = member_obs(t)
+    gone = F.col("joined_at").isNull()
+    history = members_append(None, rows.where(~gone), rows.where(gone), MEMBER_STATE)
+    return history.select(*MEMBER_KEY, "ts", *MEMBER_STATE)
+
+
 @query("T7_members_as_of", f"""WITH {MEMBERS_KEPT_SQL}
 SELECT guild_id, user_id, ts, nick, CASE WHEN joined_at IS NULL THEN ts END AS left_at
 FROM (SELECT *, row_number() OVER (PARTITION BY guild_id, user_id ORDER BY ts DESC) AS back
   FROM members WHERE ts <= {BOUND}) WHERE back = 1""")
 def _(t):
-    rows = member_obs(t)
-    gone = F.col("joined_at").isNull()
-    history = members_append(None, rows.where(~gone), rows.where(gone), MEMBER_STATE)
-    at = T.members_as_of(history.select(*MEMBER_KEY, "ts", *MEMBER_STATE), MIDDLE)
+    at = T.members_as_of(member_history(t), MIDDLE)
     return at.select("guild_id", "user_id", "ts", "nick", "left_at")
 
 
 @query("T8_hydrate_messages", f"""WITH {users_at_sql(MIDDLE_ORDERS)}
 SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN a.username ELSE 'hook ' || o_custkey END AS author_name,
   coalesce(m1.username, '?') || ',' || coalesce(m2.username, '?') AS mentions,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE p1.p_name || ',' || coalesce(p2.p_name, '?') END AS attachments
+  CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE p1.p_name || ',' || coalesce(p2.p_name, '?') END AS attachments,
+  (o_orderkey >> 22) + 1420070400000 AS created_ms, CASE WHEN o_orderstatus = 'F' THEN a.ts END AS author_ts,
+  coalesce(CAST(m1.ts AS VARCHAR), '?') || ',' || coalesce(CAST(m2.ts AS VARCHAR), '?') AS mention_ts,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE p1.p_size || ',' || coalesce(CAST(p2.p_size AS VARCHAR), '?') END AS sizes
 FROM orders LEFT JOIN users_at a ON a.id = o_custkey
   LEFT JOIN users_at m1 ON m1.id = o_custkey + 7 LEFT JOIN users_at m2 ON m2.id = o_custkey + 3
   LEFT JOIN part p1 ON p1.p_partkey = o_custkey LEFT JOIN part p2 ON p2.p_partkey = o_custkey + 900""")
@@ -123,11 +130,14 @@ def _(t):
     webhooks = t.customer.select(
         F.col("c_custkey").alias("internal_id"), F.concat(F.lit("hook "), F.col("c_custkey").cast("string")).alias("username")
     )
-    files = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("filename"))
+    files = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("filename"), F.col("p_size").alias("size"))
     full = T.hydrate_messages(messages, user_history(t), files, webhooks, MIDDLE_ORDERS)
     return full.select(
         "id", "author_name",
         F.array_join("mentions", ",", "?").alias("mentions"), F.array_join("attachments", ",", "?").alias("attachments"),
+        "created_ms", F.col("author_user.ts").alias("author_ts"),
+        F.array_join(F.transform("mention_users", lambda u: u["ts"].cast("string")), ",", "?").alias("mention_ts"),
+        F.array_join(F.transform("attachment_files", lambda f: f["size"].cast("string")), ",", "?").alias("sizes"),
     )
 
 
@@ -248,7 +258,11 @@ def _(t):
     return T.deleted_objects(marked).select("id", "status", "deleted_ms", "seen_live")
 
 
-@query("T15_server_at", f"""WITH {USERS_SQL}
+@query("T15_server_at", f"""WITH {USERS_SQL}, {MEMBERS_KEPT_SQL}
+SELECT 'member' AS type, guild_id, user_id AS id, ts, nick AS name, CAST(NULL AS BIGINT) AS _deleted
+FROM (SELECT *, row_number() OVER (PARTITION BY guild_id, user_id ORDER BY ts DESC) AS back
+  FROM members WHERE ts <= {ORDER_BOUND}) WHERE back = 1 AND joined_at IS NOT NULL
+UNION ALL
 SELECT 'channel' AS type, CAST(c_nationkey AS BIGINT) AS guild_id, c_custkey AS id, u.ts, u.name, CAST(NULL AS BIGINT) AS _deleted
 FROM customer JOIN (SELECT id, max(ts) AS ts, arg_max(username, ts) AS name FROM user_history
   WHERE ts <= {ORDER_BOUND} GROUP BY id) u ON u.id = c_custkey
@@ -271,4 +285,4 @@ def _(t):
         "channel": (channels, part(t.customer, "c_custkey", "c_nationkey", "c_name", none)[1]),
         "role": part(t.supplier, "s_suppkey", "s_nationkey", "s_name", F.when(F.col("s_acctbal") < 0, 3).cast("long")),
         "guild": part(t.nation, "n_nationkey", "n_nationkey", "n_name", none),
-    }, MIDDLE_ORDERS)
+    }, MIDDLE_ORDERS, members=member_history(t))
