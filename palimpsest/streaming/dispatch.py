@@ -67,14 +67,19 @@ def route_dispatches(
     return routed.join(known, parent, "left_semi"), routed.join(known, parent, "left_anti")
 
 
-def start_routing(stream: DataFrame, path: str, checkpoint: str, tables: Mapping[str, str] = EVENT_TABLES) -> StreamingQuery:
+def start_routing(
+    stream: DataFrame, path: str, checkpoint: str, tables: Mapping[str, str] = EVENT_TABLES,
+    parents: DataFrame | None = None, parent: str = "parent_id",
+) -> StreamingQuery:
     """Write each micro-batch once, split by table on the way out.
 
-    A repeated batch replaces its own folder, so a restart adds nothing twice.
+    With ``parents`` events of unknown parents go to ``path``/unknown and the others to ``path``/known, else all are
+    known. A repeated batch replaces its own folder, so a restart adds nothing twice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        routed, _ = route_dispatches(batch, tables)
-        routed.write.partitionBy("table").mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for name, rows in zip(("known", "unknown"), route_dispatches(batch, tables, parents, parent)):
+            if name == "known" or parents is not None:
+                rows.write.partitionBy("table").mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -1,4 +1,4 @@
-"""Keyed stream operators on ``transformWithStateInPandas``.
+"""Keyed stream operators on ``transformWithStateInPandas``; observations are in ``keyed``.
 
 Each keeps one small state per key in RocksDB, so a micro-batch touches only the keys it has and
 never reads the archive. The processors are plain state machines over the rows of a key in order
@@ -52,51 +52,6 @@ def _unpack(out: DataFrame, schema: StructType, *added: str) -> DataFrame:
     )
 
 
-def _snapshot_processor() -> StatefulProcessor:
-    # Defined here so that executors get the class with the job and need no installed package.
-    class Snapshots(StatefulProcessor):
-        def init(self, handle):
-            self.last = handle.getValueState("last", "ts long, state string")
-
-        def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-
-            batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-            stored = self.last.get() if self.last.exists() else None
-            results = []
-            for ts, state in zip(batch["ts"], batch["compared"]):
-                if stored is None:
-                    result, stored = "first", (int(ts), state)
-                elif state == stored[1]:
-                    result = "same"
-                elif ts <= stored[0]:
-                    result = "rejected"
-                else:
-                    result, stored = "another", (int(ts), state)
-                results.append(result)
-            self.last.update(tuple(stored))
-            batch["result"] = results
-            yield batch.loc[batch["result"] != "same", ["row", "result"]]
-
-        def close(self):
-            pass
-
-    return Snapshots()
-
-
-def stream_snapshots(rows: DataFrame, key: Sequence[str], state: Sequence[str]) -> DataFrame:
-    """History rows and rejected rows of a stream of observations, in order of arrival.
-
-    ``rows``: key, ts, seq and any columns, of which ``state`` are compared. The result has
-    ``result`` (first, another or rejected). Where time goes with arrival it equals
-    ``capture.compact_snapshots``; a late equal row is dropped, a late different one is rejected.
-    """
-    compared = F.to_json(F.struct(*state), {"ignoreNullFields": "false"})
-    slim = _with_row(rows).select(*key, "ts", "seq", compared.alias("compared"), ROW)
-    out = _transform(slim, key, _snapshot_processor(), f"{ROW} string, result string")
-    return _unpack(out, rows.schema, "result")
-
-
 def split_results(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(history rows, quarantine) of a stream with ``result``."""
     kept = F.col("result").isin(*KEPT)

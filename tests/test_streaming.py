@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.sources.landing import DISPATCH_SCHEMA, read_dispatches
 from palimpsest.streaming import dispatch as S
 from palimpsest.streaming import stateful as K
+from palimpsest.streaming.keyed import snapshots, start_snapshots
 
 
 def land(folder, batches):
@@ -31,11 +32,11 @@ def run(spark, tmp_path, batches, operator):
     return spark.read.parquet(str(tmp_path / "out"))
 
 
-def snapshots(stream):
-    rows = S.packed_time(stream).select(
-        F.get_json_object("d", "$.id").cast("long").alias("id"), F.get_json_object("d", "$.v").alias("v"), "ts", "seq"
+def observed(stream):
+    return S.packed_time(stream).select(
+        F.get_json_object("d", "$.id").cast("long").alias("id"), F.get_json_object("d", "$.v").alias("v"),
+        F.get_json_object("d", "$.x").alias("x"), "ts", "seq",
     )
-    return K.stream_snapshots(rows, ["id"], ["v"])
 
 
 def test_snapshots_keep_state_and_reject_late(spark, tmp_path):
@@ -48,7 +49,10 @@ def test_snapshots_keep_state_and_reject_late(spark, tmp_path):
         [event("MESSAGE_UPDATE", big, "b", 3, 12), event("MESSAGE_UPDATE", 2, None, 4, 12)],
         [event("MESSAGE_UPDATE", big, "c", 5, 9), event("MESSAGE_UPDATE", big, "b", 6, 8), event("MESSAGE_UPDATE", 2, "x", 7, 13)],
     ]
-    table = run(spark, tmp_path, batches, snapshots)
+    stream = observed(read_dispatches(spark, land(tmp_path / "in", batches), maxFilesPerTrigger="1"))
+    for _ in range(2):  # starting again changes nothing
+        start_snapshots(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), ["id"], ["v"]).awaitTermination()
+    table = snapshots(spark, str(tmp_path / "out"))
     assert sorted((r["seq"], r["id"], r["ts"], r["result"]) for r in table.collect()) == [
         (1, big, 0, "first"), (3, big, 25, "another"), (4, 2, 25, "first"), (5, big, 19, "rejected"), (7, 2, 27, "another"),
     ]
@@ -56,6 +60,22 @@ def test_snapshots_keep_state_and_reject_late(spark, tmp_path):
     assert kept.count() == 4 and late.count() == 1
 
 
+def test_snapshots_start_from_an_archive_and_compare_canonically(spark, tmp_path):
+    def event(id_, v, x, seq, at):
+        return ("MESSAGE_UPDATE", {"id": id_, "v": v, "x": x}, seq, at, True)
+
+    batches = [
+        [event(1, "a", {"p": 1, "q": [2]}, 1, 20), event(2, "a", {"q": [2], "p": 1}, 2, 20)],
+        [event(2, "a", {"p": 1, "q": [2]}, 3, 21), event(1, "a", {"p": 1, "q": [3]}, 4, 22), event(1, "z", None, 5, 1)],
+    ]
+    archive = spark.createDataFrame([(1, 4, "a", '{"q":[2],"p":1}'), (9, 4, "k", None)], "id long, ts long, v string, x string")
+    stream = observed(read_dispatches(spark, land(tmp_path / "in", batches), maxFilesPerTrigger="1"))
+    start_snapshots(
+        stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), ["id"], ["v"], extra="x", archive=archive).awaitTermination()
+    got = snapshots(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.seq, r.id, r.result) for r in got) == [(2, 2, "first"), (4, 1, "another"), (5, 1, "rejected")]
+
+
 def test_reactions_across_batches(spark, tmp_path):
     def event(action, emoji, user, seq):
         return ("R", {"message_id": 1, "emoji": emoji, "type": 0, "user_id": user, "action": action, "ts": seq}, seq, seq, True)

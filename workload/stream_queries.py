@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as P
-from palimpsest.operators.capture import classify_snapshots, mark_deleted, state_of
+from palimpsest.operators.capture import mark_deleted
 from palimpsest.plans.ordered import newest
 from palimpsest.plans.staging import work_dir
 from palimpsest.sources.landing import read_dispatches, write_dispatches
 from palimpsest.streaming import dispatch as S
 from palimpsest.streaming import stateful as K
+from palimpsest.streaming.keyed import snapshots, start_snapshots
 from workload.registry import query
 from workload.stand_ins import (
     INTERVALS_SQL, MEMBERS_KEPT_SQL, MIDDLE, OBS_SQL, member_obs, ms_of, obs, reaction_log,
@@ -44,6 +45,15 @@ def run(t, name, rows, operator):
     return t.spark.read.parquet(f"{path}/out")
 
 
+def run_snapshots(t, name, events, rows, mutable, archive=None):
+    """Land ``events``, classify the observations that ``rows`` makes of their stream."""
+    path = work_dir(t.spark, name)
+    write_dispatches(events, f"{path}/in")
+    stream = rows(read_dispatches(t.spark, f"{path}/in"))
+    start_snapshots(stream, f"{path}/out", f"{path}/checkpoint", ["id"], mutable, archive=archive).awaitTermination()
+    return snapshots(t.spark, f"{path}/out")
+
+
 def as_dispatches(rows, seq="seq"):
     """Any table as events whose document is the row."""
     return rows.select(
@@ -64,13 +74,10 @@ WHERE event_type <> 'purchase' GROUP BY 1, 2""")
 def _(t):
     path = work_dir(t.spark, "routing")
     write_dispatches(dispatches(t), f"{path}/in")
-    stream = read_dispatches(t.spark, f"{path}/in")
-    S.start_routing(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    routed = t.spark.read.parquet(f"{path}/out").drop("table").withColumn(
-        "parent_id", F.get_json_object("d", "$.user_id").cast("long")
-    )
+    stream = read_dispatches(t.spark, f"{path}/in").withColumn("parent_id", F.get_json_object("d", "$.user_id").cast("long"))
     parents = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
-    known, unknown = S.route_dispatches(routed, parents=parents)
+    S.start_routing(stream, f"{path}/out", f"{path}/checkpoint", parents=parents).awaitTermination()
+    known, unknown = (t.spark.read.parquet(f"{path}/out/{name}") for name in ("known", "unknown"))
     both = known.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)))
     return both.groupBy("table", "known").agg(F.count("*").alias("n"))
 
@@ -82,15 +89,14 @@ x AS (SELECT *, row_number() OVER w AS rn, lag(kind) OVER w AS pk, lag(lvl) OVER
 SELECT id, ts, kind, lvl, CASE WHEN rn = 1 THEN 'first' ELSE 'another' END AS result FROM x
 WHERE rn = 1 OR kind <> pk OR lvl <> pl""")
 def _(t):
-    def operator(stream):
-        rows = stream.where("t IN ('MESSAGE_CREATE', 'MESSAGE_UPDATE')").select(
+    def rows(stream):
+        return stream.where("t IN ('MESSAGE_CREATE', 'MESSAGE_UPDATE')").select(
             F.get_json_object("d", "$.user_id").cast("long").alias("id"), F.col("t").alias("kind"),
             F.get_json_object("d", "$.lvl").cast("long").alias("lvl"),
             P.encode_timing("received_at", "realtime").alias("ts"), "seq",
         )
-        return K.stream_snapshots(rows, ["id"], ["kind", "lvl"])
 
-    return run(t, "snapshots", dispatches(t), operator).select("id", "ts", "kind", "lvl", "result")
+    return run_snapshots(t, "snapshots", dispatches(t), rows, ["kind", "lvl"]).select("id", "ts", "kind", "lvl", "result")
 
 
 @query("ST3_stream_members", f"WITH {MEMBERS_KEPT_SQL} SELECT guild_id, user_id, ts, nick, joined_at, deaf, mute FROM members")
@@ -173,11 +179,10 @@ def _(t):
         F.col("event_id").alias("seq"), P.ntz_millis("ts").alias("received_at"), F.lit(True).alias("realtime"),
     )
 
-    def operator(stream):
-        rows = S.explode_thread_list(stream).withColumn("name", F.get_json_object("payload", "$.name"))
-        return K.stream_snapshots(rows.drop("payload"), ["id"], ["name"])
+    def rows(stream):
+        return S.explode_thread_list(stream).withColumn("name", F.get_json_object("payload", "$.name")).drop("payload")
 
-    return run(t, "threads", lists, operator).select("id", "ts", "name", "result")
+    return run_snapshots(t, "threads", lists, rows, ["name"]).select("id", "ts", "name", "result")
 
 
 @query("ST8_replay_flag", """WITH e AS (SELECT event_id AS seq, user_id AS connection, user_id % 2 = 0 AS resumed,
@@ -198,11 +203,15 @@ def _(t):
 SELECT o.id, o.ts, o.kind, 'rejected' AS result FROM obs o JOIN latest l ON l.id = o.id
 WHERE o.ts <= l.ts AND (o.kind <> l.kind OR o.lvl <> l.lvl)""")
 def _(t):
-    # The whole log arrives again: what is not newer than the stored row is the same or late.
+    # The log arrives again on a stream that starts from the archive: what is not newer than the stored row is the same or late.
     latest = newest(obs(t).where((F.col("ts") <= P.time_bound(MIDDLE)) & (F.col("kind") != "purchase")), ["id"], ["ts"])
     late = obs(t).join(latest.select("id", F.col("ts").alias("head")), "id").where("ts <= head")
-    results = classify_snapshots(late, ["id"], state_of(["kind", "lvl"], None), latest=latest)
-    return K.split_results(results.where("result <> 'same'"))[1].select("id", "ts", "kind", "result")
+    schema = "id long, ts long, seq long, kind string, lvl long"
+    results = run_snapshots(
+        t, "late", as_dispatches(late.select("id", "ts", "seq", "kind", F.col("lvl").cast("long"))), lambda s: documents(s, schema),
+        ["kind", "lvl"], latest.withColumn("lvl", F.col("lvl").cast("long")),
+    )
+    return K.split_results(results)[1].select("id", "ts", "kind", "result")
 
 
 @query("ST10_resync_plan", f"""WITH {MARKS_SQL}
