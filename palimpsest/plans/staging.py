@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,15 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 DIR_SETTING = "spark.checkpoint.dir"
 
+_written: dict[str, list[str]] = {}
+_own: dict[str, str] = {}
+
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Only a session that runs in this process alone may lack the setting; it gets a folder that goes when the process ends.
+    """
     root = spark.conf.get(DIR_SETTING, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError(f"set {DIR_SETTING} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="palimpsest-")
-    return f"{root.rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex}"
+        root = _own.get(spark.sparkContext.applicationId)
+        if root is None:
+            root = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="palimpsest-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+    path = f"{root.rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -26,3 +39,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_work(spark: SparkSession) -> int:
+    """Delete the work tables of this application, once the results that read them are stored; gives their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
