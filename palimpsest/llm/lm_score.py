@@ -33,10 +33,10 @@ from palimpsest.llm.textops import LOWER, NOT_SPACE, _BYTE_VALUES, _grow, mixed,
 from palimpsest.plans.staging import staged
 
 FOLDS = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 # Table sizes in bits for contexts of one, two and four bytes, and of a block's own table for the word so far.
 TABLE_BITS = (17, 19, 19)
-WORD_BITS = 23
+WORD_BITS = 22
 PREDICTORS = len(TABLE_BITS) + 1
 MODEL_SLOTS = sum(1 << b for b in TABLE_BITS)
 PIECE = 1 << 16
