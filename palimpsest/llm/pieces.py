@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,11 @@ META = "▁"
 UNIT = re.compile(rb" +[^ \n]*|\n|[^ \n]+")
 DEPTH = 16
 # Units remembered by a worker before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+PAIR_BITS = 20
+NOTHING = np.int64(1) << np.int64(60)
+# Bytes of text that are encoded at once.
+BATCH_BYTES = 2 << 20
 
 
 class Model:
@@ -57,8 +62,7 @@ class Model:
                 self.rank[plain] = -held.get_score(i)
         if any("\n" in p or " " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece goes over a line end or has a space after other letters")
-        self.plain = {i: p for p, i in self.ids.items()}
-        self.fits: dict[int, bool] = {}
+        self.order_merges()
         flat = b"".join(self.text)
         sizes = np.array([len(t) for t in self.text])
         self.flat, self.sizes, self.begins = np.frombuffer(flat, np.uint8), sizes, np.cumsum(sizes) - sizes
@@ -73,29 +77,84 @@ class Model:
         self.units: dict[bytes, int] = {}
         self.unit_flat, self.unit_begins, self.unit_sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by merging the best neighbours again and again."""
+    def last_merge(self, text: str) -> tuple[str, str] | None:
+        """The two parts that are merged last when the best neighbours are merged again and again; None if that isn't the whole."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > 2:
             ranked = [(self.rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
             best, at = min(ranked)
             if best == np.inf:
-                break
+                return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def stand_together(self, pair: int) -> bool:
-        """Whether the piece pair % size follows the piece pair // size in an encoding; size stands for the beginning."""
-        known = self.fits.get(pair)
-        if known is None:
-            first, second = divmod(pair, self.size + 2)
-            b = self.plain[second]
-            if first >= self.size:
-                known = self.merged(b) == [b]
-            else:
-                known = self.merged(self.plain[first] + b) == [self.plain[first], b]
-            self.fits[pair] = known
-        return known
+        return (parts[0], parts[1]) if parts[0] in self.ids and parts[1] in self.ids else None
+
+    def order_merges(self) -> None:
+        """For each piece its place in the merge order and its last two parts; for each pair of pieces what it merges to."""
+        v = self.size + 2
+        self.place = np.full(v, -1, np.int64)
+        self.left, self.right = np.zeros(v, np.int64), np.zeros(v, np.int64)
+        self.made = np.zeros(v, bool)
+        pairs = {}
+        for text, i in self.ids.items():
+            if len(text) == 1:
+                self.made[i] = True
+                continue
+            self.place[i] = int(self.rank[text])
+            parts = self.last_merge(text)
+            if parts:
+                self.made[i], self.left[i], self.right[i] = True, self.ids[parts[0]], self.ids[parts[1]]
+            for cut in range(1, len(text)):
+                a, b = self.ids.get(text[:cut]), self.ids.get(text[cut:])
+                if a is not None and b is not None:
+                    pairs[a * v + b] = int(self.rank[text])
+        # A table of pairs by the top bits of a product; a place that is taken leads to the next one.
+        self.pairs, self.pair_place = np.full(1 << PAIR_BITS, -1, np.int64), np.full(1 << PAIR_BITS, NOTHING)
+        self.probes = 1
+        for key, slot in zip(pairs, self.slots(np.array(list(pairs), np.int64)).tolist()):
+            steps = 1
+            while self.pairs[slot] >= 0:
+                slot, steps = (slot + 1) & ((1 << PAIR_BITS) - 1), steps + 1
+            self.pairs[slot], self.pair_place[slot] = key, pairs[key]
+            self.probes = max(self.probes, steps)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+    def merges(self, keys: np.ndarray) -> np.ndarray:
+        """The place in the merge order of what the pairs merge to, or NOTHING."""
+        slot = self.slots(keys)
+        found = np.where(self.pairs[slot] == keys, self.pair_place[slot], NOTHING)
+        open_ = np.flatnonzero((self.pairs[slot] >= 0) & (self.pairs[slot] != keys))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) & ((1 << PAIR_BITS) - 1)
+            held = self.pairs[slot[open_]]
+            hit = held == keys[open_]
+            found[open_[hit]] = self.pair_place[slot[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return found
+
+    def stand_together(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether the second piece follows the first in an encoding; the number ``size`` stands for the beginning.
+
+        The merges next to the border are undone, the latest first. Before each of them the two pieces at the border
+        must not have a better merge, nor an equally good one further left.
+        """
+        v = self.size + 2
+        good = self.made[second] & (self.made[first] | (first >= self.size))
+        at = np.flatnonzero(good & (first < self.size))
+        one, two, limit = first[at], second[at], np.full(len(at), NOTHING)
+        while len(at):
+            broken = self.merges(one * v + two) < limit
+            good[at[broken]] = False
+            p1, p2 = self.place[one], self.place[two]
+            keep = ~broken & (np.maximum(p1, p2) >= 0)
+            at, one, two, p1, p2 = at[keep], one[keep], two[keep], p1[keep], p2[keep]
+            undo = p1 > p2
+            limit = np.where(undo, p1, p2 + 1)
+            one, two = np.where(undo, self.right[one], one), np.where(undo, two, self.left[two])
+        return good
 
     def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, length, piece) of every place of every piece, from the suffix array of ``data``."""
@@ -144,7 +203,8 @@ class Model:
         piece = np.concatenate([piece, np.full(len(lone), self.size + 1)])
         end = begin + length
         step = end - firsts[owner[begin]]
-        order = np.lexsort((begin, step))
+        # A stable sort of small numbers takes linear time.
+        order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 1 << 16 else step, kind="stable")
         begin, end, piece, step = begin[order], end[order], piece[order], step[order]
         last, came = np.full(len(data) + 1, -1), np.full(len(data) + 1, -1)
         last[firsts] = self.size  # of a unit that is empty so far
@@ -155,9 +215,9 @@ class Model:
             reached = before >= 0
             b0, e0, p0, before = b0[reached], e0[reached], p0[reached], before[reached]
             # After a letter without a piece nothing merges: what follows begins anew.
-            pair = np.where(before > self.size, self.size, before) * (self.size + 2) + p0
-            distinct, where = np.unique(pair, return_inverse=True)
-            good = np.fromiter((k % (self.size + 2) > self.size or self.stand_together(k) for k in distinct.tolist()), bool, len(distinct))[where]
+            good = p0 > self.size
+            known = ~good
+            good[known] = self.stand_together(np.minimum(before, self.size)[known], p0[known])
             last[e0[good]], came[e0[good]] = p0[good], b0[good]
         # Back from the ends of all units at once.
         unit, at = np.arange(len(units)), firsts + sizes
@@ -191,14 +251,14 @@ class Model:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All piece numbers after one another, and how many each text has."""
         cut = [UNIT.findall(b" " + t.replace(META, " ").encode()) if t else [] for t in texts]
-        new = list({u for units in cut for u in units if u not in self.units})
+        new = list(set().union(*cut).difference(self.units))
         if len(self.units) + len(new) > REMEMBERED and self.units:
             self.forget()
-            new = list({u for units in cut for u in units})
+            new = list(set().union(*cut))
         if new:
             self.learn(new)
         per_text = np.array([len(u) for u in cut])
-        index = np.fromiter((self.units[u] for units in cut for u in units), np.int64, int(per_text.sum()))
+        index = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cut)), np.int64, int(per_text.sum()))
         sizes = self.unit_sizes[index]
         total = np.cumsum(sizes)
         where = np.repeat(self.unit_begins[index] - (total - sizes), sizes) + np.arange(int(sizes.sum()))
@@ -242,7 +302,7 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(shared.value)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, BATCH_BYTES):
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
                 numbers, counts = model.encode(texts)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
