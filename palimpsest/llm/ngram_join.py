@@ -91,7 +91,7 @@ def frequent_columns(docs: DataFrame, text: str, width: int) -> DataFrame:
                 for one in shingle_sets(piece.column(0), width):
                     held.append(one >> np.uint64(64 - COUNTED_BITS))
                     size += len(one)
-            if size > 8_000_000:
+            if size > 4_000_000:
                 yield sent()
                 held, size = [], 0
         if size:
