@@ -1,11 +1,14 @@
 """The corpus pipeline: documents through a chain of operators, each stage written before the next reads it.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
-columns of ``docs``, further ones included. NULL texts are rejected by the classifier; an empty table stays empty.
+columns of ``docs``, further ones included, whatever their names (the last replaces ``pieces`` and ``n_pieces``). NULL texts are rejected by the classifier; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,29 @@ from palimpsest.llm.queries import GOOD_GRADE, PIECE_MODEL, graded, table
 from palimpsest.plans.staging import staged
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keeping_further_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Columns beyond those of documents have other names inside the stage, so that none meets a name in use there."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inside = {c: f"further_{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        out = stage(spark, docs.withColumnsRenamed(inside), sf_dir)
+        outside = {new: old for old, new in inside.items() if old not in out.columns}
+        return out.drop(*[new for new in inside.values() if new not in outside]).withColumnsRenamed(outside)
+
+    return run_stage
+
+
+@keeping_further_columns
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     judged = quality.classify(docs, graded(table(spark, sf_dir, "labels")), good=GOOD_GRADE)
     return judged.where("_kept").select(*docs.columns)
 
 
+@keeping_further_columns
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a source repeats on its documents go; a document that held nothing else goes as well."""
     cut = line_dedup.drop_boilerplate(docs)
@@ -27,6 +47,7 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@keeping_further_columns
 def join_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows of one id count as one document."""
     groups = ngram_join.similar_groups(docs)
@@ -36,16 +57,18 @@ def join_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return chosen.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
+@keeping_further_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights; documents stand as often as the mix takes them."""
     return mixing.mix(docs)
 
 
+@keeping_further_columns
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece numbers of each text, and the text that they decode to."""
     encoded = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
     return encoded.select(
-        *[c for c in docs.columns if c not in ("text", "pieces", "n_pieces")], F.col("_decoded").alias("text"),
+        *[c for c in docs.columns if c != "text"], F.col("_decoded").alias("text"),
         F.col("_pieces").alias("pieces"), F.coalesce(F.size("_pieces"), F.lit(0)).cast("long").alias("n_pieces"),
     )
 

@@ -58,23 +58,23 @@ def boilerplate(
 def drop_boilerplate(
     pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
-    """``pages`` with the cleaned text, _n_lines and _n_dropped."""
+    """``pages`` with the cleaned text, _n_lines and _n_dropped; columns with these and the inner names are replaced."""
     found = boilerplate(pages, host=host, text=text, ratio=ratio, min_pages=min_pages)
     per_host = staged(found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line_key").alias("_drop")),
                       "boilerplate")
     lines = per_host.agg(F.sum(F.size("_drop"))).first()[0] or 0
     # The text isn't shuffled while the table is small; beyond that Spark joins by host and splits hot ones.
     side = F.broadcast(per_host) if lines <= BROADCAST_LINES else per_host
-    met = pages.drop("_host", "_drop", "_n_lines", "_n_dropped").join(
+    met = pages.drop("_host", "_drop", "_kept_lines", "_n_lines", "_n_dropped").join(
         side, F.col(host).eqNullSafe(F.col("_host")), "left"
     )
     every = lines_of(F.col(text))
     kept = F.filter(every, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), line_key(x)))
-    cut = met.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
+    cut = met.withColumn("_kept_lines", F.when(F.col("_drop").isNotNull(), kept))
     n_lines = F.coalesce(F.size(every), F.lit(0))
     return cut.withColumns({
         "_n_lines": F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long"),
-        "_n_dropped": F.when(F.col("_kept").isNull(), 0).otherwise(F.size(every) - F.size("_kept")).cast("long"),
+        "_n_dropped": F.when(F.col("_kept_lines").isNull(), 0).otherwise(F.size(every) - F.size("_kept_lines")).cast("long"),
     }).withColumn(
-        text, F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))
-    ).drop("_host", "_drop", "_kept")
+        text, F.when(F.col("_n_dropped") > 0, F.array_join("_kept_lines", "\n")).otherwise(F.col(text))
+    ).drop("_host", "_drop", "_kept_lines")
