@@ -85,9 +85,10 @@ def fit(number: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np.ndarra
     free, free_before = np.concatenate([[-1.0], np.zeros(top - 1)]), np.concatenate([[-1.0], np.zeros(top - 1)])
     n = len(grade)
     norms = np.bincount(row, value * value, minlength=n)
-    rate = rate / (np.quantile(norms, 0.9) + 1.0)
-    for step in range(steps):
-        push = step / (step + 3.0)
+    rate, pace = rate / (np.quantile(norms, 0.9) + 1.0), 0.2
+    best, since = (np.inf, w, free), 0
+    for _ in range(steps):
+        push = since / (since + 3.0)
         w_at, free_at = w + push * (w - w_before), free + push * (free - free_before)
         gaps = np.exp(free_at[1:])
         cut = np.concatenate([[-np.inf], free_at[0] + np.concatenate([[0.0], np.cumsum(gaps)]), [np.inf]])
@@ -95,6 +96,16 @@ def fit(number: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np.ndarra
         above = 1 / (1 + np.exp(-np.clip(cut[grade + 1] - score, -500, 500)))
         below = 1 / (1 + np.exp(-np.clip(cut[grade] - score, -500, 500)))
         p = np.maximum(above - below, 1e-12)
+        loss = float(-np.log(p).mean() + ridge / 2 * (w_at @ w_at))
+        if not loss <= best[0] + 0.01:
+            # A step that leads uphill is taken back, and the next ones are shorter.
+            rate, pace, since = rate / 2, pace / 2, 0
+            w = w_before = best[1]
+            free = free_before = best[2]
+            continue
+        if loss < best[0]:
+            best = (loss, w_at, free_at)
+        since += 1
         d_above, d_below = above * (1 - above) / p, below * (1 - below) / p
         per_cut = np.zeros(top + 2)
         np.add.at(per_cut, grade + 1, -d_above / n)
@@ -103,7 +114,8 @@ def fit(number: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np.ndarra
         slope = np.bincount(number, ((d_above - d_below) / n)[row] * value, minlength=len(w)) + ridge * w_at
         w_before, free_before = w, free
         w = w_at - rate * slope
-        free = free_at - np.clip(np.concatenate([[tail[0]], tail[1:] * gaps]), -0.5, 0.5)
+        free = free_at - pace * np.clip(np.concatenate([[tail[0]], tail[1:] * gaps]), -0.5, 0.5)
+    _, w, free = best
     thresholds = free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
     return OrdinalModel(w * scale, thresholds, bits)
 
