@@ -202,3 +202,15 @@ def test_vectors_query(spark):
     got = QUERIES["op7_vectors"](spark, SMALL).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute_links(rows))
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_fit_does_not_run_away():
+    """Many steps over strong, overlapping features keep to a minimum."""
+    rng = np.random.default_rng(4)
+    n, m = 400, 60
+    x = rng.gamma(0.3, 3.0, (n, m))
+    grade = np.digitize(x[:, 0] - x[:, 1] + rng.logistic(0, 0.5, n), [-1.0, 1.0])
+    model = quality.fit(np.tile(np.arange(m), n), x.ravel(), np.repeat(np.arange(n), m), grade, 2, bits=6, steps=2000)
+    assert np.isfinite(model.weights).all() and np.diff(model.thresholds)[0] < 100
+    tails = model.tails(x @ model.weights[:m])
+    assert np.mean((tails > 0.5).sum(1) == grade) > 0.7
