@@ -66,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @keeping_further_columns
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece numbers of each text, and the text that they decode to."""
-    encoded = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    encoded = pieces.encode(docs, PIECE_MODEL, decoded="_decoded")
     return encoded.select(
         *[c for c in docs.columns if c != "text"], F.col("_decoded").alias("text"),
         F.col("_pieces").alias("pieces"), F.coalesce(F.size("_pieces"), F.lit(0)).cast("long").alias("n_pieces"),

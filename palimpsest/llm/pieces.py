@@ -33,7 +33,7 @@ REMEMBERED = 250_000
 PAIR_BITS = 20
 NOTHING = np.int64(1) << np.int64(60)
 # Bytes of text that are encoded at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 class Model:
@@ -294,10 +294,10 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "_pieces") -> DataFrame:
-    """``docs`` with the piece numbers of the text."""
+def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "_pieces", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the piece numbers of the text, and with ``decoded`` also the text that they decode to, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    docs = docs.drop(out)
+    docs = docs.drop(out, *([decoded] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(shared.value)
@@ -308,9 +308,13 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 missing = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(ends, pa.array(numbers, pa.int32()), mask=missing)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
+                arrays, names = [*part.columns, lists], [*part.schema.names, out]
+                if decoded:
+                    arrays.append(pa.array(model.decode(numbers, counts), pa.string(), mask=missing.to_numpy(zero_copy_only=False)))
+                    names.append(decoded)
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, with_fields(docs, f"{out} array<int>"))
+    return docs.mapInArrow(run, with_fields(docs, f"{out} array<int>" + (f", {decoded} string" if decoded else "")))
 
 
 def decode(encoded: DataFrame, model_path: str, *, pieces: str = "_pieces", out: str = "_decoded") -> DataFrame:

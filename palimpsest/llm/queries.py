@@ -100,7 +100,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 @query("op6_pieces")
 def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL).select(
+    return pieces.encode(docs, PIECE_MODEL, decoded="_decoded").select(
         "doc_id", F.coalesce(F.size("_pieces"), F.lit(0)).cast("long").alias("n_pieces"),
         F.xxhash64("_pieces").alias("pieces_hash"), F.sha2("_decoded", 256).alias("decoded_sha256"),
         F.col("_decoded").eqNullSafe(F.col("text")).alias("round_trip"),
