@@ -2,21 +2,22 @@
 
 A text is its lower-case words and one end. A word is spelled in bytes and a closing space, the end is a closing space
 alone; each byte is eight bits. Predictors look up how often a bit was 0 or 1 after a context: the one, two and
-four bytes before it and the whole word before it, each with the bits of the byte so far, hashed into a table of fixed size.
-The log odds of the predictors are combined by weights, one set for each gate (place of the bit, trust in the longest
-context). A block of documents starts with equal weights and refines them word by word on training words, each judged
-by counts without itself. Bits add up to the log probability; contexts don't cross words, so a word is scored once for a
-block. The table of whole-word contexts is made in the block from the corpus counts of its words.
-
-All counts come from the training documents, those whose crc32 of the id as text is not 0 modulo 10:
-- word counts, exact for every word: a block sends its distinct words packed by hash range and gets back
-  their counts in the same order, so nothing of the vocabulary is broadcast;
-- bit counts: each task adds up one table and sends it in pieces; the sum is the broadcast model, MODEL_SLOTS
-  pairs of counts at any size of the corpus.
+four bytes before it, whatever word they belong to, and the whole word before it, each with the bits of the byte so far. The
+log odds of the predictors are combined by weights, one set for each gate (place of the bit, trust in the longest
+context). Every block of documents starts with equal weights and refines them over its training text, each bit judged
+by counts without itself; the blocks' weights, weighed by their curvature, make one set, and all texts are scored with it.
+Bits add up to the log probability. Every byte of every text is scored where it stands; bytes that agree in the four bytes
+before them and in the word so far form a state, which a block works out once.
+
+All counts come from the training documents, those whose crc32 of the id as text is not 0 modulo 10, and are exact:
+for each context and next byte, a block sends the number of its own training text, packed by hash range, and gets back in
+the same order how often the corpus goes that way after the context, down to each bit. So nothing of the counts is
+broadcast, their number follows the corpus, and a score depends on the text, not on its block. The count of a word is that
+of its closing space.
 
 Defined results: NULL and empty texts have the end as their only token; a NULL id counts as empty text, whose remainder is
-0; repeated rows count and are scored each; without training tokens N and V are 0; an empty table gives an empty result. Words
-are told apart by 64-bit hashes.
+0; repeated rows count and are scored each; without training tokens N and V are 0; an empty table gives an empty result.
+Contexts and words are told apart by 54-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,276 +30,340 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textops import LOWER, NOT_SPACE, _BYTE_VALUES, _grow, mixed, utf8, word_bounds, word_hashes
+from palimpsest.llm.textops import LOWER, NOT_SPACE, _BYTE_VALUES, _grow, mixed, utf8, word_bounds
 from palimpsest.plans.staging import staged
 
 FOLDS = 10
 BLOCK_BYTES = 4 << 20
-# Table sizes in bits for contexts of one, two and four bytes, and of a block's own table for the word so far.
-TABLE_BITS = (17, 19, 19)
-WORD_BITS = 22
-PREDICTORS = len(TABLE_BITS) + 1
-MODEL_SLOTS = sum(1 << b for b in TABLE_BITS)
-PIECE = 1 << 16
+# Text for each range of hashes, beyond the number of shuffle partitions.
+RANGE_BYTES = 16 << 20
+ORDERS = 4
+WORD = ORDERS - 1
 PRIOR = 0.4
 TRUST = np.array([0.5, 2.5, 8.5, 64.5, 1024.5])
-GATES = 8 * (len(TRUST) + 1)
-RATE = 1.0
-CHUNK = 1 << 17
+LEVELS = len(TRUST) + 1
+GATES = 8 * LEVELS
+RIDGE = 1.0
+LARGEST = 0.5
+# States for each step of learning, and the least number of steps of a block.
+STEP = 2048
+LEAST_STEPS = 64
+CHUNK = 1 << 15
 SPACE = 32
-END = np.uint64(0x656E64)
+START = 10
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-class BlockWords:
-    """The distinct words of some texts, ascending by hash, and where they stand."""
+class BlockStates:
+    """The spelled bytes of some texts, their states, and the distinct (context, byte) keys of these, ascending."""
 
     def __init__(self, text: pa.ChunkedArray, training: np.ndarray):
         data, offsets = utf8(text)
-        self.low = LOWER[data]
-        starts, ends, owner = word_bounds(self.low, offsets, NOT_SPACE)
+        low = LOWER[data]
+        starts, ends, owner = word_bounds(low, offsets, NOT_SPACE)
         n = len(offsets) - 1
-        hashes = np.concatenate([word_hashes(self.low, starts, ends), np.full(n, END)])
-        self.owner = np.concatenate([owner, np.arange(n)])
-        # An end is an empty word.
-        starts, ends = np.concatenate([starts, np.zeros(n, np.int64)]), np.concatenate([ends, np.zeros(n, np.int64)])
-        self.hashes, first, self.word = np.unique(hashes, return_index=True, return_inverse=True)
-        self.starts, self.ends = starts[first], ends[first]
-        self.train = np.bincount(self.word, training[self.owner].astype(float), minlength=len(self.hashes)).astype(np.int64)
+        # Each text: four starting bytes, its words with their closing spaces, the space of the end.
+        sizes = ends - starts + 1
+        letters = np.bincount(owner, sizes, minlength=n).astype(np.int64)
+        begins = np.concatenate([[0], np.cumsum(letters + 5)])
+        before = np.cumsum(sizes) - sizes
+        at = before + owner * 5 + 4
+        chars = np.full(int(begins[-1]), SPACE, np.uint8)
+        where = _runs(at, sizes - 1)
+        chars[where] = low[_runs(starts, sizes - 1)]
+        del where, low, data
+        scored = np.ones(len(chars), bool)
+        for k in range(4):
+            chars[begins[:-1] + k] = START
+            scored[begins[:-1] + k] = False
+        spot = np.flatnonzero(scored).astype(np.int32)
+        ends = begins[1:] - 1
+        first = np.zeros(len(chars), np.int32)
+        first[at], first[ends] = at, ends
+        first = np.maximum.accumulate(first)[scored]
+        four = np.zeros(len(chars), np.uint32)
+        for k in range(1, 5):
+            four[4:] |= chars[4 - k : len(chars) - k].astype(np.uint32) << np.uint32(8 * (k - 1))
+        four = four[scored].astype(np.uint64)
+        up, down = _grow(len(chars) + 1)
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[chars] * up[: len(chars)], out=sums[1:])
+        word = (sums[:-1][scored] - sums[first]) * down[first]
+        del sums
+        word = mixed(word + (spot - first).astype(np.uint64))
+        byte = chars[scored]
+        del spot, first, scored, chars
+        coded = pa.array(mixed(four << np.uint64(8) | byte) ^ word).dictionary_encode()
+        self.state = coded.indices.to_numpy()
+        one = np.zeros(len(coded.dictionary), np.int64)
+        one[self.state[::-1]] = np.arange(len(byte))[::-1]
+        close = byte == SPACE
+        four, word, self.byte = four[one], word[one], byte[one]
+        self.owner = np.repeat(np.arange(n, dtype=np.int32), letters + 1)
+        self.closing, self.closed_by = self.state[close], self.owner[close]
+        self.train = np.bincount(self.state, training[self.owner].astype(float), minlength=len(one)).astype(np.int64)
         self.texts, self.sizes = n, np.diff(offsets)
+        # 54 bits of the context, the byte, two bits of the order.
+        tail = self.byte.astype(np.uint64) << np.uint64(2)
+        keys = [
+            mixed(c) >> np.uint64(10) << np.uint64(10) | tail | np.uint64(k)
+            for k, c in enumerate((four & np.uint64(0xFF) | np.uint64(1 << 40), four & np.uint64(0xFFFF) | np.uint64(2 << 40), four | np.uint64(3 << 40), word))
+        ]
+        self.keys, rows = np.unique(np.concatenate(keys), return_inverse=True)
+        self.rows = rows.reshape(ORDERS, len(one))
+        self.key_train = np.bincount(rows, np.tile(self.train.astype(float), ORDERS), minlength=len(self.keys)).astype(np.int64)
 
     def cuts(self, parts: int) -> np.ndarray:
         step = -(-(1 << 64) // parts)
-        edges = [min(p * step, (1 << 64) - 1) for p in range(1, parts)]
-        return np.concatenate([[0], np.searchsorted(self.hashes, np.array(edges, np.uint64)), [len(self.hashes)]]).astype(np.int64)
-
-    def spelled(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of some words with their closing spaces, and the place of each word's first."""
-        sizes = self.ends[rows] - self.starts[rows] + 1
-        total = np.cumsum(sizes)
-        begins = total - sizes
-        at = np.repeat(self.starts[rows] - begins, sizes) + np.arange(int(sizes.sum()))
-        padded = np.append(self.low, np.uint8(SPACE))
-        chars = padded[np.minimum(at, len(padded) - 1)]
-        chars[total - 1] = SPACE
-        return chars, begins
-
-
-def contexts(chars: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-    """Hashes of what stands before each byte, one array for each table."""
-    n = len(chars)
-    inside = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
-    before = []
-    for back in range(1, 5):
-        past = np.zeros(n, np.uint64)
-        past[back:] = chars[:-back] if n > back else 0
-        before.append(np.where(inside >= back, past, np.uint64(256)))
-    one = before[0]
-    two = one | before[1] << np.uint64(9)
-    four = two | before[2] << np.uint64(18) | before[3] << np.uint64(27)
-    up, down = _grow(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[chars] * up[:n], out=sums[1:])
-    first = np.repeat(begins, np.diff(np.append(begins, n)))
-    word = (sums[:n] - sums[first]) * down[first]
-    return [mixed(c + np.uint64(k << 56 | 1)) for k, c in enumerate((one, two, four, word))]
-
-
-def bit_slots(chars: np.ndarray, context: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """For each of the eight places: the bits and their slots in the tables."""
-    wide = chars.astype(np.uint64)
-    for place in range(8):
-        node = np.uint64(1 << place) | wide >> np.uint64(8 - place)
-        bit = (wide >> np.uint64(7 - place) & np.uint64(1)).astype(np.int64)
-        yield place, bit, [
-            ((c ^ node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - b)).astype(np.int64)
-            for c, b in zip(context, (*TABLE_BITS, WORD_BITS))
-        ]
+        # The keys of a context stay together.
+        edges = [min(p * step, (1 << 64) - 1) >> 10 << 10 for p in range(1, parts)]
+        return np.concatenate([[0], np.searchsorted(self.keys, np.array(edges, np.uint64)), [len(self.keys)]]).astype(np.int64)
 
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums of a value of the states over the bytes of each text."""
+        return np.bincount(self.owner, values[self.state], minlength=self.texts)
 
-def add_counts(tables: list[np.ndarray], words: BlockWords) -> None:
-    """Count the bits of the training words into ``tables`` of (slots * 2) counts."""
-    rows = np.flatnonzero(words.train)
-    for some in in_chunks(words, rows):
-        chars, begins = words.spelled(some)
-        often = np.repeat(words.train[some], np.diff(np.append(begins, len(chars)))).astype(float)
-        for _, bit, slots in bit_slots(chars, contexts(chars, begins)[: len(TABLE_BITS)]):
-            for table, slot in zip(tables, slots):
-                np.add.at(table, slot * 2 + bit, often)
+    def per_token(self, values: np.ndarray) -> np.ndarray:
+        """Sums of a value of the states over the tokens of each text."""
+        return np.bincount(self.closed_by, values[self.closing], minlength=self.texts)
 
 
-def in_chunks(words: BlockWords, rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Runs of words of about CHUNK bytes."""
-    if not len(rows):
-        return
-    ends = np.cumsum(words.ends[rows] - words.starts[rows] + 1)
-    at = 0
-    while at < len(rows):
-        base = ends[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
-        yield rows[at:end]
-        at = end
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    total = np.cumsum(sizes)
+    return np.repeat(starts - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)
+
+
+def ways(keys: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """For each of all keys, ascending, how often its context goes on with its first 0 to 8 bits."""
+    out = np.zeros((9, len(keys)), np.int64)
+    for bits in range(9):
+        node = keys >> np.uint64(10 - bits)
+        new = np.concatenate([[True], node[1:] != node[:-1]])
+        out[bits] = np.add.reduceat(total, np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
+def pack_ways(way: np.ndarray) -> bytes:
+    """What the nine counts of each key lose from bit to bit, where they lose, and the last."""
+    lost = (way[:-1] - way[1:]).T
+    held = lost > 0
+    numbers = np.concatenate([way[8], lost[held]]).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return np.packbits(held, axis=1).tobytes() + np.ascontiguousarray(numbers).tobytes()
+
+
+def unpack_ways(raw: bytes, n: int) -> np.ndarray:
+    held = np.unpackbits(np.frombuffer(raw, np.uint8, n).reshape(n, 1), axis=1).astype(bool)
+    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=n).reshape(8, -1).T).view("<i8")[:, 0]
+    way = np.zeros((n, 9), np.int64)
+    way[:, :8][held] = numbers[n:]
+    way[:, 8] = numbers[:n]
+    return np.cumsum(way[:, ::-1], 1)[:, ::-1]
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def word_table(words: BlockWords, counts: np.ndarray) -> np.ndarray:
-    """The counts of the bits after each beginning of a word, from the corpus counts of the block's words."""
-    table = np.zeros(2 << WORD_BITS, np.float32)
-    for some in in_chunks(words, np.flatnonzero(counts)):
-        chars, begins = words.spelled(some)
-        often = np.repeat(counts[some], np.diff(np.append(begins, len(chars)))).astype(np.float32)
-        for _, bit, slots in bit_slots(chars, contexts(chars, begins)):
-            np.add.at(table, slots[-1] * 2 + bit, often)
-    return table
-
-
-def word_bits(tables: list[np.ndarray], words: BlockWords, counts: np.ndarray) -> np.ndarray:
-    """Bits that the mixed model needs for each distinct word."""
-    tables = [*tables, word_table(words, counts)]
-    weights = np.zeros((GATES, PREDICTORS))
-    weights[:] = [0.1, 0.2, 0.4, 0.0]
-    weights[np.arange(GATES) % (len(TRUST) + 1) > 0] = [0.0, 0.0, 0.2, 0.8]
-    spent = np.zeros(len(words.hashes))
-    for step, some in enumerate(in_chunks(words, np.arange(len(words.hashes)))):
-        chars, begins = words.spelled(some)
-        sizes = np.diff(np.append(begins, len(chars)))
-        often = np.repeat(words.train[some], sizes)
-        cost = np.zeros(len(chars))
-        learn = np.flatnonzero((often > 0) & (np.repeat(np.arange(len(some)), sizes) % 4 == 0))
-        for place, bit, slots in bit_slots(chars, contexts(chars, begins)):
-            zeros = [t[s * 2] for t, s in zip(tables, slots)]
-            ones = [t[s * 2 + 1] for t, s in zip(tables, slots)]
-            odds = np.stack([np.log((b + PRIOR) / (a + PRIOR)) for a, b in zip(zeros, ones)], 1)
-            gate = place * (len(TRUST) + 1) + np.searchsorted(TRUST, zeros[-1] + ones[-1])
-            p = squash(np.einsum("ij,ij->i", odds, weights[gate]))
-            cost -= np.log2(np.where(bit == 1, p, 1 - p))
-            # Refine on words as they would be judged without themselves.
-            own = bit[learn]
-            z = [np.maximum(a[learn] - (own == 0), 0) for a in zeros]
-            o = [np.maximum(b[learn] - (own == 1), 0) for b in ones]
-            seen = np.stack([np.log((b + PRIOR) / (a + PRIOR)) for a, b in zip(z, o)], 1)
-            at = place * (len(TRUST) + 1) + np.searchsorted(TRUST, z[-1] + o[-1])
-            heavy = often[learn].astype(float)
-            wrong = (own - squash(np.einsum("ij,ij->i", seen, weights[at]))) * heavy
-            scale = np.bincount(at, heavy * np.einsum("ij,ij->i", seen, seen), minlength=GATES) + 10.0
-            for k in range(PREDICTORS):
-                weights[:, k] += RATE / (1 + 0.05 * step) * np.bincount(at, wrong * seen[:, k], minlength=GATES) / scale
-        spent[some] = np.add.reduceat(cost, begins)
+def evidence(way: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of the bit that came against the other one, and trust, for the eight bits of each key; ``own`` takes one count off."""
+    odds, trust = np.zeros((len(way), 8), np.float32), np.zeros((len(way), 8), np.int8)
+    for a in range(0, len(way), CHUNK):
+        some = np.maximum(way[a : a + CHUNK] - int(own), 0)
+        right, both = some[:, 1:], some[:, :8]
+        odds[a : a + CHUNK] = np.log((right + PRIOR) / (both - right + PRIOR))
+        trust[a : a + CHUNK] = np.searchsorted(TRUST, both)
+    return odds, trust
+
+
+def state_evidence(states: BlockStates, odds: np.ndarray, trust: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state and place, order) odds and (state and place) gates of some states."""
+    seen = np.stack([odds[states.rows[k, some]] for k in range(ORDERS)], 2)
+    gate = trust[states.rows[WORD, some]] + np.arange(8) * LEVELS
+    return seen.reshape(-1, ORDERS), gate.ravel()
+
+
+def equal_weights() -> np.ndarray:
+    return np.full((GATES, ORDERS), 1 / ORDERS)
+
+
+def learned(states: BlockStates, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights refined over the training states in the order of the text, and the curvature that each gate has seen."""
+    weights, curve = equal_weights(), np.zeros((GATES, ORDERS, ORDERS))
+    rows = np.flatnonzero(states.train)
+    if not len(rows):
+        return weights, curve
+    odds, trust = evidence(way, True)
+    step = min(STEP, len(rows))
+    turns = max(1, -(-LEAST_STEPS * step // len(rows)))
+    ridge = RIDGE * np.eye(ORDERS)
+    for _ in range(turns):
+        for a in range(0, len(rows), step):
+            some = rows[a : a + step]
+            seen, gate = state_evidence(states, odds, trust, some)
+            heavy = np.repeat(states.train[some], 8).astype(float)
+            order = np.argsort(gate, kind="stable")
+            seen, gate, heavy = seen[order].astype(float), gate[order], heavy[order]
+            p = squash(np.einsum("ij,ij->i", seen, weights[gate]))
+            cuts = np.searchsorted(gate, np.arange(GATES + 1))
+            pull, bend = seen * ((1 - p) * heavy)[:, None], seen * (p * (1 - p) * heavy)[:, None]
+            for g in np.flatnonzero(np.diff(cuts)):
+                part = slice(cuts[g], cuts[g + 1])
+                curve[g] += bend[part].T @ seen[part]
+                weights[g] += np.clip(np.linalg.solve(curve[g] + ridge, pull[part].sum(0)), -LARGEST, LARGEST)
+    return weights, curve / turns
+
+
+def joined_weights(curve: np.ndarray, bent: np.ndarray) -> np.ndarray:
+    """The weights of all blocks from the sums of their curvatures, and of these times their weights."""
+    ridge = RIDGE * np.eye(ORDERS)
+    return np.linalg.solve(curve + ridge, (bent + equal_weights() @ ridge)[:, :, None])[:, :, 0]
+
+
+def state_bits(states: BlockStates, way: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Bits that the mixed model needs for each state."""
+    odds, trust = evidence(way, False)
+    weights = weights.astype(np.float32)
+    spent = np.zeros(len(states.byte))
+    for a in range(0, len(spent), CHUNK):
+        some = np.arange(a, min(a + CHUNK, len(spent)))
+        seen, gate = state_evidence(states, odds, trust, some)
+        z = np.einsum("ij,ij->i", seen, weights[gate]).astype(float)
+        spent[some] = np.logaddexp(0, -z).reshape(-1, 8).sum(1) / np.log(2)
     return spent
 
 
 def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row."""
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
+    parts = max(tasks, -(-size // RANGE_BYTES))
     dealt = rows.select(
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"), "doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Requests of the blocks, and at the end the bit counts of the task."""
+        """Requests of the blocks: their keys and how often their training text has each."""
         pack = zstandard.ZstdCompressor(level=1)
-        tables = [np.zeros(2 << b) for b in TABLE_BITS]
         held: list[pa.RecordBatch] = []
 
         def sent() -> pa.RecordBatch:
             block = pa.Table.from_batches(held)
-            words = BlockWords(block["text"], ~block["held_out"].to_numpy())
-            add_counts(tables, words)
-            cuts = words.cuts(parts)
-            asked = [pack.compress(np.diff(words.hashes[a:b], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()) for a, b in zip(cuts, cuts[1:])]
-            counts = [pack.compress(words.train[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:])]
+            states = BlockStates(block["text"], ~block["held_out"].to_numpy())
+            cuts = states.cuts(parts)
+            asked = [pack.compress(pack_numbers(np.diff(states.keys[a:b], prepend=np.uint64(0)))) for a, b in zip(cuts, cuts[1:])]
+            counts = [pack.compress(pack_numbers(states.key_train[a:b])) for a, b in zip(cuts, cuts[1:])]
             return pa.RecordBatch.from_arrays([
                 pa.array([block["block"][0].as_py()] * parts, pa.int64()), pa.array(range(parts), pa.int32()),
                 pa.array(asked, pa.binary()), pa.array(counts, pa.binary())], names=["block", "part", "asked", "counts"])
 
         for batch in batches:
-            block = batch.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and held[0].column(0)[0].as_py() != block[a]:
+            for one in _groups(batch):
+                if held and held[0].column(0)[0].as_py() != one.column(0)[0].as_py():
                     yield sent()
                     held = []
-                held.append(batch.slice(a, b - a))
+                held.append(one)
         if held:
             yield sent()
-            flat = np.concatenate(tables).astype("<u4")
-            pieces = [pack.compress(flat[a : a + PIECE].tobytes()) for a in range(0, len(flat), PIECE)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([-1] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()),
-                pa.array(pieces, pa.binary()), pa.array([None] * len(pieces), pa.binary())], names=["block", "part", "asked", "counts"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each range of hashes the counts that the blocks asked for, and its sums; for each piece of the tables its sum."""
+        """For each range of hashes the counts that the blocks asked for, and its sums."""
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        asked: dict[int, list] = {}
-        pieces: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, part, blob, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if block < 0:
-                    one = np.frombuffer(unpack.decompress(blob), "<u4").astype(np.int64)
-                    pieces[part] = pieces[part] + one if part in pieces else one
-                else:
-                    asked.setdefault(part, []).append((block, blob, counts))
-        for part, sums in pieces.items():
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([part], pa.int32()), pa.array([pack.compress(sums.tobytes())], pa.binary()),
-                                              pa.array([0], pa.int64()), pa.array([0], pa.int64())], names=["block", "part", "found", "n", "v"])
-        for part, requests in asked.items():
-            lists = []
-            for _, blob, _ in requests:
-                raw = np.frombuffer(unpack.decompress(blob), np.uint8)
-                lists.append(np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8")[:, 0], dtype=np.uint64))
-            counts = np.concatenate([np.frombuffer(unpack.decompress(c), "<u4") for _, _, c in requests])
-            if not len(counts):
-                words, where, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            else:
-                words, where = np.unique(np.concatenate(lists), return_inverse=True)
+        held: list[pa.RecordBatch] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            requests = pa.Table.from_batches(held)
+            part = requests["part"][0].as_py()
+            lists = [np.cumsum(unpack_numbers(unpack.decompress(b.as_buffer())), dtype=np.uint64) for b in requests["asked"]]
+            counts = np.concatenate([unpack_numbers(unpack.decompress(b.as_buffer())) for b in requests["counts"]])
+            keys, where = np.unique(np.concatenate(lists), return_inverse=True)
+            n = v = 0
+            if len(keys):
                 total = np.bincount(where, counts.astype(float)).astype(np.int64)
-            ends = np.cumsum([len(x) for x in lists])
-            found = [pack.compress(total[where[e - len(x) : e]].astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()) for x, e in zip(lists, ends)]
-            n, v = [0] * len(requests), [0] * len(requests)
-            n[0], v[0] = int(total.sum()), int((total > 0).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in requests], pa.int64()), pa.array([part] * len(requests), pa.int32()), pa.array(found, pa.binary()),
-                                              pa.array(n, pa.int64()), pa.array(v, pa.int64())], names=["block", "part", "found", "n", "v"])
+                way = ways(keys, total)
+                closing = total[keys & np.uint64(0x3FF) == np.uint64(SPACE << 2 | WORD)]
+                n, v = int(closing.sum()), int((closing > 0).sum())
+            at = 0
+            for block, one in zip(requests["block"].to_pylist(), lists):
+                blob = pack.compress(pack_ways(way[:, where[at : at + len(one)]])) if len(one) else b""
+                at += len(one)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([len(one)], pa.int64()), pa.array([blob], pa.binary()),
+                    pa.array([n], pa.int64()), pa.array([v], pa.int64())], names=["block", "part", "size", "found", "n", "v"])
+                n = v = 0
+
+        for batch in batches:
+            for one in _groups(batch, 1):
+                if held and held[0].column(1)[0].as_py() != one.column(1)[0].as_py():
+                    yield from found()
+                    held = []
+                held.append(one)
+        if held:
+            yield from found()
 
     replies = staged(
-        dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(
+        dealt.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(
             ask, "block long, part int, asked binary, counts binary")
-        .repartition(parts, "part").mapInArrow(answer, "block long, part int, found binary, n long, v long"), "replies")
+        .repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(
+            answer, "block long, part int, size long, found binary, n long, v long"), "replies")
     sums = replies.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = sums["n"] or 0, sums["v"] or 0
-    held = replies.where("block = -1").select("part", "found").orderBy("part").collect()  # the model: MODEL_SLOTS pairs
-    unpack = zstandard.ZstdDecompressor()
-    flat = np.concatenate([np.frombuffer(unpack.decompress(bytes(r["found"])), "<i8") for r in held]).astype(np.float32) if held else np.zeros(2 * MODEL_SLOTS, np.float32)
-    ends = np.cumsum([2 << b for b in TABLE_BITS])
-    shared = spark.sparkContext.broadcast([flat[e - (2 << b) : e] for e, b in zip(ends, TABLE_BITS)])
 
-    def score(block: pa.Table, known: pa.Table) -> pa.Table:
+    def met(block: pa.Table, known: pa.Table) -> tuple[BlockStates, np.ndarray]:
+        """The states of a block and the counts of its keys."""
         unpack = zstandard.ZstdDecompressor()
-        words = BlockWords(block["text"], ~block["held_out"].to_numpy())
-        found = dict(zip(known["part"].to_pylist(), known["found"].to_pylist()))
-        counts = np.concatenate([
-            np.ascontiguousarray(np.frombuffer(unpack.decompress(found[p]), np.uint8).reshape(8, -1).T).view("<i8")[:, 0] for p in range(parts)])
+        states = BlockStates(block["text"], ~block["held_out"].to_numpy())
+        way = np.zeros((len(states.keys), 9), np.int64)
+        cuts = states.cuts(parts)
+        for part, n, blob in zip(known["part"].to_pylist(), known["size"].to_pylist(), known["found"]):
+            if n:
+                way[cuts[part] : cuts[part + 1]] = unpack_ways(unpack.decompress(blob.as_buffer()), n)
+        return states, way
+
+    def fit(block: pa.Table, known: pa.Table) -> pa.Table:
+        weights, curve = learned(*met(block, known))
+        values = np.concatenate([curve.ravel(), np.einsum("gij,gj->gi", curve, weights).ravel()])
+        return pa.table({"place": np.arange(len(values)), "value": values})
+
+    def score(block: pa.Table, known: pa.Table) -> pa.Table:
+        states, way = met(block, known)
+        counts = way[states.rows[WORD], 8]
         base = np.log10((counts + 0.1) / (n_all + 0.1 * (v_all + 1)))
-        bits = word_bits(shared.value, words, counts)
-        per_text = lambda values: np.bincount(words.owner, values[words.word], minlength=words.texts)
-        total = per_text(bits)
+        total = states.per_text(state_bits(states, way, weights))
         return pa.table({
             "doc_id": block["doc_id"], "held_out": block["held_out"],
-            "n_tokens": np.bincount(words.owner, minlength=words.texts), "n_known": per_text((counts > 0).astype(float)).astype(np.int64),
-            "train_tokens": np.full(words.texts, n_all), "base_score": per_text(base), "score": -total * np.log10(2),
-            "bits_per_byte": total / (words.sizes + 1),
+            "n_tokens": np.bincount(states.closed_by, minlength=states.texts), "n_known": states.per_token((counts > 0).astype(float)).astype(np.int64),
+            "train_tokens": np.full(states.texts, n_all), "base_score": states.per_token(base), "score": -total * np.log10(2),
+            "bits_per_byte": total / (states.sizes + 1),
         })
 
-    return dealt.groupBy("block").cogroup(replies.where("block >= 0").select("block", "part", "found").groupBy("block")).applyInArrow(
+    asked = replies.select("block", "part", "size", "found")
+    together = dealt.groupBy("block").cogroup(asked.groupBy("block"))
+    fitted = together.applyInArrow(fit, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").collect()  # GATES rows of a matrix and a vector
+    values = np.array([r["value"] for r in fitted]) if fitted else np.zeros(GATES * ORDERS * (ORDERS + 1))
+    bends = GATES * ORDERS * ORDERS
+    weights = joined_weights(values[:bends].reshape(GATES, ORDERS, ORDERS), values[bends:].reshape(GATES, ORDERS))
+    return together.applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+
+
+def _groups(batch: pa.RecordBatch, column: int = 0) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with one value in a column."""
+    if batch.num_rows:
+        value = batch.column(column).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)

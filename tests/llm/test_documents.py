@@ -273,6 +273,30 @@ def test_lm_blocks_agree_on_counts(spark, docs, monkeypatch):
     same_scores(QUERIES["op4_lm_score"](spark, FOLDER).collect(), base_scores(docs.doc_id.tolist(), docs.text.tolist()))
 
 
+def lm_scores(spark, rows):
+    return {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def prose(seed, n=400):
+    rng = random.Random(seed)
+    made = ["".join(rng.choice("abcdeiou") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    return [(i, " ".join(rng.choice(made[: rng.randint(1, 300)]) for _ in range(60))) for i in range(n)]
+
+
+def test_lm_equal_texts_score_equally(spark, monkeypatch):
+    rows = prose(1)
+    rows += [(10_000 + i, rows[5][1]) for i in range(40)]
+    scores = []
+    for size in (4 << 20, 5_000):
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", size)
+        got = lm_scores(spark, rows)
+        same = [got[10_000 + i].score for i in range(40)]
+        assert same == pytest.approx([same[0]] * 40, rel=1e-9)
+        scores.append([got[i].score for i, _ in rows])
+    # The counts are those of the corpus; only the learned weights know of blocks, of five kilobytes here.
+    assert scores[0] == pytest.approx(scores[1], rel=0.02)
+
+
 def test_lines_odd_cases(spark, odd, empty):
     rows = [(i, f"Menu\n text {i} \n\nfoot {i % 3}", "h") for i in range(30)] + [(40, "Menu\nb", "g"), (41, None, "h"), (42, "Menu", "h"), (42, "Menu", "h"), (43, "", "h")]
     rows += [(100 + i, "copy of a page\nwith two lines", "h") for i in range(30)] + [(200 + i, "Menu\nx", None) for i in range(7)]
