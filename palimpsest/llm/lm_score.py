@@ -36,7 +36,7 @@ from palimpsest.plans.staging import staged
 FOLDS = 10
 BLOCK_BYTES = 4 << 20
 # Text for each range of hashes, beyond the number of shuffle partitions.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 ORDERS = 4
 WORD = ORDERS - 1
 PRIOR = 0.4
@@ -48,7 +48,8 @@ LARGEST = 0.5
 # States for each step of learning, and the least number of steps of a block.
 STEP = 2048
 LEAST_STEPS = 64
-CHUNK = 1 << 15
+CHUNK = 1 << 14
+SLICE = 1 << 19
 SPACE = 32
 START = 10
 
@@ -57,51 +58,54 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def spelled(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The scored bytes but one of each text; for each byte the four before it, a hash of the word so far, and itself."""
+    starts, ends, owner = word_bounds(low, offsets, NOT_SPACE)
+    n = len(offsets) - 1
+    # Each text: four starting bytes, its words with their closing spaces, the space of the end.
+    sizes = ends - starts + 1
+    letters = np.bincount(owner, sizes, minlength=n).astype(np.int64)
+    begins = np.concatenate([[0], np.cumsum(letters + 5)])
+    at = np.cumsum(sizes) - sizes + owner * 5 + 4
+    chars = np.full(int(begins[-1]), SPACE, np.uint8)
+    chars[_runs(at, sizes - 1)] = low[_runs(starts, sizes - 1)]
+    scored = np.ones(len(chars), bool)
+    for k in range(4):
+        chars[begins[:-1] + k] = START
+        scored[begins[:-1] + k] = False
+    spot = np.flatnonzero(scored)
+    last = begins[1:] - 1
+    first = np.zeros(len(chars), np.int64)
+    first[at], first[last] = at, last
+    first = np.maximum.accumulate(first)[spot]
+    four = np.zeros(len(chars), np.uint32)
+    for k in range(1, 5):
+        four[4:] |= chars[4 - k : len(chars) - k].astype(np.uint32) << np.uint32(8 * (k - 1))
+    up, down = _grow(len(chars) + 1)
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[chars] * up[: len(chars)], out=sums[1:])
+    word = mixed((sums[spot] - sums[first]) * down[first] + (spot - first).astype(np.uint64))
+    return letters, four[spot], word, chars[spot]
+
+
 class BlockStates:
     """The spelled bytes of some texts, their states, and the distinct (context, byte) keys of these, ascending."""
 
     def __init__(self, text: pa.ChunkedArray, training: np.ndarray):
         data, offsets = utf8(text)
-        low = LOWER[data]
-        starts, ends, owner = word_bounds(low, offsets, NOT_SPACE)
-        n = len(offsets) - 1
-        # Each text: four starting bytes, its words with their closing spaces, the space of the end.
-        sizes = ends - starts + 1
-        letters = np.bincount(owner, sizes, minlength=n).astype(np.int64)
-        begins = np.concatenate([[0], np.cumsum(letters + 5)])
-        before = np.cumsum(sizes) - sizes
-        at = before + owner * 5 + 4
-        chars = np.full(int(begins[-1]), SPACE, np.uint8)
-        where = _runs(at, sizes - 1)
-        chars[where] = low[_runs(starts, sizes - 1)]
-        del where, low, data
-        scored = np.ones(len(chars), bool)
-        for k in range(4):
-            chars[begins[:-1] + k] = START
-            scored[begins[:-1] + k] = False
-        spot = np.flatnonzero(scored).astype(np.int32)
-        ends = begins[1:] - 1
-        first = np.zeros(len(chars), np.int32)
-        first[at], first[ends] = at, ends
-        first = np.maximum.accumulate(first)[scored]
-        four = np.zeros(len(chars), np.uint32)
-        for k in range(1, 5):
-            four[4:] |= chars[4 - k : len(chars) - k].astype(np.uint32) << np.uint32(8 * (k - 1))
-        four = four[scored].astype(np.uint64)
-        up, down = _grow(len(chars) + 1)
-        sums = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[chars] * up[: len(chars)], out=sums[1:])
-        word = (sums[:-1][scored] - sums[first]) * down[first]
-        del sums
-        word = mixed(word + (spot - first).astype(np.uint64))
-        byte = chars[scored]
-        del spot, first, scored, chars
-        coded = pa.array(mixed(four << np.uint64(8) | byte) ^ word).dictionary_encode()
+        n, at, runs = len(offsets) - 1, 0, []
+        while at < n:
+            end = min(max(int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1, at + 1), n)
+            runs.append(spelled(LOWER[data[offsets[at] : offsets[end]]], offsets[at : end + 1] - offsets[at]))
+            at = end
+        letters, four, word, byte = (np.concatenate(x) for x in zip(*runs))
+        del runs, data
+        coded = pa.array(mixed(four.astype(np.uint64) << np.uint64(8) | byte) ^ word).dictionary_encode()
         self.state = coded.indices.to_numpy()
         one = np.zeros(len(coded.dictionary), np.int64)
         one[self.state[::-1]] = np.arange(len(byte))[::-1]
         close = byte == SPACE
-        four, word, self.byte = four[one], word[one], byte[one]
+        four, word, self.byte = four[one].astype(np.uint64), word[one], byte[one]
         self.owner = np.repeat(np.arange(n, dtype=np.int32), letters + 1)
         self.closing, self.closed_by = self.state[close], self.owner[close]
         self.train = np.bincount(self.state, training[self.owner].astype(float), minlength=len(one)).astype(np.int64)
@@ -289,7 +293,12 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             part = requests["part"][0].as_py()
             lists = [np.cumsum(unpack_numbers(unpack.decompress(b.as_buffer())), dtype=np.uint64) for b in requests["asked"]]
             counts = np.concatenate([unpack_numbers(unpack.decompress(b.as_buffer())) for b in requests["counts"]])
+            blocks_here = requests["block"].to_pylist()
+            del requests
+            held.clear()
+            sizes = [len(x) for x in lists]
             keys, where = np.unique(np.concatenate(lists), return_inverse=True)
+            del lists
             n = v = 0
             if len(keys):
                 total = np.bincount(where, counts.astype(float)).astype(np.int64)
@@ -297,11 +306,11 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 closing = total[keys & np.uint64(0x3FF) == np.uint64(SPACE << 2 | WORD)]
                 n, v = int(closing.sum()), int((closing > 0).sum())
             at = 0
-            for block, one in zip(requests["block"].to_pylist(), lists):
-                blob = pack.compress(pack_ways(way[:, where[at : at + len(one)]])) if len(one) else b""
-                at += len(one)
+            for block, size in zip(blocks_here, sizes):
+                blob = pack.compress(pack_ways(way[:, where[at : at + size]])) if size else b""
+                at += size
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([len(one)], pa.int64()), pa.array([blob], pa.binary()),
+                    pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([blob], pa.binary()),
                     pa.array([n], pa.int64()), pa.array([v], pa.int64())], names=["block", "part", "size", "found", "n", "v"])
                 n = v = 0
 
@@ -309,7 +318,6 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             for one in _groups(batch, 1):
                 if held and held[0].column(1)[0].as_py() != one.column(1)[0].as_py():
                     yield from found()
-                    held = []
                 held.append(one)
         if held:
             yield from found()

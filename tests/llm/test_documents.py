@@ -297,6 +297,16 @@ def test_lm_equal_texts_score_equally(spark, monkeypatch):
     assert scores[0] == pytest.approx(scores[1], rel=0.02)
 
 
+def test_lm_weights_are_learned_from_all_blocks(spark, monkeypatch):
+    rows = prose(2)
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    learned = lm_scores(spark, rows)
+    monkeypatch.setattr(lm_score, "joined_weights", lambda curve, bent: lm_score.equal_weights())
+    equal = lm_scores(spark, rows)
+    # One small block, which the constants alone scored before.
+    assert sum(learned[i].score for i in held) > 0.97 * sum(equal[i].score for i in held)
+
+
 def test_lines_odd_cases(spark, odd, empty):
     rows = [(i, f"Menu\n text {i} \n\nfoot {i % 3}", "h") for i in range(30)] + [(40, "Menu\nb", "g"), (41, None, "h"), (42, "Menu", "h"), (42, "Menu", "h"), (43, "", "h")]
     rows += [(100 + i, "copy of a page\nwith two lines", "h") for i in range(30)] + [(200 + i, "Menu\nx", None) for i in range(7)]
