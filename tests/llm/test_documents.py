@@ -9,6 +9,8 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from brute import DOCS, lower, odd_documents, roots, shingles, words
@@ -307,6 +309,21 @@ def test_lm_weights_are_learned_from_all_blocks(spark, monkeypatch):
     assert sum(learned[i].score for i in held) > 0.97 * sum(equal[i].score for i in held)
 
 
+def test_lm_contexts_share_no_counts(docs):
+    texts = [words(t) for t in docs.text]
+    states = lm_score.BlockStates(pa.chunked_array([pa.array(docs.text, pa.string())]), np.ones(len(texts), bool))
+    spelled = ["\n\n\n\n" + "".join(w + " " for w in t) + " " for t in texts]
+    grams = Counter(g for t in (x.encode() for x in spelled) for g in (t[i - 4 : i + 1] for i in range(4, len(t))))
+    at = states.keys & 3 == 2
+    assert sorted(states.key_train[at]) == sorted(grams.values())
+    way = lm_score.ways(states.keys, states.key_train)
+    before = Counter()
+    for g, n in grams.items():
+        before[g[:4]] += n
+    assert sorted(way[0, at]) == sorted(before[g[:4]] for g in grams)
+    assert (lm_score.unpack_ways(lm_score.pack_ways(way), len(states.keys)) == way.T).all()
+
+
 def test_lines_odd_cases(spark, odd, empty):
     rows = [(i, f"Menu\n text {i} \n\nfoot {i % 3}", "h") for i in range(30)] + [(40, "Menu\nb", "g"), (41, None, "h"), (42, "Menu", "h"), (42, "Menu", "h"), (43, "", "h")]
     rows += [(100 + i, "copy of a page\nwith two lines", "h") for i in range(30)] + [(200 + i, "Menu\nx", None) for i in range(7)]
