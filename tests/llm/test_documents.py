@@ -309,6 +309,17 @@ def test_lm_weights_are_learned_from_all_blocks(spark, monkeypatch):
     assert sum(learned[i].score for i in held) > 0.97 * sum(equal[i].score for i in held)
 
 
+def test_lm_order_of_words_counts(spark):
+    rng = random.Random(3)
+    chain = ["kabo", "delu", "fimi", "gonu", "hape", "jori"]
+    rows = [(i, " ".join((chain * 12)[(k := rng.randrange(6)) : k + 40])) for i in range(200)]
+    words_ = (chain * 7)[:40]
+    rows += [(1000, " ".join(words_)), (1001, " ".join(rng.sample(words_, 40)))]
+    got = lm_scores(spark, rows)
+    assert got[1000].base_score == pytest.approx(got[1001].base_score)
+    assert got[1000].score > 0.5 * got[1001].score
+
+
 def test_lm_contexts_share_no_counts(docs):
     texts = [words(t) for t in docs.text]
     states = lm_score.BlockStates(pa.chunked_array([pa.array(docs.text, pa.string())]), np.ones(len(texts), bool))
