@@ -36,7 +36,7 @@ class Rule:
         return self.host + self.path
 
 
-# Words of more letters than this are not looked for inside names.
+# Longer words are looked for inside names by their first letters, as many as this.
 LONGEST_WORD = 20
 SMOOTHING = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,12 +81,13 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def viterbi(name: str, costs: dict[tuple[int, int], float], unknown: float) -> list[str]:
     """The cheapest split of ``name`` into known words and single unknown letters; unknown neighbours stay together."""
+    longest = max((size for _, size in costs), default=0)
     best: list[tuple[float, int, bool]] = [(0.0, 0, False)]
     for end in range(1, len(name) + 1):
         options = [(best[end - 1][0] + unknown, end - 1, False)]
         options += [
             (best[end - size][0] + costs[(end - size, size)], end - size, True)
-            for size in range(1, min(end, LONGEST_WORD) + 1) if (end - size, size) in costs
+            for size in range(1, min(end, longest) + 1) if (end - size, size) in costs
         ]
         best.append(min(options))
     parts: list[tuple[str, bool]] = []
@@ -104,7 +105,8 @@ def viterbi(name: str, costs: dict[tuple[int, int], float], unknown: float) -> l
 def segmented_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(name, words) for each distinct name, by the counts of the words that stand inside it.
 
-    Only the words inside a name travel to it: at most its length times LONGEST_WORD, so nothing is broadcast.
+    Only the words inside a name travel to it: at most its length times LONGEST_WORD and the
+    longer words that begin there, so nothing is broadcast.
     """
     total = counts.agg(F.sum("n")).first()[0] or 1
     places = names.select(
@@ -112,8 +114,13 @@ def segmented_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     ).select("name", "at", F.explode(
         F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("at") + 1))
     ).alias("size")).withColumn("word", F.expr("substring(name, at, size)"))
+    longer = counts.where(F.length("word") > LONGEST_WORD).select(
+        F.col("word").alias("longer"), "n", F.substring("word", 1, LONGEST_WORD).alias("word"))
+    begun = places.where(F.col("size") == LONGEST_WORD).join(longer, "word").where(
+        F.expr("substring(name, at, length(longer)) = longer"))
     inside = (
-        places.join(counts, "word").groupBy("name")
+        places.join(counts, "word").select("name", "at", "size", "n")
+        .unionByName(begun.select("name", "at", F.length("longer").alias("size"), "n")).groupBy("name")
         .agg(F.collect_list(F.struct((F.col("at") - 1).alias("at"), "size", "n")).alias("edges"))
     )
     unknown = math.log(total) + math.log(10.0)

@@ -134,6 +134,15 @@ def test_urls_odd_cases(spark):
     assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_long_words_inside_names(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    counts = spark.createDataFrame([(long, 50), ("donau", 50), ("dampf", 50), ("shop", 50), (long + "en", 1)], "word string, n long")
+    names = spark.createDataFrame([(f"shop{long}shop",), (long,), (long[:-1],)], "name string")
+    got = {r.name: r.words for r in url_filter.segmented_names(names, counts).collect()}
+    assert got[f"shop{long}shop"] == ["shop", long, "shop"] and got[long] == [long]
+    assert got[long[:-1]] == ["donau", "dampf", long[10:-1]]
+
+
 def test_segmentation():
     costs = {(0, 4): 2.0, (4, 3): 2.0, (0, 7): 5.0, (2, 4): 1.0}
     assert url_filter.viterbi("freexyz", costs, 9.0) == ["free", "xyz"]
