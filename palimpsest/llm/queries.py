@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fingerprints, licenses, line_dedup, lm_score, mixing, ngram_join, pieces, quality, url_filter, vectors
+from palimpsest.llm import (
+    decontaminate, fingerprints, licenses, line_dedup, lm_score, mixing, ngram_join, pieces, quality, url_filter, vectors,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,3 +177,39 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("_expected_grade").alias("expected_grade"),
         F.col("_tail_probability").alias("tail_probability"), F.col("_kept").alias("kept"),
     )
+
+
+@query("op12_decontaminate", r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), places AS (
+  SELECT r, k, i, list_slice(w, i, i + k - 1) AS win
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM doc_words CROSS JOIN (SELECT DISTINCT len(win) AS k FROM windows) WHERE len(w) >= k)
+), hits AS (
+  SELECT p.r, p.k, p.i, b.item_id FROM places p JOIN windows b ON p.win = b.win
+), covered AS (
+  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT r, i, k FROM hits)) GROUP BY r
+), spans AS (
+  SELECT r, sum(begins)::BIGINT AS n_spans FROM (
+    SELECT r, CASE WHEN i <= max(e) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins
+    FROM (SELECT r, i, max(i + k) AS e FROM hits GROUP BY r, i)) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(n.items, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated, coalesce(s.n_spans, 0)::BIGINT AS n_spans
+FROM doc_words d LEFT JOIN covered c USING (r) LEFT JOIN spans s USING (r) LEFT JOIN named n USING (r)
+""")
+def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.judge(docs, table(spark, folder, "benchmark"))
