@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import (
     decontaminate, fingerprints, licenses, line_dedup, lm_score, mixing, ngram_join, pieces, quality, url_filter, vectors,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +214,8 @@ FROM doc_words d LEFT JOIN covered c USING (r) LEFT JOIN spans s USING (r) LEFT
 def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.judge(docs, table(spark, folder, "benchmark"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
