@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import (
-    decontaminate, fingerprints, licenses, line_dedup, lm_score, mixing, ngram_join, pieces, quality, url_filter, vectors,
+    collocations, decontaminate, fingerprints, licenses, line_dedup, lm_score, mixing, ngram_join, pieces, quality, url_filter, vectors,
     whitening,
 )
 
@@ -180,6 +180,41 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_collocations", r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), grams AS (
+  SELECT lang, k AS words, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+), counted AS (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE words = 1 GROUP BY lang),
+candidates AS (
+  SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE words >= 2 AND f >= 10
+), cuts AS (
+  SELECT lang, words, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS le, array_to_string(list_slice(w, k + 1, words), ' ') AS ri
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM candidates)
+), scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, 1000000::HUGEINT * a::HUGEINT * a::HUGEINT // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.le JOIN counted y ON y.lang = c.lang AND y.phrase = c.ri
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), within AS (
+  SELECT lang, sub, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS sub FROM candidates WHERE words = 3) GROUP BY ALL
+), kept AS (
+  SELECT o.* FROM lowest o LEFT JOIN within i ON o.lang = i.lang AND o.phrase = i.sub WHERE i.longer IS NULL OR 100 * i.longer < 50 * o.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
 @query("op12_decontaminate", r"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
