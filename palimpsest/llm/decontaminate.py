@@ -37,6 +37,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), f"{BETWEEN_WORDS}+"), lambda w: w != "")
 
 
+def word_hash(word: Column) -> Column:
+    return F.xxhash64(word)
+
+
+def joined_hash(one: Column, other: Column) -> Column:
+    return F.xxhash64(one, other)
+
+
 def window_hashes(tokens: str, sizes: list[int]) -> list[Column]:
     """For each of ``sizes`` the hashes of all windows of so many words, in order.
 
@@ -45,7 +53,7 @@ def window_hashes(tokens: str, sizes: list[int]) -> list[Column]:
     """
     def joined(left: Column, n_left: int, right: Column, n_right: int) -> Column:
         n = F.greatest(F.size(tokens) - (n_left + n_right - 1), F.lit(0))
-        return F.zip_with(F.slice(left, 1, n), F.slice(right, n_left + 1, n), lambda a, b: F.xxhash64(a, b))
+        return F.zip_with(F.slice(left, 1, n), F.slice(right, n_left + 1, n), joined_hash)
 
     powers = {1: F.col(tokens)}
     while 2 * max(powers) <= max(sizes, default=1):
@@ -74,7 +82,7 @@ def benchmark_windows(benchmark: DataFrame, *, item_id: str = "item_id", text: s
 
 def keyed_windows(windows: DataFrame, sizes: list[int]) -> DataFrame:
     """(key, size, words, window_id): one row for each distinct window, with the hash of its words."""
-    distinct = windows.dropDuplicates(["window_id"]).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    distinct = windows.dropDuplicates(["window_id"]).withColumn("h", F.transform("words", word_hash))
     hashes = F.coalesce(*[F.when(F.col("size") == k, F.get(h, F.lit(0))) for k, h in zip(sizes, window_hashes("h", sizes))])
     return distinct.select(hashes.alias("key"), "size", "words", "window_id")
 
@@ -91,7 +99,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     split = texts.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
     marks = [F.array(F.lit(MARK).cast("long"))]
-    places = split.withColumn("h", F.transform("w", lambda w: F.xxhash64(w))).select(
+    places = split.withColumn("h", F.transform("w", word_hash)).select(
         "doc_id", "text_key", "w", "n_words", F.posexplode(F.concat(*window_hashes("h", sizes), *marks)).alias("place", "key"))
     # The lists of all sizes stand one after another: a place less the lists before its own is a word's number.
     lengths = [F.greatest(F.col("n_words") - (k - 1), F.lit(0)) for k in sizes]
