@@ -38,11 +38,11 @@ INSIDE = 50
 BEST = 2000
 SCALE = 1_000_000
 NO_LANG = "und"
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 2 << 20
 # Text whose polynomials are held at once.
 BLOCK_BYTES = 1 << 20
 # Ranges of fingerprints for each shuffle partition; one is in memory at a time.
-RANGES = 4
+RANGES = 8
 # Steps in which the best of a language are picked.
 SALTS = 32
 
@@ -87,7 +87,7 @@ def pack_chunks(docs: DataFrame, text: str, lang: str, chunk_bytes: int = CHUNK_
             return out
 
         for batch in batches:
-            for piece in slices(batch, "text", min(chunk_bytes, SLICE_BYTES)):
+            for piece in slices(batch, "text", min(chunk_bytes // 4, SLICE_BYTES)):
                 data, offsets = normal_bytes(piece.column(0))
                 names = piece.column(1).to_pylist()
                 cuts = np.flatnonzero(np.array([a != b for a, b in zip(names, names[1:])], bool)) + 1
