@@ -11,7 +11,7 @@ from palimpsest.functions.documents import canonical_json
 from palimpsest.functions.scalars import (
     SIGNED_URL_PREFIXES, author_kind, encode_timing, normalize_media_url,
 )
-from palimpsest.plans.ordered import HotKeys, carry, find_hot_keys, newest, oldest
+from palimpsest.plans.ordered import HotKeys, carry, find_hot_keys, join_by_key, newest, oldest
 from palimpsest.plans.staging import staged
 
 ORDER = ("ts", "seq")
@@ -56,7 +56,7 @@ def classify_snapshots(
         rows = rows.withColumns({"_stored_ts": F.lit(None).cast("long"), "_stored": F.lit(None).cast(stored_type)})
     else:
         stored = latest.select(*key, F.col(ts).alias("_stored_ts"), state.alias("_stored"))
-        rows = rows.join(stored, list(key), "left")
+        rows = join_by_key(rows, stored, key)
     # Without hot keys one partitioning serves the groups and the keys. A hot key is dealt anew by its times: the
     # exchange lets Spark split the key in the join before it, and the groups don't meet in one task.
     rows = rows.repartition(*key, *([ts] if hot else []))
@@ -193,14 +193,23 @@ def apply_batch(
         classify_snapshots(batch, key, state_of(mutable, extra), order=order, latest=current, hot=hot),
         "batch-results",
     )
-    kept = results.where(F.col("result").isin(*KEPT))
-    head = newest(kept.select(*key, *immutable, *versioned), key, [ts])
+    current_after, added = merge_kept(
+        current, results.where(F.col("result").isin(*KEPT)), key, versioned, immutable=immutable, deleted=deleted)
+    return current_after, previous.select(*key, *versioned).unionByName(added), results
+
 
+def merge_kept(
+    current: DataFrame, kept: DataFrame, key: Sequence[str], versioned: Sequence[str], *,
+    immutable: Sequence[str] = (), deleted: str = "_deleted",
+) -> tuple[DataFrame, DataFrame]:
+    """The current rows after the ``kept`` rows of a batch, and what goes to the older rows; ``versioned`` begins with the time."""
+    ts = versioned[0]
+    head = newest(kept.select(*key, *immutable, *versioned), key, [ts])
     renamed = head.select(
         *key, F.lit(True).alias("_new"),
         *[F.col(c).alias(f"_new_{c}") for c in (*immutable, *versioned)],
     )
-    met = current.withColumn("_old", F.lit(True)).join(renamed, list(key), "full_outer")
+    met = join_by_key(current.withColumn("_old", F.lit(True)), renamed, key, "full_outer")
     current_after = met.select(
         *key,
         *[F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c) for c in immutable],
@@ -208,12 +217,9 @@ def apply_batch(
         F.col(deleted),
     )
     heads = head.select(*key, F.col(ts).alias("_head_ts"))
-    replaced = current.join(heads, list(key), "left_semi").select(*key, *versioned)
-    passed = (
-        kept.join(heads, list(key)).where(F.col(ts) < F.col("_head_ts")).select(*key, *versioned)
-    )
-    previous_after = previous.select(*key, *versioned).unionByName(replaced).unionByName(passed)
-    return current_after, previous_after, results
+    replaced = join_by_key(current, heads, key, "left_semi").select(*key, *versioned)
+    passed = join_by_key(kept, heads, key, "inner").where(F.col(ts) < F.col("_head_ts")).select(*key, *versioned)
+    return current_after, replaced.unionByName(passed)
 
 
 def fill_partial(
@@ -240,7 +246,7 @@ def fill_partial(
     rows = carry(obs, key, order, remembered, hot=hot)
     if latest is not None:
         stored = latest.select(*key, *[F.col(c).alias(f"_stored_{c}") for c in columns])
-        rows = rows.join(stored, list(key), "left")
+        rows = join_by_key(rows, stored, key)
         if hot:
             rows = rows.repartition(*key, order[0])
     filled = {}

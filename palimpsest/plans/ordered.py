@@ -58,6 +58,18 @@ class HotKeys:
 NO_HOT_KEYS = HotKeys()
 
 
+def join_by_key(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "left") -> DataFrame:
+    """A join on key columns where NULL equals NULL; of the right side only further columns stay."""
+    renamed = {c: f"_right_{c}" for c in key}
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(r)) for c, r in renamed.items()])
+    met = left.join(right.withColumnsRenamed(renamed), on, how)
+    if how in ("left_semi", "left_anti"):
+        return met
+    if how == "full_outer":
+        met = met.withColumns({c: F.coalesce(c, r) for c, r in renamed.items()})
+    return met.drop(*renamed.values())
+
+
 def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(DEFAULT_HOT_ROWS)))
 

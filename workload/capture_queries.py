@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as P
 from palimpsest.operators import capture as C
-from palimpsest.plans.ordered import newest
-from palimpsest.plans.staging import staged
+from palimpsest.operators.merge import merge_batch
+from palimpsest.plans.ordered import join_by_key, newest
+from palimpsest.plans.staging import staged, work_dir
+from palimpsest.sources import archive
 from workload.registry import query
 from workload.stand_ins import (
     KEPT_SQL, MEMBERS_KEPT_SQL, MIDDLE, member_obs, ms_of, obs,
@@ -71,6 +73,28 @@ def _(t):
     )
 
 
+@query("C3_merge_archive", f"""WITH {KEPT_SQL}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC) AS back FROM kept)
+SELECT CASE WHEN back = 1 THEN 'current' ELSE 'previous' END AS part, id % 50 AS parent_id, id, ts, kind, lvl FROM ranked""")
+def _(t):
+    columns = ["id", "parent_id", "ts", "kind", "lvl", "_extra"]
+    rows = obs(t).withColumn("parent_id", F.col("id") % 50)
+    cuts = [P.time_bound(MIDDLE - 30 * 86_400_000), P.time_bound(MIDDLE)]
+    first = rows.where(F.col("ts") <= cuts[0])
+    kept = staged(C.compact_snapshots(first, ["id"], ["kind", "lvl"]).select(*columns), "history")
+    current = newest(kept, ["id"], ["ts"]).withColumn("_deleted", F.lit(None).cast("long"))
+    previous = join_by_key(kept, current.select("id", F.col("ts").alias("head")), ["id"], "inner").where("ts < head").drop("head")
+    path = work_dir(t.spark, "archive")
+    archive.write_archive(
+        {"current": (current, "parent_id", ["id"]), "previous": (previous, "parent_id", ["id", "ts"])}, path, buckets=8)
+    for batch in (rows.where((F.col("ts") > cuts[0]) & (F.col("ts") <= cuts[1])), rows.where(F.col("ts") > cuts[1])):
+        merge_batch(t.spark, path, batch, ["id"], ["kind", "lvl"], immutable=["parent_id"])
+    archive.vacuum(t.spark, path)
+    parts = [archive.read_latest(t.spark, path, name).select(F.lit(name).alias("part"), "parent_id", "id", "ts", "kind", "lvl")
+             for name in ("current", "previous")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("C4_fill_partial", f"WITH {MEMBERS_KEPT_SQL} SELECT guild_id, user_id, ts, deaf, mute FROM filled")
 def _(t):
     filled = C.fill_partial(
