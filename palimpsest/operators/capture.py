@@ -278,17 +278,37 @@ def members_append(
 
     A second leave is no change; the leave of a member never seen is kept.
     """
+    latest = None if history is None else newest(history, key, [order[0]])
+    marked = members_results(
+        latest, joins, leaves, mutable, partial=partial, joined=joined, key=key, extra=extra, order=order, hot=hot)
+    return marked.where(F.col("result").isin(*KEPT))
+
+
+def members_results(
+    latest: DataFrame | None,
+    joins: DataFrame,
+    leaves: DataFrame,
+    mutable: Sequence[str],
+    *,
+    partial: Sequence[str] = ("deaf", "mute"),
+    joined: str = "joined_at",
+    key: Sequence[str] = MEMBER_KEY,
+    extra: str | None = None,
+    order: Sequence[str] = ORDER,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """All member rows with ``result``; ``latest`` holds the last history row of each member."""
     gone = leaves.select(*key, *order)
-    obs = joins.unionByName(gone, allowMissingColumns=True)
     # ``key`` and ``order`` survive in a leave row, all else is blank.
-    latest = None if history is None else newest(history, key, [order[0]])
+    obs = joins.unionByName(gone, allowMissingColumns=True)
+    if hot is None:
+        (hot,) = find_hot_keys(obs, key)
     filled = fill_partial(
         obs, key, partial, F.col(joined).isNull(), order=order, latest=latest, hot=hot
     )
-    marked = classify_snapshots(
+    return classify_snapshots(
         filled, key, state_of(mutable, extra), order=order, latest=latest, hot=hot
     )
-    return marked.where(F.col("result").isin(*KEPT))
 
 
 def mark_deleted(

@@ -74,6 +74,20 @@ def fold_reaction_log(log: DataFrame) -> DataFrame:
     return closed.where(_is_opening()).select(*KEY, F.col("ts").alias("start"), _end().alias("end"))
 
 
+def fold_carried(log: DataFrame, opened: DataFrame) -> DataFrame:
+    """Intervals of one part of a log after ``opened`` (KEY, start, opened_seq), what earlier parts left open.
+
+    These were there before the part came, whatever its times. ``carried`` marks them, closed or not.
+    """
+    begin = F.lit(-1).cast("long")
+    stored = opened.select(
+        *KEY, F.lit("add").alias("action"), begin.alias("ts"), begin.alias("seq"), "start", "opened_seq", F.lit(True).alias("carried"))
+    fresh = log.select(
+        *KEY, "action", "ts", "seq", F.col("ts").alias("start"), F.col("seq").alias("opened_seq"), F.lit(False).alias("carried"))
+    closed = _nearest(stored.unionByName(fresh), False, True)
+    return closed.where(_is_opening()).select(*KEY, "start", "opened_seq", _end().alias("end"), "carried")
+
+
 def _open_as_log(intervals: DataFrame) -> DataFrame:
     """Open intervals as adds that come before everything else."""
     return intervals.where(F.col("end").isNull()).select(

@@ -41,11 +41,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    place, fs = _place(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place, fs = _place(spark, path)
+    fs.delete(place, True)
+
+
 def drop_work(spark: SparkSession) -> int:
     """Delete the work tables of this application, once the results that read them are stored; gives their number."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        delete_folder(spark, path)
     return len(paths)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from palimpsest.plans.staging import delete_folder, folder_names
+
 COMMIT_SCHEMA = (
     "sequence long, committed_at long, version string, name string, parent string, sorted array<string>, buckets int, "
     "columns string, folders array<struct<bucket:int,folder:string>>"
@@ -49,17 +51,6 @@ def bucket_of(parent: str | Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
-def _file_system(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """Names of what a folder holds; none if there is no such folder."""
-    place, fs = _file_system(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
-
-
 def write_buckets(
     rows: DataFrame, path: str, version: str, name: str, parent: str, order: Sequence[str], buckets: int
 ) -> dict[int, tuple[str, ...]]:
@@ -77,7 +68,7 @@ def write_buckets(
         .write.partitionBy("bucket")
         .parquet(f"{path}/{folder}")
     )
-    found = [n for n in _names(rows.sparkSession, f"{path}/{folder}") if n.startswith("bucket=")]
+    found = [n for n in folder_names(rows.sparkSession, f"{path}/{folder}") if n.startswith("bucket=")]
     return {int(n.removeprefix("bucket=")): (f"{folder}/{n}",) for n in found}
 
 
@@ -97,7 +88,7 @@ def add_commit(spark: SparkSession, path: str, version: str, tables: Sequence[Co
 
 
 def _commit_rows(spark: SparkSession, path: str) -> DataFrame:
-    if not _names(spark, f"{path}/commits"):
+    if not folder_names(spark, f"{path}/commits"):
         return spark.createDataFrame([], COMMIT_SCHEMA)
     return spark.read.schema(COMMIT_SCHEMA).json(f"{path}/commits")
 
@@ -176,7 +167,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
     Commits go before folders, so a reader that starts later finds whole tables; one that still reads an older state fails.
     Not to be run beside a writer: its folders have no commit yet. Gives the number of folders deleted.
     """
-    rows = _commit_rows(spark, path).select("*", F.col("_metadata.file_path").alias("file")) if _names(spark, f"{path}/commits") else None
+    rows = _commit_rows(spark, path).select("*", F.col("_metadata.file_path").alias("file")) if folder_names(spark, f"{path}/commits") else None
     if rows is None:
         return 0
     # Names and numbers only: a row for each table that a commit changes.
@@ -190,16 +181,14 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
         if files[r["file"]]:
             named.update(r["folders"])
     for file in (f for f, needed in files.items() if not needed):
-        place, fs = _file_system(spark, file)
-        fs.delete(place, False)
+        delete_folder(spark, file)
     gone = 0
-    for version in _names(spark, f"{path}/data"):
-        for name in _names(spark, f"{path}/data/{version}"):
-            every = [n for n in _names(spark, f"{path}/data/{version}/{name}") if n.startswith("bucket=")]
+    for version in folder_names(spark, f"{path}/data"):
+        for name in folder_names(spark, f"{path}/data/{version}"):
+            every = [n for n in folder_names(spark, f"{path}/data/{version}/{name}") if n.startswith("bucket=")]
             for n in every:
                 folder = f"data/{version}/{name}/{n}"
                 if folder not in named:
-                    place, fs = _file_system(spark, f"{path}/{folder}")
-                    fs.delete(place, True)
+                    delete_folder(spark, f"{path}/{folder}")
                     gone += 1
     return gone

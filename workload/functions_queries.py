@@ -11,7 +11,7 @@ from palimpsest.plans.ordered import newest
 from palimpsest.plans.spread import spread
 from palimpsest.plans.staging import staged, work_dir
 from palimpsest.sources import archive, landing
-from palimpsest.streaming.stateful import start_append
+from palimpsest.streaming.append import start_append
 from workload.registry import query
 from workload.stand_ins import KEPT_SQL, iso_of, ms_of, obs
 

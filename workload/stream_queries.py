@@ -10,8 +10,8 @@ from palimpsest.plans.ordered import newest
 from palimpsest.plans.staging import work_dir
 from palimpsest.sources.landing import read_dispatches, write_dispatches
 from palimpsest.streaming import dispatch as S
-from palimpsest.streaming import stateful as K
-from palimpsest.streaming.keyed import snapshots, start_snapshots
+from palimpsest.streaming import keyed as K
+from palimpsest.streaming.append import start_append
 from workload.registry import query
 from workload.stand_ins import (
     INTERVALS_SQL, MEMBERS_KEPT_SQL, MIDDLE, OBS_SQL, member_obs, ms_of, obs, reaction_log,
@@ -41,17 +41,21 @@ def run(t, name, rows, operator):
     path = work_dir(t.spark, name)
     write_dispatches(rows, f"{path}/in")
     stream = read_dispatches(t.spark, f"{path}/in")
-    K.start_append(operator(stream), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    start_append(operator(stream), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{path}/out")
 
 
-def run_snapshots(t, name, events, rows, mutable, archive=None):
-    """Land ``events``, classify the observations that ``rows`` makes of their stream."""
+def run_keyed(t, name, events, rows, start):
+    """Land ``events``, run a keyed stream on the rows that ``rows`` makes of them, give its results."""
     path = work_dir(t.spark, name)
     write_dispatches(events, f"{path}/in")
-    stream = rows(read_dispatches(t.spark, f"{path}/in"))
-    start_snapshots(stream, f"{path}/out", f"{path}/checkpoint", ["id"], mutable, archive=archive).awaitTermination()
-    return snapshots(t.spark, f"{path}/out")
+    start(rows(read_dispatches(t.spark, f"{path}/in")), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return K.written(t.spark, f"{path}/out")
+
+
+def run_snapshots(t, name, events, rows, mutable, archive=None):
+    """Classify the observations that ``rows`` makes of the stream of ``events``."""
+    return run_keyed(t, name, events, rows, lambda s, *at: K.start_snapshots(s, *at, ["id"], mutable, archive=archive))
 
 
 def as_dispatches(rows, seq="seq"):
@@ -102,14 +106,15 @@ def _(t):
 @query("ST3_stream_members", f"WITH {MEMBERS_KEPT_SQL} SELECT guild_id, user_id, ts, nick, joined_at, deaf, mute FROM members")
 def _(t):
     schema = "guild_id long, user_id long, ts long, seq long, deaf boolean, mute boolean, nick string, joined_at long"
-    table = run(t, "members", as_dispatches(member_obs(t)), lambda s: K.stream_members(documents(s, schema), ["nick"]))
+    table = run_keyed(
+        t, "members", as_dispatches(member_obs(t)), lambda s: documents(s, schema), lambda s, *at: K.start_members(s, *at, ["nick"]))
     return K.split_results(table)[0].select("guild_id", "user_id", "ts", "nick", "joined_at", "deaf", "mute")
 
 
 @query("ST4_stream_reactions", f'WITH {INTERVALS_SQL} SELECT message_id, emoji, type, user_id, "start", "end" FROM intervals')
 def _(t):
     schema = "message_id long, emoji string, type int, user_id long, action string, ts long, seq long"
-    table = run(t, "reactions", as_dispatches(reaction_log(t)), lambda s: K.stream_reactions(documents(s, schema)))
+    table = run_keyed(t, "reactions", as_dispatches(reaction_log(t)), lambda s: documents(s, schema), K.start_reactions)
     return K.intervals_from_log(table)
 
 
@@ -149,15 +154,14 @@ def _(t):
         F.col("event_id").alias("seq"), P.ntz_millis("ts").alias("received_at"), F.lit(False).alias("realtime"),
     )
 
-    def operator(stream):
-        rows = stream.where("t = 'GUILD_EMOJIS_UPDATE'").select(
+    def rows(stream):
+        return stream.where("t = 'GUILD_EMOJIS_UPDATE'").select(
             F.get_json_object("d", "$.guild_id").cast("long").alias("guild_id"),
             P.encode_timing("received_at", "realtime").alias("ts"), "seq",
             F.from_json(F.get_json_object("d", "$.emojis"), "array<string>").alias("items"),
         )
-        return K.stream_id_list_sync(rows)
 
-    return run(t, "lists", lists, operator).select("guild_id", "id", "ts", "seq", "change")
+    return run_keyed(t, "lists", lists, rows, K.start_lists).select("guild_id", "id", "ts", "seq", "change")
 
 
 @query("ST7_stream_thread_list", f"""WITH items AS (
