@@ -13,6 +13,7 @@ from palimpsest.operators.reactions import fold_reaction_log
 from palimpsest.sources.landing import DISPATCH_SCHEMA, read_dispatches
 from palimpsest.streaming import dispatch as S
 from palimpsest.streaming import keyed as K
+from palimpsest.streaming.decode import decode_members, decode_reactions
 from palimpsest.streaming.keyed import snapshots, start_snapshots
 from palimpsest.streaming.state import BatchState, runs_before
 
@@ -221,6 +222,40 @@ def test_state_stays_bounded_and_survives_restarts(spark, tmp_path):
     assert len(os.listdir(tmp_path / "state")) == len(runs_before(50, 4))
 
 
+def test_events_are_decoded_and_set_apart(spark):
+    def event(name, doc, seq):
+        return (name, json.dumps(doc), seq, 5, True)
+
+    member = {"user": {"id": "9"}, "nick": None, "roles": ["3"], "joined_at": "2024-01-15T10:00:00.000000+00:00", "flags": 2, "deaf": True}
+    rows = spark.createDataFrame([
+        event("GUILD_MEMBER_ADD", {"guild_id": "1", **member}, 1),
+        event("VOICE_STATE_UPDATE", {"guild_id": "1", "user_id": "9", "member": {**member, "mute": False}}, 2),
+        event("GUILD_MEMBER_REMOVE", {"guild_id": "1", "user": {"id": "9"}}, 3),
+        event("VOICE_STATE_UPDATE", {"guild_id": None, "user_id": "9", "member": member}, 4),
+        event("VOICE_STATE_UPDATE", {"guild_id": "1", "user_id": "9"}, 5),
+        event("GUILD_MEMBER_UPDATE", member, 6),
+        event("MESSAGE_REACTION_ADD", {"message_id": "4", "user_id": "9", "burst": True, "emoji": {"id": "77", "name": "x"}}, 7),
+        event("MESSAGE_REACTION_REMOVE", {"message_id": "4", "user_id": "9", "burst": False, "emoji": {"id": None, "name": "y"}}, 8),
+        event("MESSAGE_REACTION_REMOVE_EMOJI", {"message_id": "4", "emoji": {"id": "77", "name": None}}, 9),
+        event("MESSAGE_REACTION_REMOVE_ALL", {"message_id": "4"}, 10),
+        event("MESSAGE_REACTION_ADD", {"message_id": None, "user_id": "9", "emoji": {"name": "y"}}, 11),
+        event("MESSAGE_REACTION_ADD", {"message_id": "4", "emoji": {"name": "y"}}, 12),
+        ("GUILD_MEMBER_ADD", "no json", 13, 5, True), ("TYPING_START", "{}", 14, 5, True),
+    ], DISPATCH_SCHEMA)
+    members, apart = decode_members(rows)
+    got = [(r.seq, r.guild_id, r.user_id, r.ts, r.joined_at, r.roles, r.deaf, r.mute, r.pending) for r in members.orderBy("seq").collect()]
+    joined = 1_705_312_800_000
+    assert got == [(1, 1, 9, 11, joined, [3], True, None, False), (2, 1, 9, 11, joined, [3], True, False, False),
+                   (3, 1, 9, 11, None, None, None, None, None)]
+    assert sorted(r.seq for r in apart.collect()) == [4, 5, 6, 13]
+    log, apart = decode_reactions(rows)
+    assert [tuple(r) for r in log.orderBy("seq").collect()] == [
+        (4, "custom:77", 1, 9, "add", 11, 7), (4, "unicode:y", 0, 9, "remove", 11, 8),
+        (4, "custom:77", None, None, "clear", 11, 9), (4, None, None, None, "clear", 11, 10),
+    ]
+    assert sorted(r.seq for r in apart.collect()) == [11, 12]
+
+
 def test_deletions_need_no_state(spark):
     rows = spark.createDataFrame([
         ("GUILD_ROLE_DELETE", '{"guild_id":"1","role_id":"2"}', 1, 5, True), ("MESSAGE_DELETE", '{"id":"3"}', 2, 6, False),

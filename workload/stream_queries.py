@@ -12,6 +12,7 @@ from palimpsest.sources.landing import read_dispatches, write_dispatches
 from palimpsest.streaming import dispatch as S
 from palimpsest.streaming import keyed as K
 from palimpsest.streaming.append import start_append
+from palimpsest.streaming.decode import decode_members, decode_reactions, member_columns
 from workload.registry import query
 from workload.stand_ins import (
     INTERVALS_SQL, MEMBERS_KEPT_SQL, MIDDLE, OBS_SQL, member_obs, ms_of, obs, reaction_log,
@@ -66,6 +67,40 @@ def as_dispatches(rows, seq="seq"):
     )
 
 
+def arrival(rows, names, document):
+    """Rows with a packed time as events that came at that time."""
+    return rows.select(
+        names.alias("t"), document.alias("d"), "seq", F.shiftright("ts", 1).alias("received_at"),
+        (F.col("ts") % 2 == 1).alias("realtime"))
+
+
+def member_events(t):
+    """Joins, updates, voice states and leaves as the service sends them; member_obs says what they bring."""
+    rows = member_obs(t)
+    text = lambda c: F.col(c).cast("string")
+    user, guild = F.struct(text("user_id").alias("id")).alias("user"), text("guild_id").alias("guild_id")
+    member = [user, "nick", P.format_iso_millis("joined_at").alias("joined_at"), "deaf", "mute", F.lit(True).alias("pending")]
+    leave = F.col("joined_at").isNull()
+    voice = F.col("seq") % 3 == 0
+    names = F.when(leave, "GUILD_MEMBER_REMOVE").when(voice, "VOICE_STATE_UPDATE").when(
+        F.col("seq") % 3 == 1, "GUILD_MEMBER_ADD").otherwise("GUILD_MEMBER_UPDATE")
+    document = F.when(leave, F.to_json(F.struct(guild, user))).when(
+        voice, F.to_json(F.struct(guild, F.struct(*member).alias("member")))).otherwise(F.to_json(F.struct(guild, *member)))
+    return arrival(rows, names, document)
+
+
+def reaction_events(t):
+    """The reaction log as the service sends it: bursts as a flag, custom emojis by id, others by name."""
+    rows = reaction_log(t)
+    text = lambda c: F.col(c).cast("string")
+    emoji = F.when(F.col("emoji").isNotNull(), F.struct(F.lit(None).cast("string").alias("id"), F.col("emoji").alias("name"))).alias("emoji")
+    names = F.when(F.col("action") == "add", "MESSAGE_REACTION_ADD").when(F.col("action") == "remove", "MESSAGE_REACTION_REMOVE").when(
+        F.col("emoji").isNull(), "MESSAGE_REACTION_REMOVE_ALL").otherwise("MESSAGE_REACTION_REMOVE_EMOJI")
+    document = F.to_json(F.struct(
+        text("message_id").alias("message_id"), text("user_id").alias("user_id"), (F.col("type") == 1).alias("burst"), emoji))
+    return arrival(rows, names, document)
+
+
 def documents(stream, schema):
     return stream.select(F.from_json("d", schema).alias("doc")).select("doc.*")
 
@@ -105,17 +140,15 @@ def _(t):
 
 @query("ST3_stream_members", f"WITH {MEMBERS_KEPT_SQL} SELECT guild_id, user_id, ts, nick, joined_at, deaf, mute FROM members")
 def _(t):
-    schema = "guild_id long, user_id long, ts long, seq long, deaf boolean, mute boolean, nick string, joined_at long"
-    table = run_keyed(
-        t, "members", as_dispatches(member_obs(t)), lambda s: documents(s, schema), lambda s, *at: K.start_members(s, *at, ["nick"]))
-    return K.split_results(table)[0].select("guild_id", "user_id", "ts", "nick", "joined_at", "deaf", "mute")
+    rows = run_keyed(
+        t, "members", member_events(t), lambda s: decode_members(s)[0], lambda s, *at: K.start_members(s, *at, member_columns()))
+    return K.split_results(rows)[0].select("guild_id", "user_id", "ts", "nick", "joined_at", "deaf", "mute")
 
 
 @query("ST4_stream_reactions", f'WITH {INTERVALS_SQL} SELECT message_id, emoji, type, user_id, "start", "end" FROM intervals')
 def _(t):
-    schema = "message_id long, emoji string, type int, user_id long, action string, ts long, seq long"
-    table = run_keyed(t, "reactions", as_dispatches(reaction_log(t)), lambda s: documents(s, schema), K.start_reactions)
-    return K.intervals_from_log(table)
+    table = run_keyed(t, "reactions", reaction_events(t), lambda s: decode_reactions(s)[0], K.start_reactions)
+    return K.intervals_from_log(table).withColumn("emoji", F.substring_index("emoji", ":", -1))
 
 
 @query("ST5_stream_deletions", f"""
