@@ -88,10 +88,8 @@ def check_order(
     )
 
 
-def unknown_keys_report(
-    payloads: DataFrame, spec: Spec, payload: str = "payload", type_: str = "type"
-) -> DataFrame:
-    """(type, path, key, n) for every key without a column, at every level of the spec; the payloads are read once."""
+def _unknown_keys(payload: str, spec: Spec) -> Column:
+    """(path, key) of the keys of a document that the spec doesn't name, at every level."""
     def level(path: str) -> Column:
         sub = F.col(payload) if not path else F.get_json_object(payload, f"$.{path}")
         known = [key for where, key in known_paths(spec) if where == path]
@@ -99,9 +97,23 @@ def unknown_keys_report(
         unknown = F.array_except(keys, F.array(*[F.lit(k) for k in known]).cast("array<string>"))
         return F.transform(unknown, lambda k: F.struct(F.lit(path).alias("path"), k.alias("key")))
 
-    found = payloads.select(
-        F.col(type_).alias("type"), F.explode(F.concat(*[level(path) for path in group_paths(spec)])).alias("k")
-    )
+    return F.concat(*[level(path) for path in group_paths(spec)])
+
+
+def unknown_keys_report(
+    payloads: DataFrame, spec: Spec, payload: str = "payload", type_: str = "type"
+) -> DataFrame:
+    """(type, path, key, n) for every key without a column, at every level of the spec; the payloads are read once."""
+    found = payloads.select(F.col(type_).alias("type"), F.explode(_unknown_keys(payload, spec)).alias("k"))
+    return found.groupBy("type", "k.path", "k.key").agg(F.count("*").alias("n"))
+
+
+def unknown_keys_of_types(
+    payloads: DataFrame, specs: Mapping[str, Spec], payload: str = "payload", type_: str = "type"
+) -> DataFrame:
+    """``unknown_keys_report`` of documents of several types, each by its own spec, in one scan; other types are left out."""
+    unknown = F.coalesce(*[F.when(F.col(type_) == name, _unknown_keys(payload, spec)) for name, spec in specs.items()])
+    found = payloads.select(F.col(type_).alias("type"), F.explode(unknown).alias("k"))
     return found.groupBy("type", "k.path", "k.key").agg(F.count("*").alias("n"))
 
 
