@@ -111,14 +111,19 @@ def overwrites(t):
     homes = channels(t).select(F.col("id").alias("channel_id"), "guild_id")
     low = F.col("o_orderpriority") < "3"
     rows = t.orders.withColumn("channel_id", F.col("o_custkey") + CHANNEL).join(homes, "channel_id")
-    return rows.select(
+    held = rows.select(
         "channel_id",
         F.when(F.col("o_orderstatus") == "O", F.col("guild_id"))
         .when(F.col("o_orderstatus") == "F", F.col("o_orderkey") % 90 + ROLE)
-        .otherwise(F.col("o_orderkey") % 25 + USER).alias("target_id"),
-        F.when(low, VIEW | READ).otherwise(THREADS).cast("long").alias("allow"),
-        F.when(F.col("o_orderpriority") > "3", VIEW).otherwise(CONNECT).cast("long").alias("deny"),
+        .otherwise(F.col("o_orderkey") % 25 + USER).cast("string").alias("id"),
+        F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("type"),
+        F.when(low, VIEW | READ).otherwise(THREADS).cast("string").alias("allow"),
+        F.when(F.col("o_orderpriority") > "3", VIEW).otherwise(CONNECT).cast("string").alias("deny"),
     )
+    # As channel documents have them.
+    documents = held.groupBy(F.col("channel_id").alias("id")).agg(
+        F.to_json(F.collect_list(F.struct("id", "type", "allow", "deny"))).alias("permission_overwrites"))
+    return A.overwrites_from_json(documents)
 
 
 @query("A2_channel_permissions", f"WITH {CHANNELS_SQL} SELECT guild_id, user_id, channel_id, type, permissions FROM seen")

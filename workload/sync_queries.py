@@ -72,6 +72,16 @@ def _(t):
     return I.advance_mark(marks(t), page, newest(t), 5)
 
 
+# What comes live while half of the channels are in sync with their newest message.
+@query("I4_raise_live_marks", f"""WITH {MARKS_SQL},
+live AS (SELECT o_custkey AS channel_id, max(o_orderkey) AS last FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT m.channel_id, CASE WHEN m.channel_id % 2 = 0 THEN greatest(last_synced_id, last) ELSE last_synced_id END AS last_synced_id
+FROM marks m LEFT JOIN live l ON l.channel_id = m.channel_id""")
+def _(t):
+    live = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("channel_id"), F.col("o_orderkey").alias("id"))
+    return I.raise_live_marks(marks(t), live, F.col("channel_id") % 2 == 0).select("channel_id", "last_synced_id")
+
+
 STATS_SQL = MARKS_SQL + """, stats AS (
   SELECT o_custkey AS channel_id, count(*) FILTER (o_orderstatus <> 'P') AS seen, min(o_orderkey) AS first_id,
     max(o_orderkey) FILTER (o_orderstatus <> 'P') AS last_seen_id FROM orders GROUP BY 1),
