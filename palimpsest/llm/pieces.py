@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.textops import slices, with_fields
+from palimpsest.llm.textops import give_back, slices, with_fields
 
 META = "▁"
 UNIT = re.compile(rb" +[^ \n]*|\n|[^ \n]+")
@@ -32,8 +32,9 @@ DEPTH = 16
 REMEMBERED = 250_000
 PAIR_BITS = 20
 NOTHING = np.int64(1) << np.int64(60)
-# Bytes of text that are encoded at once.
+# Bytes of text that are encoded at once, and bytes of new units that are indexed at once.
 BATCH_BYTES = 1 << 20
+LEARN_BYTES = 256 << 10
 
 
 class Model:
@@ -255,8 +256,12 @@ class Model:
         if len(self.units) + len(new) > REMEMBERED and self.units:
             self.forget()
             new = list(set().union(*cut))
-        if new:
-            self.learn(new)
+        ends = np.cumsum([len(u) + 1 for u in new])
+        cuts = [0]
+        while cuts[-1] < len(new):
+            begun = ends[cuts[-1] - 1] if cuts[-1] else 0
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, begun + LEARN_BYTES, "right"))))
+            self.learn(new[cuts[-2] : cuts[-1]])
         per_text = np.array([len(u) for u in cut])
         index = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cut)), np.int64, int(per_text.sum()))
         sizes = self.unit_sizes[index]
@@ -300,6 +305,8 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "
     docs = docs.drop(out, *([decoded] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Workers of earlier stages go on here.
+        give_back()
         model = loaded(shared.value)
         for batch in batches:
             for part in slices(batch, text, BATCH_BYTES):
@@ -313,6 +320,7 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "
                     arrays.append(pa.array(model.decode(numbers, counts), pa.string(), mask=missing.to_numpy(zero_copy_only=False)))
                     names.append(decoded)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            give_back()
 
     return docs.mapInArrow(run, with_fields(docs, f"{out} array<int>" + (f", {decoded} string" if decoded else "")))
 

@@ -24,9 +24,9 @@ def test_queries_equal_their_sql(spark, name):
     assert compare(got, duck(FOLDER).execute(oracle_sql()[name]).df()) == ""
 
 
-def test_all_ten_are_registered():
+def test_all_operators_are_registered():
     found = [int(n[2:].split("_")[0]) for n in registered.QUERIES]
-    assert sorted(found) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(found) == list(range(1, 14)) and "pipeline" in queries()
     assert [n for n, _ in pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram jaccard join", "mixing sources", "sentencepiece"]
 
 
@@ -84,8 +84,20 @@ def test_stages_on_odd_rows(spark):
         assert out.count() > 0, name
         assert stage(spark, odd.limit(0), FOLDER).count() == 0, name
     kept = pipeline.join_copies(spark, odd, FOLDER).toPandas()
+    # Rows without an id are no copies of any.
     assert kept.doc_id.dropna().is_unique and kept.doc_id.isna().sum() == 2
     encoded = pipeline.encode_pieces(spark, odd.withColumn("pieces", F.lit("mine")).withColumn("_pieces", F.lit(3)), FOLDER)
     assert encoded.count() == len(odd_documents()) and dict(encoded.dtypes)["pieces"] == "array<int>"
     assert {"_kept", "_copies", "_pieces"} <= set(encoded.columns)
     assert sum(len(words(t)) > 0 for t in pipeline.clean_lines(spark, odd, FOLDER).toPandas().text) > 0
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    one, two, other = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    near = one.replace("a39", "b39")
+    rows = [(1, one), (1, two), (1, near), (1, one), (2, other), (2, near), (3, other), (4, "few words"), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(4)
+    kept = pipeline.join_copies(spark, docs, FOLDER).collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    first = min((one, near), key=lambda t: [g[1] for g in got].count(t) == 0)
+    assert got == sorted([(1, first), (1, two), (2, other), (4, "few words"), (4, None), (4, "")], key=str)
