@@ -49,12 +49,22 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @keeping_further_columns
 def join_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows of one id count as one document."""
-    groups = ngram_join.similar_groups(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    """Of each group of near copies the document with the smallest id stays.
+
+    Rows of one id with different texts are documents of their own: they go by a hash of id and text, and of a group's rows with the smallest
+    id the one with the smallest hash stays. Repeated rows are one document; rows without an id all stay.
+    """
     named = docs.where("doc_id IS NOT NULL")
-    chosen = named.join(kept, named.doc_id == kept._kept_id, "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    again = staged(named.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "repeated-ids")
+    rows = named.join(again, named.doc_id == again._again, "left").withColumn(
+        "_row", F.when(F.col("_again").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")))
+    groups = ngram_join.similar_groups(rows.select("_row", "text"), doc_id="_row").select(
+        F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("_group").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
+    kept = rows.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi")
+    single = kept.where("_again IS NULL")
+    repeated = kept.where("_again IS NOT NULL").dropDuplicates(["_row"])
+    return single.unionByName(repeated).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 @keeping_further_columns
