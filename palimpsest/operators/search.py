@@ -1,6 +1,6 @@
 """Word search over current messages: postings, queries on them, hits with names.
 
-Postings are (token, id, positions), stored sorted by token so that a term reads few row groups.
+Postings are (token, id, positions); ``sources.segments`` stores them sorted by token, so that a term reads few row groups.
 Old versions are not indexed, deleted messages stay searchable, results are not ranked.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import MARKED, PLAIN, fold_term, term_words, tokens
@@ -49,41 +49,6 @@ def build_index(messages: DataFrame, id_: str = "id", content: str = "content")
     )
 
 
-def write_index(postings: DataFrame, path: str, segment: int = 0) -> None:
-    """A segment of an index, range-partitioned by token: common words spread over tasks, and statistics prune the rest.
-
-    An index is a folder of segments, ``postings`` and ``gone`` (the ids that the segment replaces or removes).
-    """
-    postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.parquet(
-        f"{path}/postings/segment={segment}")
-    if segment == 0:
-        postings.select("id").limit(0).write.parquet(f"{path}/gone/segment=0")
-
-
-def append_segment(path: str, segment: int, changes: DataFrame, id_: str = "id", content: str = "content") -> None:
-    """Add inserted, changed and removed (NULL content) messages; only they are indexed, stored segments stay as they are.
-
-    ``segment`` is larger than those before. The removed ids are written first: a reader in between misses a message for a
-    moment and never finds two versions of one.
-    """
-    changes.select(F.col(id_).alias("id")).distinct().write.parquet(f"{path}/gone/segment={segment}")
-    write_index(build_index(changes.where(F.col(content).isNotNull()), id_, content), path, segment)
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The postings that no later segment replaces. A filter on ``token`` reaches the scan, so ids meet only its postings."""
-    postings = spark.read.schema("token string, id long, positions array<int>, segment int").parquet(f"{path}/postings")
-    gone = spark.read.schema("id long, segment int").parquet(f"{path}/gone").groupBy(F.col("id").alias("_id")).agg(
-        F.max("segment").alias("_gone"))
-    met = postings.join(gone, F.col("id") == F.col("_id"), "left")
-    return met.where(F.col("_gone").isNull() | (F.col("segment") >= F.col("_gone"))).select("token", "id", "positions")
-
-
-def merge_segments(spark: SparkSession, path: str, to: str) -> None:
-    """All segments of an index as the first one of another."""
-    write_index(read_index(spark, path), to)
-
-
 def _words(terms: Sequence[str]) -> list[str]:
     return [w for term in terms for w in term_words(term)]
 

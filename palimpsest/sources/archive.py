@@ -74,7 +74,7 @@ def write_buckets(
 
 def add_commit(spark: SparkSession, path: str, version: str, tables: Sequence[Commit]) -> None:
     """Make a new state of some tables visible at once; ``sequence`` is that of the state it was made from."""
-    newest = _newest_sequence(spark, path)
+    newest = newest_sequence(spark, path)
     read = max(t.sequence for t in tables)
     if newest != read:
         raise RuntimeError(f"{path} is at commit {newest}, this change was made from {read}")
@@ -93,7 +93,7 @@ def _commit_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COMMIT_SCHEMA).json(f"{path}/commits")
 
 
-def _newest_sequence(spark: SparkSession, path: str) -> int:
+def newest_sequence(spark: SparkSession, path: str) -> int:
     return _commit_rows(spark, path).agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("s")).first()["s"]
 
 
@@ -130,7 +130,7 @@ def write_archive(
 ) -> str:
     """Write the tables whole, as one commit; a table is (rows, parent column, sort columns)."""
     spark = next(iter(tables.values()))[0].sparkSession
-    version, read = uuid.uuid4().hex, _newest_sequence(spark, path)
+    version, read = uuid.uuid4().hex, newest_sequence(spark, path)
     states = [
         Commit(read, name, parent, tuple(order), buckets, rows.schema, write_buckets(rows, path, version, name, parent, order, buckets))
         for name, (rows, parent, order) in tables.items()

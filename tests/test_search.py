@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import search as X
+from palimpsest.sources import archive, segments
 
 TEXTS = [
     (1, "The quick brown Fox, the FOX!"), (2, "Un café très noir; cafe noir"), (3, "brown the quick"),
@@ -48,26 +52,94 @@ def test_highlight(spark):
     assert got[6] == "[fox]-trot über_alles x"
 
 
+CHANGE = "id long, content string"
+
+
 def test_segments(spark, tmp_path):
     path = str(tmp_path / "index")
-    X.write_index(index(spark), path)
-    X.append_segment(path, 1, spark.createDataFrame([(1, "new words"), (2, None), (7, "fox")], "id long, content string"))
-    after = X.read_index(spark, path)
+    segments.write_index(index(spark), path)
+    segments.append_changes(spark, path, spark.createDataFrame([(1, "new words"), (2, None), (7, "fox")], CHANGE))
+    after = segments.read_index(spark, path)
     assert ids(X.search_any(after, ["fox"])) == [6, 7] and ids(X.search_any(after, ["new"])) == [1]
     assert after.where(F.col("id") == 2).count() == 0
-    X.append_segment(path, 2, spark.createDataFrame([(2, "back again"), (7, None), (1, "the fox")], "id long, content string"))
-    assert ids(X.search_any(after.sparkSession.read.parquet(path + "/postings"), ["fox"])) == [1, 6, 7]
-    after = X.read_index(spark, path)
+    segments.append_changes(spark, path, spark.createDataFrame([(2, "back again"), (7, None), (1, "the fox")], CHANGE))
+    # The state before the last batch can still be read.
+    assert ids(X.search_any(segments.read_index(spark, path, 2), ["fox"])) == [6, 7]
+    after = segments.read_index(spark, path)
     assert ids(X.search_any(after, ["fox", "back", "new"])) == [1, 2, 6]
-    X.merge_segments(spark, path, str(tmp_path / "merged"))
-    assert sorted(X.read_index(spark, str(tmp_path / "merged")).collect()) == sorted(after.collect())
+
+
+def test_null_id_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "index")
+    segments.write_index(X.build_index(spark.createDataFrame([(None, "old"), (1, "old")], CHANGE)), path)
+    segments.append_changes(spark, path, spark.createDataFrame([(None, "new")], CHANGE))
+    assert sorted((r["token"], r["id"] or 0) for r in segments.read_index(spark, path).collect()) == [("new", 0), ("old", 1)]
+
+
+def test_merges_keep_the_postings(spark, tmp_path):
+    path, rng = str(tmp_path / "index"), random.Random(5)
+    texts = {i: f"word{i % 5} the fox" for i in range(60)}
+    segments.write_index(X.build_index(spark.createDataFrame(list(texts.items()), CHANGE)), path)
+    merges = 0
+    for batch in range(6):
+        changes = {rng.randrange(80): rng.choice([f"batch{batch} fox", "other words", None]) for _ in range(6)}
+        before = max(archive.read_commits(spark, path, segments.TABLES)[0].folders)
+        reader = segments.read_index(spark, path)
+        expected_before = sorted(reader.collect())
+        segments.append_changes(spark, path, spark.createDataFrame(list(changes.items()), CHANGE), merge_at=3)
+        # A reader opened before the batch and its merge still sees the old state.
+        assert sorted(reader.collect()) == expected_before
+        texts |= changes
+        live = archive.read_commits(spark, path, segments.TABLES)[0].folders
+        merges += before not in live
+        assert len(live) <= 6
+        whole = X.build_index(spark.createDataFrame(list(texts.items()), CHANGE))
+        assert sorted(segments.read_index(spark, path).collect()) == sorted(whole.collect())
+    assert merges
+    archive.vacuum(spark, path)
+    assert sorted(segments.read_index(spark, path).collect()) == sorted(whole.collect())
+    assert len(list((tmp_path / "index").glob("data/*/postings/*"))) == len(live)
+
+
+def test_a_batch_without_commit_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    segments.write_index(index(spark), path)
+    before = sorted(segments.read_index(spark, path).collect())
+
+    def die(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(segments, "add_commit", die)
+        with pytest.raises(OSError):
+            segments.append_changes(spark, path, spark.createDataFrame([(1, None)], CHANGE))
+    assert sorted(segments.read_index(spark, path).collect()) == before
+    segments.append_changes(spark, path, spark.createDataFrame([(1, None)], CHANGE))
+    assert not ids(X.search_any(segments.read_index(spark, path), ["quick"])) == ids(X.search_any(index(spark), ["quick"]))
+
+
+def test_due_segments():
+    assert segments.due_segments({0: 1000, 1: 5, 2: 6, 3: 7}) == []
+    assert segments.due_segments({0: 1000, 1: 5, 2: 6, 3: 7, 4: 5}) == [1, 2, 3, 4]
+    assert segments.due_segments({0: 1000, 1: 20, 2: 1, 3: 30, 4: 40, 5: 50}) == [1, 2, 3, 4, 5]
+    # Each posting is written a bounded number of times, and few segments stay.
+    rows, written = {0: 64}, 0
+    for n in range(1, 400):
+        rows[n] = 5
+        due = segments.due_segments(rows)
+        if due:
+            total = sum(rows.pop(s) for s in due)
+            rows[due[-1]], written = total, written + total
+        assert len(rows) <= 20
+    assert written <= 400 * 5 * 8
 
 
 def test_terms_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "index")
-    X.write_index(index(spark), path)
+    segments.write_index(index(spark), path)
+    segments.append_changes(spark, path, spark.createDataFrame([(1, "the quick")], CHANGE))
     for found, pushed in (
-        (X.search_all(X.read_index(spark, path), ["quick", "fox"]), "In(token, [fox,quick])"),
-        (X.search_prefix(X.read_index(spark, path), "ca"), "StringStartsWith(token,ca)"),
+        (X.search_all(segments.read_index(spark, path), ["quick", "fox"]), "In(token, [fox,quick])"),
+        (X.search_prefix(segments.read_index(spark, path), "ca"), "StringStartsWith(token,ca)"),
     ):
-        assert pushed in found._jdf.queryExecution().executedPlan().toString()
+        assert found._jdf.queryExecution().executedPlan().toString().count(pushed) == 2

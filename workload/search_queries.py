@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import search as X
-from palimpsest.plans.staging import work_dir
+from palimpsest.plans.staging import staged, work_dir
+from palimpsest.sources import archive, segments
 from workload.registry import query
 from workload.stand_ins import SERVER_SQL
 
@@ -31,9 +32,9 @@ def stored(t):
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _WRITTEN:
         path = work_dir(t.spark, "index")
-        X.write_index(postings(t), path)
+        segments.write_index(postings(t), path)
         _WRITTEN[key] = path
-    return X.read_index(t.spark, _WRITTEN[key])
+    return segments.read_index(t.spark, _WRITTEN[key])
 
 
 @query("X1_build_index", f"""WITH {POSTINGS_SQL}
@@ -130,16 +131,45 @@ CHANGED_SQL = POSTINGS_SQL.replace(
 )
 
 
-@query("X10_maintain_index", f"""WITH {CHANGED_SQL}
-SELECT token, id, len(positions) AS n, positions[1] AS first FROM postings""")
-def _(t):
-    before = X.build_index(t.documents.where("lang <> 'es'"), "doc_id", "text")
-    changes = t.documents.where("lang IN ('fr', 'de', 'es')").select(
+def changed_documents(t):
+    """French documents get a new text, German ones go, Spanish ones come."""
+    return t.documents.where("lang IN ('fr', 'de', 'es')").select(
         F.col("doc_id").alias("id"),
         F.when(F.col("lang") == "fr", F.concat(F.lit("changed text "), F.col("doc_id").cast("string")))
         .when(F.col("lang") == "es", F.col("text")).alias("content"),
     )
+
+
+def first_index(t):
     path = work_dir(t.spark, "index")
-    X.write_index(before, path)
-    X.append_segment(path, 1, changes)
-    return X.read_index(t.spark, path).select("token", "id", F.size("positions").cast("long").alias("n"), F.col("positions")[0].cast("long").alias("first"))
+    segments.write_index(X.build_index(t.documents.where("lang <> 'es'"), "doc_id", "text"), path)
+    return path
+
+
+def places(postings):
+    return postings.select(
+        "token", "id", F.size("positions").cast("long").alias("n"), F.col("positions")[0].cast("long").alias("first"))
+
+
+CHANGED_POSTINGS_SQL = f"""WITH {CHANGED_SQL}
+SELECT token, id, len(positions) AS n, positions[1] AS first FROM postings"""
+
+
+@query("X10_maintain_index", CHANGED_POSTINGS_SQL)
+def _(t):
+    path = first_index(t)
+    segments.append_changes(t.spark, path, changed_documents(t))
+    return places(segments.read_index(t.spark, path))
+
+
+@query("X10_merge_segments", CHANGED_POSTINGS_SQL)
+def _(t):
+    # Texts come twice: a first state that a later batch replaces, so merged segments hold replaced postings and marks.
+    path = first_index(t)
+    changes = staged(changed_documents(t).withColumn("part", F.pmod("id", F.lit(3))), "changes")
+    for part in range(3):
+        rows = changes.where(F.col("part") == part)
+        segments.append_changes(t.spark, path, rows.withColumn("content", F.lit("not yet the text")))
+        segments.append_changes(t.spark, path, rows)
+    archive.vacuum(t.spark, path)
+    return places(segments.read_index(t.spark, path))
