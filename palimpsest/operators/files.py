@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import (
@@ -13,6 +17,7 @@ from palimpsest.functions.scalars import (
 )
 from palimpsest.plans.ordered import oldest
 from palimpsest.plans.spread import spread
+from palimpsest.plans.staging import folder_names, staged
 
 # Options that ask for a download. Fixed values of the archived service.
 DOWNLOAD_OPTIONS = (
@@ -222,10 +227,59 @@ def store_consistency(registry: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
-def store_listing(spark, path: str) -> DataFrame:
-    """(hash, size) of the files of a store by their names; the content is not read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    return files.select(F.substring_index("path", "/", -1).alias("hash"), F.col("length").alias("size"))
+# Rows of a listing that go to Spark at once.
+LISTED_ROWS = 100_000
+# Files of a store lie in folders named by so many first digits of their hash.
+STORE_DIGITS = 2
+
+
+def store_files(files: DataFrame, path: str, hash_: str = "hash", content: str = "content", digits: int = STORE_DIGITS) -> DataFrame:
+    """Write each content under its hash into a store; gives (hash, size) of what was written.
+
+    A file gets its name once it is whole, and equal contents have equal names, so lost and repeated tasks do no harm. Rows
+    without hash or content are no files.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, root = pyarrow.fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1)):
+                folder, part = f"{root}/{name.as_py()[:digits]}", f"{root}/pending/{uuid.uuid4().hex}"
+                for needed in (folder, f"{root}/pending"):
+                    place.create_dir(needed)
+                with place.open_output_stream(part) as out:
+                    out.write(data.as_buffer())
+                place.move(part, f"{folder}/{name.as_py()}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.binary_length(batch.column(1)), pa.int64())], ["hash", "size"])
+
+    rows = files.select(F.col(hash_).alias("hash"), F.col(content).cast("binary").alias("content")).dropna()
+    return staged(rows.mapInArrow(write, "hash string, size long"), "stored-files")
+
+
+def store_listing(spark: SparkSession, path: str, digits: int = STORE_DIGITS) -> DataFrame:
+    """(hash, size) of the files of a store by their names; the content is not read.
+
+    The driver sees the names of the folders; a task lists one of them. What is not where its name belongs, unfinished
+    files too, is named by its place in the store.
+    """
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, root = pyarrow.fs.FileSystem.from_uri(path)
+        for folder in (f.as_py() for batch in batches for f in batch.column(0)):
+            found = place.get_file_info(f"{root}/{folder}")
+            inside = [found] if found.is_file else [
+                f for f in place.get_file_info(pyarrow.fs.FileSelector(found.path, recursive=True)) if f.is_file]
+            for at in range(0, len(inside), LISTED_ROWS):
+                part = inside[at : at + LISTED_ROWS]
+                names = [f.base_name if f.path.endswith(f"/{f.base_name[:digits]}/{f.base_name}") else f"{folder}/{f.base_name}"
+                         for f in part]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([f.size for f in part], pa.int64())],
+                                                 ["hash", "size"])
+
+    # Sums that the file system keeps beside its files are hidden.
+    folders = [n for n in folder_names(spark, path) if not n.startswith(".")]
+    if not folders:
+        return spark.createDataFrame([], "hash string, size long")
+    dealt = spark.createDataFrame([(n,) for n in folders], "folder string").repartition(len(folders), "folder")
+    return dealt.mapInArrow(listed, "hash string, size long")
 
 
 def classify_pending(pending: DataFrame, registry: DataFrame) -> DataFrame:

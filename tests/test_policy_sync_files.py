@@ -92,6 +92,24 @@ def test_registry_first_wins(spark):
     assert sorted(r["url"] for r in rejected.collect()) == ["c", "d"]
 
 
+def test_store_on_disk(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert M.store_listing(spark, path).count() == 0
+    contents = {f"{i % 7:02x}{i:04x}": b"x" * i for i in range(60)} | {"ff": b""}
+    rows = spark.createDataFrame([*contents.items(), (None, b"a"), ("0000", None)], "hash string, content binary")
+    # A file that two tasks write is one file.
+    written = M.store_files(rows.unionByName(rows), path)
+    assert written.count() == 2 * len(contents) and written.agg(F.sum("size")).first()[0] == 2 * sum(map(len, contents.values()))
+    assert {tuple(r) for r in M.store_listing(spark, path).collect()} == {(h, len(c)) for h, c in contents.items()}
+    assert (tmp_path / "store" / "03" / "03000a").read_bytes() == b"x" * 10
+    (tmp_path / "store" / "00" / "abcd").write_bytes(b"misplaced")
+    (tmp_path / "store" / "stray").write_bytes(b"?")
+    (tmp_path / "store" / "01" / "010001").unlink()
+    registry = spark.createDataFrame([(h,) for h in contents] + [("9999",), (None,)], "hash string")
+    found = {tuple(r) for r in M.store_consistency(registry, M.store_listing(spark, path)).collect()}
+    assert found == {("010001", "missing"), ("9999", "missing"), ("00/abcd", "extra"), ("stray/stray", "extra")}
+
+
 def test_checks(spark):
     users = spark.createDataFrame([(1, 5, 5), (2, 5, None), (3, None, 7)], "id long, flags long, public_flags long")
     assert [r["id"] for r in Q.flags_mismatch(users).collect()] == [2]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import files as M
+from palimpsest.plans.staging import work_dir
 from workload.functions_queries import EMOJI_TEXT, NAMED_PAGES, emoji_text, page_file_url
 from workload.registry import query
 
@@ -152,16 +153,27 @@ def _(t):
     return added
 
 
-@query("M8_store_consistency", f"""WITH {REGISTRY_SQL},
+STORE_PROBLEMS_SQL = f"""WITH {REGISTRY_SQL},
 stored AS (SELECT DISTINCT sha256(html) AS hash FROM pages WHERE url LIKE 'https://%'),
 known AS (SELECT DISTINCT hash FROM registry WHERE hash IS NOT NULL)
 SELECT hash, 'missing' AS problem FROM known WHERE hash NOT IN (SELECT hash FROM stored)
-UNION ALL SELECT hash, 'extra' FROM stored WHERE hash NOT IN (SELECT hash FROM known)""")
+UNION ALL SELECT hash, 'extra' FROM stored WHERE hash NOT IN (SELECT hash FROM known)"""
+
+
+@query("M8_store_consistency", STORE_PROBLEMS_SQL)
 def _(t):
     listing = t.pages.where("url LIKE 'https://%'").select(F.sha2("html", 256).alias("hash"))
     return M.store_consistency(registry(t), listing)
 
 
+@query("M8_store_listing", STORE_PROBLEMS_SQL)
+def _(t):
+    path = work_dir(t.spark, "store")
+    pages = t.pages.where("url LIKE 'https://%'").select(F.sha2("html", 256).alias("hash"), F.col("html").alias("content"))
+    M.store_files(pages.dropDuplicates(["hash"]), path)
+    return M.store_consistency(registry(t), M.store_listing(t.spark, path))
+
+
 @query("M9_classify_pending", f"""WITH {REGISTRY_SQL}
 SELECT page_id, sha256(html) AS hash, sha256(html) IN (SELECT hash FROM registry WHERE hash IS NOT NULL) AS keep FROM pages""")
 def _(t):
