@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import decode_timing, snowflake_millis, time_bound
-from palimpsest.plans.ordered import HotKeys, carry, newest
+from palimpsest.operators.capture import compact_snapshots
+from palimpsest.plans.ordered import HotKeys, carry, find_hot_keys, newest
 from palimpsest.spec import REFERENCING_TYPES
 
 
@@ -141,6 +142,31 @@ def version_diff(
     )
 
 
+def observed_intervals(
+    obs: DataFrame, key: Sequence[str], mutable: Sequence[str], *, columns: Sequence[str] = (), **how
+) -> DataFrame:
+    """``history_intervals`` of what is kept of the observations; ``columns`` go along."""
+    history, hot = _kept_of(obs, key, mutable, columns, **how)
+    return history_intervals(history, key, hot=hot)
+
+
+def observed_diff(obs: DataFrame, key: Sequence[str], mutable: Sequence[str], **how) -> DataFrame:
+    """``version_diff`` of what is kept of the observations."""
+    history, hot = _kept_of(obs, key, mutable, (), **how)
+    return version_diff(history, mutable, key, hot=hot)
+
+
+def _kept_of(obs, key, mutable, columns, **how) -> tuple[DataFrame, HotKeys]:
+    """The history and the hot keys of the observations, whose keys are counted once, on the scan of these columns.
+
+    A key has no more rows in the history than before, so the hot keys of the history are among them. With the keys of
+    the compaction known, the pass after it stands on the same partitioning and its rows are not computed again.
+    """
+    (hot,) = find_hot_keys(obs, key)
+    kept = compact_snapshots(obs, key, mutable, hot=hot, **how)
+    return kept.select(*key, "ts", *mutable, *columns), hot
+
+
 def members_as_of(
     history: DataFrame,
     t: int | None,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from palimpsest.operators import temporal as T
+from palimpsest.operators.capture import compact_snapshots
 
 HISTORY = [(1, 0, "created"), (1, 21, "live edit at 10"), (1, 40, "found edit at 20"), (2, 30, "first seen at 15")]
 
@@ -75,3 +76,22 @@ def test_referenced_only_for_replies(spark):
     )
     got = {r["id"]: r["referenced"] for r in T.join_referenced(messages, stored, ["content"]).collect()}
     assert got[5]["content"] == "hi" and got[6] is None and got[7] is None and got[8] is None
+
+
+def observations(spark, path):
+    rows = [(k, 2 * (i // 2), i, "abca"[i * i % 4], i // 5, None) for k in (1, 2, None) for i in range(30)]
+    spark.createDataFrame(rows, "id long, ts long, seq long, v string, n long, _extra string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_one_count_for_compaction_and_neighbours(spark, tmp_path, hot_mode):
+    obs = observations(spark, str(tmp_path / "obs"))
+    kept = compact_snapshots(obs, ["id"], ["v", "n"]).select("id", "ts", "v", "n")
+    intervals = T.observed_intervals(obs, ["id"], ["v", "n"])
+    diff = T.observed_diff(obs, ["id"], ["v", "n"])
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (intervals, diff)]
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert order(intervals) == order(T.history_intervals(kept)) and order(diff) == order(T.version_diff(kept, ["v", "n"]))
+    if hot_mode == "plain":
+        for plan in plans:
+            assert plan.count("Scan parquet") == 1 and plan.count("Exchange") == 1

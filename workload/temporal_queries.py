@@ -80,7 +80,7 @@ def _(t):
 @query("T5_history_intervals", f"""WITH {KEPT_SQL}
 SELECT id, ts, kind, lvl, ts AS valid_from, lead(ts) OVER (PARTITION BY id ORDER BY ts) AS valid_to FROM kept""")
 def _(t):
-    return T.history_intervals(kept(t))
+    return T.observed_intervals(obs(t), ["id"], ["kind", "lvl"])
 
 
 @query("T6_version_diff", f"""WITH {KEPT_SQL}, pairs AS (
@@ -90,7 +90,7 @@ SELECT id, ts, 'kind' AS "column", pk AS old_value, kind AS new_value FROM pairs
 UNION ALL
 SELECT id, ts, 'lvl', CAST(pl AS VARCHAR), CAST(lvl AS VARCHAR) FROM pairs WHERE n > 1 AND pl IS DISTINCT FROM lvl""")
 def _(t):
-    return T.version_diff(kept(t), ["kind", "lvl"])
+    return T.observed_diff(obs(t), ["id"], ["kind", "lvl"])
 
 
 def member_history(t):
