@@ -110,18 +110,21 @@ def fuzzy_spans(line: bytes, notice: Notice) -> list[tuple[int, int, int]]:
 def scan_text(text: str | None, notices: Sequence[Notice]) -> tuple[int, list[dict], list[dict]]:
     """Number of words, base places, fuzzy places."""
     line, n_words = words_line(text)
+    base = [(label, words, at, at + len(words) + 2, 0)
+            for label, words in BASE for at in every_place(line, f" {words} ".encode())]
+    fuzzy = [(n.label, n.words, *span) for n in notices for span in fuzzy_spans(line, n)]
+    # One running count of words over all places, in their order.
+    first_words, words_before, counted = {}, 0, 0
+    for begin in sorted({hit[2] for hit in base + fuzzy}):
+        words_before += line.count(b" ", counted, begin)
+        first_words[begin], counted = words_before, begin
 
     def place(label, words, begin, end, edits):
-        first = line.count(b" ", 0, begin)
+        first = first_words[begin]
         return {"label": label, "notice": words, "first_word": first, "last_word": first + line.count(b" ", begin + 1, end - 1),
                 "edits": edits, "likeness": 1 - edits / len(words)}
 
-    base = []
-    for label, words in BASE:
-        phrase = f" {words} ".encode()
-        base += [place(label, words, at, at + len(phrase), 0) for at in every_place(line, phrase)]
-    fuzzy = [place(n.label, n.words, *span) for n in notices for span in fuzzy_spans(line, n)]
-    return n_words, base, fuzzy
+    return n_words, [place(*hit) for hit in base], [place(*hit) for hit in fuzzy]
 
 
 def scan_licenses(docs: DataFrame, *, text: str = "text", notices: Sequence[Notice] = NOTICES) -> DataFrame:

@@ -252,6 +252,16 @@ def same_scores(got, want):
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
 
 
+def test_repeated_notices_in_one_text():
+    """Forty thousand places of a notice in a long text; the count of words before them isn't begun anew for each."""
+    n, base, fuzzy = licenses.scan_text("released under the mit license " * 40_000, licenses.NOTICES)
+    assert n == 200_000
+    assert [(x["first_word"], x["last_word"]) for x in base] == [(5 * i + 3, 5 * i + 4) for i in range(40_000)]
+    whole = [(x["first_word"], x["last_word"]) for x in fuzzy if x["notice"] == "released under the mit license"]
+    # Places that touch are one run, of which the first stays.
+    assert whole and all(first % 5 == 0 and last == first + 4 for first, last in whole)
+
+
 def test_lm_scores_of_the_table(spark, docs):
     got = QUERIES["op4_lm_score"](spark, FOLDER).collect()
     same_scores(got, base_scores(docs.doc_id.tolist(), docs.text.tolist()))
