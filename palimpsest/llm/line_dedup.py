@@ -6,7 +6,8 @@ page don't make its text boilerplate. DataFrame functions only.
 
 Defined results: NULL text stays NULL and has no lines; NULL is a host of its own; lines are compared without
 outer spaces, empty ones are never dropped; lines on fewer than ``min_pages`` pages stay, so a host with few pages
-loses nothing; a page of boilerplate only becomes the empty text; repeated rows stay; an empty table stays empty.
+loses nothing; a page of boilerplate only becomes the empty text; repeated rows stay; texts of any length
+are cut whole, within their row; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.plans.staging import staged
 
-RATIO = 0.1
+# More than one page in sixteen: what a site puts on every tenth page or so is caught in each of its sources, what pages
+# merely share by chance (below one in twenty) isn't. A power of two, so that the division is exact at the border.
+RATIO = 0.0625
 MIN_PAGES = 5
 # A table of line hashes up to this many entries is sent to all executors (16 bytes each).
 BROADCAST_LINES = 2_000_000

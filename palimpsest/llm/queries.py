@@ -79,7 +79,7 @@ WITH lines AS (
 ), boilerplate AS (
   SELECT l.host, l.line FROM lines l JOIN totals t ON l.host IS NOT DISTINCT FROM t.host
   WHERE l.line <> '' GROUP BY l.host, l.line, t.total
-  HAVING count(DISTINCT l.page) >= 5 AND count(DISTINCT l.page) / t.total > 0.1
+  HAVING count(DISTINCT l.page) >= 5 AND count(DISTINCT l.page) / t.total > 0.0625
 ), per_host AS (SELECT host, list(line) AS gone FROM boilerplate GROUP BY 1), cut AS (
   SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS lines,
          list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(b.gone, []), trim(x))) AS kept
@@ -139,7 +139,7 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
 )
 SELECT s.doc_id, s.size, r.source_size, r.target, (s.size * (floor(r.rate) + (
-         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0
+         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '') ), 1, 8))::UBIGINT / 4294967296.0
          < r.rate - floor(r.rate))::INT))::BIGINT AS taken
 FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
 """)

@@ -358,6 +358,21 @@ def test_lines_odd_cases(spark, odd, empty):
     assert line_dedup.drop_boilerplate(empty).count() == 0
 
 
+def test_lines_on_both_sides_of_the_ratio(spark):
+    # A site of 160 pages: lines on 16, 11, 10 (one in sixteen) and 4 of them, and 160 copies of one page that count once.
+    planted = {"one in ten": 16, "just above": 11, "one in sixteen": 10, "a quote": 4}
+    rows = [(i, "\n".join([f"page {i}", *[line for line, n in planted.items() if i < n]]), "site") for i in range(159)]
+    rows += [(1000 + i, "page of copies\na quote", "site") for i in range(160)]
+    # A small site: a line on four of its eight pages is below ``MIN_PAGES``.
+    rows += [(2000 + i, f"small {i}" + ("\nmenu" if i < 4 else ""), "small") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_boilerplate(df).collect()}
+    left = Counter(line for i, lines in kept.items() for line in lines if i < 1000)
+    assert {line: left[line] for line in planted} == {"one in ten": 0, "just above": 0, "one in sixteen": 10, "a quote": 4}
+    assert all(kept[1000 + i] == ["page of copies", "a quote"] for i in range(160)) and kept[2000] == ["small 0", "menu"]
+    assert set(kept) == {r[0] for r in rows}
+
+
 def test_mix_odd_cases(spark, odd, empty):
     def target(sizes, weights=(5, 2, 1)):
         names = sorted(sizes, key=lambda s: (s is None, s or ""))
