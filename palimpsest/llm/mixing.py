@@ -1,11 +1,11 @@
 """Mixing of sources to target weights.
 
 Tokens are added up per source, a repetition rate follows for each source, and each document is taken
-floor(rate) times, and once more with probability rate - floor(rate); the coin is a hash of seed and
-document id, so reruns and lost tasks agree. DataFrame functions only.
+floor(rate) times, and once more with probability rate - floor(rate); the coin is a hash of seed, document id,
+source and text, so reruns and lost tasks agree. DataFrame functions only.
 
 Defined results: NULL text has size 0; NULL is a source of its own, the last one; repeated rows count and
-are drawn each on its own, rows of one id alike; an empty table gives an empty result; sources without
+share a coin only where id, source and text are equal; texts of any length count whole; an empty table gives an empty result; sources without
 words have target 0, rate 0 and none of their rows is taken.
 """
 
@@ -60,10 +60,11 @@ def source_rates(
     )
 
 
-def coin(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the seed and the id."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+def coin(doc_id: Column, source: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from the seed and the row."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (doc_id, source)]
+    seeded = F.concat_ws(":", F.lit(seed), *parts, F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(seeded.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def with_copies(
@@ -82,7 +83,7 @@ def with_copies(
         rates, F.col(source).eqNullSafe(F.col("_source")), "left"
     )
     whole = F.floor("_rate")
-    extra = (coin(F.col(doc_id), seed) < F.col("_rate") - whole).cast("long")
+    extra = (coin(F.col(doc_id), F.col(source), F.col(text), seed) < F.col("_rate") - whole).cast("long")
     return met.withColumn("_copies", whole + extra).drop("_source", "_rate")
 
 

@@ -118,7 +118,8 @@ def op7_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_mixing", r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents
 ), per_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1), weighed AS (
   SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
@@ -139,7 +140,7 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
 )
 SELECT s.doc_id, s.size, r.source_size, r.target, (s.size * (floor(r.rate) + (
-         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '') ), 1, 8))::UBIGINT / 4294967296.0
+         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '') || ':' || coalesce(s.source, '') || ':' || s.text_md5), 1, 8))::UBIGINT / 4294967296.0
          < r.rate - floor(r.rate))::INT))::BIGINT AS taken
 FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
 """)

@@ -429,3 +429,15 @@ def test_decoding_of_odd_pieces(spark):
 def test_query_round_trips(spark, docs):
     got = QUERIES["op6_pieces"](spark, FOLDER).collect()
     assert len(got) == len(docs) and all(r.round_trip for r in got)
+
+
+def test_mixing_rows_without_id(spark):
+    """Rows without id, or of one id, are drawn by their texts and meet the target as other rows do."""
+    rows = [(None, f"{'w ' * 10}n{i}", "a") for i in range(1000)] + [(7, f"{'v ' * 10}m{i}", "b") for i in range(1000)]
+    rows += [(7, f"{'v ' * 10}m{i}", "c") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sums = mixing.with_copies(df).groupBy("source").agg(
+        F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.max("_target").alias("target"), F.max("_copies").alias("most")).collect()
+    assert len(sums) == 3
+    for r in sums:
+        assert r.taken == pytest.approx(r.target, rel=0.1) and r.most <= 2
