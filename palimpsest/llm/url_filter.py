@@ -59,7 +59,8 @@ def url_path(url: Column) -> Column:
 def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """(rule, verdict) of the longest rule that fits, or NULL."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule in sorted(rules, key=lambda r: len(r.text)):
+    # The last one asked for wins: the longest, of equally long ones the first in the list.
+    for rule in sorted(reversed(rules), key=lambda r: len(r.text)):
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
         found = F.when(fits, F.struct(F.lit(rule.text).alias("rule"), F.lit(rule.verdict).alias("verdict"))).otherwise(found)
     return found
@@ -148,7 +149,9 @@ def judge_urls(
     # A hot host or path is one row from here on.
     host_names = ruled.select("host").distinct().select("host", words_of(F.col("host")).alias("names"))
     names = host_names.select(F.explode("names").alias("name")).distinct()
-    words = staged(segmented_names(names, word_counts(pages, html)), "names")
+    # The text of the pages is read once; the counts are asked for three times.
+    counts = staged(word_counts(pages, html), "word-counts")
+    words = staged(segmented_names(names, counts), "names")
     hosts = (
         host_names.select("host", F.explode("names").alias("name")).join(words, "name")
         .select("host", F.explode(marked("h:", F.col("words"))).alias("token"))
@@ -174,8 +177,9 @@ def judge_urls(
         log_odds = F.log((F.col("blocks") + SMOOTHING) / (sums["blocks"] + SMOOTHING * sums["n"])) - F.log(
             (F.col("allows") + SMOOTHING) / (sums["allows"] + SMOOTHING * sums["n"]))
     scored = tokens.where("blocks + allows > 0").select("token", log_odds.alias("odds"))
-    host_odds = hosts.join(scored, "token").groupBy("host").agg(F.sum("odds").alias("host_odds"))
-    path_odds = paths.join(scored, "token").groupBy("path").agg(F.sum("odds").alias("path_odds"))
+    # Written, so that Spark can split the rows of a hot host or path in the last joins.
+    host_odds = staged(hosts.join(scored, "token").groupBy("host").agg(F.sum("odds").alias("host_odds")), "host-odds")
+    path_odds = staged(paths.join(scored, "token").groupBy("path").agg(F.sum("odds").alias("path_odds")), "path-odds")
     score = F.when(
         F.col("host_odds").isNull() & F.col("path_odds").isNull(), F.lit(0.0)
     ).otherwise(F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0)))

@@ -134,6 +134,14 @@ def test_urls_odd_cases(spark):
     assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_first_of_equally_long_rules(spark):
+    rules = [url_filter.Rule("block", "a.org", "/x"), url_filter.Rule("allow", "a.org", "/x"), url_filter.Rule("allow", "org", "/"),
+             url_filter.Rule("allow", "a.org", "/"), url_filter.Rule("block", "a.org", "/")]
+    df = spark.createDataFrame([(1, "http://a.org/x1"), (2, "http://a.org/y"), (3, "http://b.org/y")], "page_id long, url string")
+    got = url_filter.judge_urls(df.withColumn("html", F.lit("")), rules).collect()
+    assert {(r.page_id, r.rule, r.verdict) for r in got} == {(1, "a.org/x", "block"), (2, "a.org/", "allow"), (3, "org/", "allow")}
+
+
 def test_long_words_inside_names(spark):
     long = "donaudampfschifffahrtsgesellschaft"
     counts = spark.createDataFrame([(long, 50), ("donau", 50), ("dampf", 50), ("shop", 50), (long + "en", 1)], "word string, n long")
