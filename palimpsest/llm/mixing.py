@@ -75,7 +75,8 @@ def with_copies(
     The rates are one row per source, so Spark broadcasts them when they are small and splits a hot source
     at run time when they are not. Columns of ``docs`` with these names are replaced.
     """
-    sized = docs.withColumn("_size", word_count(F.col(text)))
+    # The coin is tossed beside the count of words, so that a text which isn't asked for doesn't travel to the rates.
+    sized = docs.withColumns({"_size": word_count(F.col(text)), "_mix_coin": coin(F.col(doc_id), F.col(source), F.col(text), seed)})
     rates = source_rates(
         sized.select(F.col(source).alias("_source"), "_size"), source="_source", size="_size", **how
     ).withColumnsRenamed({"source_size": "_source_size", "target": "_target", "rate": "_rate"})
@@ -83,8 +84,8 @@ def with_copies(
         rates, F.col(source).eqNullSafe(F.col("_source")), "left"
     )
     whole = F.floor("_rate")
-    extra = (coin(F.col(doc_id), F.col(source), F.col(text), seed) < F.col("_rate") - whole).cast("long")
-    return met.withColumn("_copies", whole + extra).drop("_source", "_rate")
+    extra = (F.col("_mix_coin") < F.col("_rate") - whole).cast("long")
+    return met.withColumn("_copies", whole + extra).drop("_source", "_rate", "_mix_coin")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
