@@ -12,8 +12,14 @@ before them and in the word so far form a state, which a block works out once.
 All counts come from the training documents, those whose crc32 of the id as text is not 0 modulo 10, and are exact:
 for each context and next byte, a block sends the number of its own training text, packed by hash range, and gets back in
 the same order how often the corpus goes that way after the context, down to each bit. So nothing of the counts is
-broadcast, their number follows the corpus, and a score depends on the text, not on its block. The count of a word is that
-of its closing space.
+broadcast, their number follows the corpus, and the counts behind a score depend on the text, not on its block. The count of
+a word is that of its closing space. Training texts are scored with their own counts among those of the corpus, so their scores
+don't compare with the scores of held-out texts.
+
+Rows are dealt out in turn; a block is a run of rows of one task, about ``BLOCK_BYTES`` of text, and written once; a longer text is a block of its own. Hash ranges
+are as many as shuffle partitions, each in frames that hold the keys of about ``RANGE_BYTES`` of text, so that a task counts one frame at a time.
+A block and a range share a row only if the block has keys there: there are never more rows than blocks times shuffle partitions, nor than keys.
+The text is shuffled to be dealt and, packed, to meet the counts; what met is written, and scoring needs no other shuffle.
 
 Defined results: NULL and empty texts have the end as their only token; a NULL id counts as empty text, whose remainder is
 0; repeated rows count and are scored each; without training tokens N and V are 0; an empty table gives an empty result.
@@ -27,15 +33,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textops import LOWER, NOT_SPACE, _BYTE_VALUES, _grow, mixed, utf8, word_bounds
+from palimpsest.llm.textops import LOWER, NOT_SPACE, _BYTE_VALUES, _grow, mixed, slices, utf8, word_bounds
 from palimpsest.plans.staging import staged
 
 FOLDS = 10
 BLOCK_BYTES = 4 << 20
-# Text for each range of hashes, beyond the number of shuffle partitions.
+# Text for each frame of a hash range.
 RANGE_BYTES = 8 << 20
 ORDERS = 4
 WORD = ORDERS - 1
@@ -51,6 +58,8 @@ LEAST_STEPS = 64
 CHUNK = 1 << 14
 SLICE = 1 << 19
 SPACE = 32
+# An odd number that keeps the bytes before a byte apart from the hash of its word.
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 START = 10
 
 
@@ -59,7 +68,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def spelled(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The scored bytes but one of each text; for each byte the four before it, a hash of the word so far, and itself."""
+    """The scored bytes but one of each text; for each byte the four before it, a hash of the word so far (not yet mixed), and itself."""
     starts, ends, owner = word_bounds(low, offsets, NOT_SPACE)
     n = len(offsets) - 1
     # Each text: four starting bytes, its words with their closing spaces, the space of the end.
@@ -84,7 +93,7 @@ def spelled(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     up, down = _grow(len(chars) + 1)
     sums = np.zeros(len(chars) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[chars] * up[: len(chars)], out=sums[1:])
-    word = mixed((sums[spot] - sums[first]) * down[first] + (spot - first).astype(np.uint64))
+    word = (sums[spot] - sums[first]) * down[first] + (spot - first).astype(np.uint64)
     return letters, four[spot], word, chars[spot]
 
 
@@ -100,12 +109,12 @@ class BlockStates:
             at = end
         letters, four, word, byte = (np.concatenate(x) for x in zip(*runs))
         del runs, data
-        coded = pa.array(mixed(four.astype(np.uint64) << np.uint64(8) | byte) ^ word).dictionary_encode()
+        coded = pa.array(word + (four.astype(np.uint64) << np.uint64(8) | byte) * SPREAD).dictionary_encode()
         self.state = coded.indices.to_numpy()
         one = np.zeros(len(coded.dictionary), np.int64)
         one[self.state[::-1]] = np.arange(len(byte))[::-1]
         close = byte == SPACE
-        four, word, self.byte = four[one].astype(np.uint64), word[one], byte[one]
+        four, word, self.byte = four[one].astype(np.uint64), mixed(word[one]), byte[one]
         self.owner = np.repeat(np.arange(n, dtype=np.int32), letters + 1)
         self.closing, self.closed_by = self.state[close], self.owner[close]
         self.train = np.bincount(self.state, training[self.owner].astype(float), minlength=len(one)).astype(np.int64)
@@ -217,15 +226,17 @@ def learned(states: BlockStates, way: np.ndarray) -> tuple[np.ndarray, np.ndarra
             some = rows[a : a + step]
             seen, gate = state_evidence(states, odds, trust, some)
             heavy = np.repeat(states.train[some], 8).astype(float)
-            order = np.argsort(gate, kind="stable")
+            order = np.argsort(gate.astype(np.int16), kind="stable")
             seen, gate, heavy = seen[order].astype(float), gate[order], heavy[order]
             p = squash(np.einsum("ij,ij->i", seen, weights[gate]))
             cuts = np.searchsorted(gate, np.arange(GATES + 1))
             pull, bend = seen * ((1 - p) * heavy)[:, None], seen * (p * (1 - p) * heavy)[:, None]
-            for g in np.flatnonzero(np.diff(cuts)):
+            here = np.flatnonzero(np.diff(cuts))
+            for g in here:
                 part = slice(cuts[g], cuts[g + 1])
                 curve[g] += bend[part].T @ seen[part]
-                weights[g] += np.clip(np.linalg.solve(curve[g] + ridge, pull[part].sum(0)), -LARGEST, LARGEST)
+            steps = np.linalg.solve(curve[here] + ridge, np.add.reduceat(pull, cuts[here])[:, :, None])[:, :, 0]
+            weights[here] += np.clip(steps, -LARGEST, LARGEST)
     return weights, curve / turns
 
 
@@ -248,130 +259,176 @@ def state_bits(states: BlockStates, way: np.ndarray, weights: np.ndarray) -> np.
     return spent
 
 
-def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row."""
-    spark = docs.sparkSession
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    parts = max(tasks, -(-size // RANGE_BYTES))
-    dealt = rows.select(
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"), "doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+def pack_rows(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Requests of the blocks: their keys and how often their training text has each."""
-        pack = zstandard.ZstdCompressor(level=1)
+
+def unpack_rows(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+
+
+def dealt_blocks(rows: DataFrame, tasks: int) -> DataFrame:
+    """(block, rows): rows dealt out in turn, so that copies side by side part, then runs of a task's rows, packed."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size, number = 0, TaskContext.get().partitionId() << 32
 
-        def sent() -> pa.RecordBatch:
-            block = pa.Table.from_batches(held)
-            states = BlockStates(block["text"], ~block["held_out"].to_numpy())
-            cuts = states.cuts(parts)
-            asked = [pack.compress(pack_numbers(np.diff(states.keys[a:b], prepend=np.uint64(0)))) for a, b in zip(cuts, cuts[1:])]
-            counts = [pack.compress(pack_numbers(states.key_train[a:b])) for a, b in zip(cuts, cuts[1:])]
-            return pa.RecordBatch.from_arrays([
-                pa.array([block["block"][0].as_py()] * parts, pa.int64()), pa.array(range(parts), pa.int32()),
-                pa.array(asked, pa.binary()), pa.array(counts, pa.binary())], names=["block", "part", "asked", "counts"])
+        def block() -> pa.RecordBatch:
+            packed = pack_rows(pa.Table.from_batches(held))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed], pa.binary())], names=["block", "rows"])
 
         for batch in batches:
-            for one in _groups(batch):
-                if held and held[0].column(0)[0].as_py() != one.column(0)[0].as_py():
-                    yield sent()
-                    held = []
-                held.append(one)
+            for run in slices(batch, "text", BLOCK_BYTES):
+                more = int(np.diff(utf8(run.column(1))[1]).sum())
+                if held and size + more > BLOCK_BYTES:
+                    yield block()
+                    held, size, number = [], 0, number + 1
+                held.append(run)
+                size += more
         if held:
-            yield sent()
+            yield block()
+
+    return rows.repartition(tasks).sortWithinPartitions(F.xxhash64("doc_id", "text")).mapInArrow(deal, "block long, rows binary")
+
+
+def asked_counts(blocks: DataFrame, parts: int, frames: int) -> DataFrame:
+    """(block, part, asked, counts): for each range of hashes where a block has keys, its frames of keys and of how often
+    the block's training text has each."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = unpack_rows(packed)
+                states = BlockStates(rows["text"], ~rows["held_out"].to_numpy())
+                cuts = states.cuts(parts * frames)
+                some = [p for p in range(parts) if cuts[p * frames] < cuts[(p + 1) * frames]]
+                inside = [[slice(cuts[i], cuts[i + 1]) for i in range(p * frames, (p + 1) * frames)] for p in some]
+                asked = [[pack.compress(pack_numbers(np.diff(states.keys[z], prepend=np.uint64(0)))) for z in one] for one in inside]
+                counts = [[pack.compress(pack_numbers(states.key_train[z])) for z in one] for one in inside]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()),
+                    pa.array(asked, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.binary()))], names=["block", "part", "asked", "counts"])
+
+    return blocks.mapInArrow(ask, "block long, part int, asked array<binary>, counts array<binary>")
+
 
+def answered_counts(asked: DataFrame, tasks: int) -> DataFrame:
+    """(block, part, sizes, found, n, v): for each request the corpus counts of its keys; n and v of a range stand in one row."""
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each range of hashes the counts that the blocks asked for, and its sums."""
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        held: list[pa.RecordBatch] = []
 
-        def found() -> Iterator[pa.RecordBatch]:
-            requests = pa.Table.from_batches(held)
-            part = requests["part"][0].as_py()
-            lists = [np.cumsum(unpack_numbers(unpack.decompress(b.as_buffer())), dtype=np.uint64) for b in requests["asked"]]
-            counts = np.concatenate([unpack_numbers(unpack.decompress(b.as_buffer())) for b in requests["counts"]])
-            blocks_here = requests["block"].to_pylist()
-            del requests
-            held.clear()
-            sizes = [len(x) for x in lists]
-            keys, where = np.unique(np.concatenate(lists), return_inverse=True)
-            del lists
+        def numbers(frame: pa.Scalar) -> np.ndarray:
+            return unpack_numbers(unpack.decompress(frame.as_buffer()))
+
+        for requests in _runs_of(batches, 1):
             n = v = 0
-            if len(keys):
-                total = np.bincount(where, counts.astype(float)).astype(np.int64)
-                way = ways(keys, total)
-                closing = total[keys & np.uint64(0x3FF) == np.uint64(SPACE << 2 | WORD)]
-                n, v = int(closing.sum()), int((closing > 0).sum())
-            at = 0
-            for block, size in zip(blocks_here, sizes):
-                blob = pack.compress(pack_ways(way[:, where[at : at + size]])) if size else b""
-                at += size
+            sizes, found = [[] for _ in range(len(requests))], [[] for _ in range(len(requests))]
+            for frame in range(len(requests["asked"][0])):
+                lists = [np.cumsum(numbers(one[frame]), dtype=np.uint64) for one in requests["asked"]]
+                counts = np.concatenate([numbers(one[frame]) for one in requests["counts"]])
+                keys, where = np.unique(np.concatenate(lists), return_inverse=True)
+                if len(keys):
+                    total = np.bincount(where, counts.astype(float)).astype(np.int64)
+                    way = ways(keys, total)
+                    closing = total[keys & np.uint64(0x3FF) == np.uint64(SPACE << 2 | WORD)]
+                    n, v = n + int(closing.sum()), v + int((closing > 0).sum())
+                at = 0
+                for i, one in enumerate(lists):
+                    sizes[i].append(len(one))
+                    found[i].append(pack.compress(pack_ways(way[:, where[at : at + len(one)]])) if len(one) else b"")
+                    at += len(one)
+            for i, (block, part) in enumerate(zip(requests["block"].to_pylist(), requests["part"].to_pylist())):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([blob], pa.binary()),
-                    pa.array([n], pa.int64()), pa.array([v], pa.int64())], names=["block", "part", "size", "found", "n", "v"])
+                    pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([sizes[i]], pa.list_(pa.int64())),
+                    pa.array([found[i]], pa.list_(pa.binary())), pa.array([n], pa.int64()), pa.array([v], pa.int64()),
+                ], names=["block", "part", "sizes", "found", "n", "v"])
                 n = v = 0
 
-        for batch in batches:
-            for one in _groups(batch, 1):
-                if held and held[0].column(1)[0].as_py() != one.column(1)[0].as_py():
-                    yield from found()
-                held.append(one)
-        if held:
-            yield from found()
-
-    replies = staged(
-        dealt.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(
-            ask, "block long, part int, asked binary, counts binary")
-        .repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(
-            answer, "block long, part int, size long, found binary, n long, v long"), "replies")
-    sums = replies.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n_all, v_all = sums["n"] or 0, sums["v"] or 0
+    return asked.repartition(tasks, "part").sortWithinPartitions("part", "block").mapInArrow(
+        answer, "block long, part int, sizes array<long>, found array<binary>, n long, v long")
 
-    def met(block: pa.Table, known: pa.Table) -> tuple[BlockStates, np.ndarray]:
-        """The states of a block and the counts of its keys."""
-        unpack = zstandard.ZstdDecompressor()
-        states = BlockStates(block["text"], ~block["held_out"].to_numpy())
-        way = np.zeros((len(states.keys), 9), np.int64)
-        cuts = states.cuts(parts)
-        for part, n, blob in zip(known["part"].to_pylist(), known["size"].to_pylist(), known["found"]):
-            if n:
-                way[cuts[part] : cuts[part + 1]] = unpack_ways(unpack.decompress(blob.as_buffer()), n)
-        return states, way
-
-    def fit(block: pa.Table, known: pa.Table) -> pa.Table:
-        weights, curve = learned(*met(block, known))
-        values = np.concatenate([curve.ravel(), np.einsum("gij,gj->gi", curve, weights).ravel()])
-        return pa.table({"place": np.arange(len(values)), "value": values})
-
-    def score(block: pa.Table, known: pa.Table) -> pa.Table:
-        states, way = met(block, known)
-        counts = way[states.rows[WORD], 8]
-        base = np.log10((counts + 0.1) / (n_all + 0.1 * (v_all + 1)))
-        total = states.per_text(state_bits(states, way, weights))
-        return pa.table({
-            "doc_id": block["doc_id"], "held_out": block["held_out"],
-            "n_tokens": np.bincount(states.closed_by, minlength=states.texts), "n_known": states.per_token((counts > 0).astype(float)).astype(np.int64),
-            "train_tokens": np.full(states.texts, n_all), "base_score": states.per_token(base), "score": -total * np.log10(2),
-            "bits_per_byte": total / (states.sizes + 1),
-        })
-
-    asked = replies.select("block", "part", "size", "found")
-    together = dealt.groupBy("block").cogroup(asked.groupBy("block"))
-    fitted = together.applyInArrow(fit, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").collect()  # GATES rows of a matrix and a vector
+
+def met_blocks(blocks: DataFrame, answers: DataFrame, parts: int, frames: int, tasks: int) -> DataFrame:
+    """(rows, way, n, v, values): each block with the counts of all its keys, and what learning on it gives."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for met in _runs_of(batches, 0):
+            # The block comes first, then its answers.
+            packed = met["rows"][0]
+            rows = unpack_rows(packed)
+            states = BlockStates(rows["text"], ~rows["held_out"].to_numpy())
+            way, cuts = np.zeros((len(states.keys), 9), np.int64), states.cuts(parts * frames)
+            for part, sizes, found in zip(met["part"].to_pylist()[1:], met["sizes"].to_pylist()[1:], met["found"][1:]):
+                for i, (size, frame) in enumerate(zip(sizes, found), part * frames):
+                    if size:
+                        way[cuts[i] : cuts[i + 1]] = unpack_ways(unpack.decompress(frame.as_buffer()), size)
+            weights, curve = learned(states, way)
+            values = np.concatenate([curve.ravel(), np.einsum("gij,gj->gi", curve, weights).ravel()])
+            n, v = (sum(x for x in met[c].to_pylist() if x is not None) for c in ("n", "v"))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([packed.as_py()], pa.binary()), pa.array([pack.compress(pack_ways(way.T))], pa.binary()), pa.array([n], pa.int64()),
+                pa.array([v], pa.int64()), pa.array([values], pa.list_(pa.float64()))], names=["rows", "way", "n", "v", "values"])
+
+    both = blocks.withColumn("part", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+    return both.select("block", "part", "sizes", "found", "n", "v", "rows").repartition(tasks, "block").sortWithinPartitions(
+        "block", "part").mapInArrow(meet, "rows binary, way binary, n long, v long, values array<double>")
+
+
+def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row."""
+    spark = docs.sparkSession
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    frames = max(1, -(-size // (tasks * RANGE_BYTES)))
+    blocks = staged(dealt_blocks(rows.withColumn("held_out", held_out(F.col("doc_id"))), tasks), "blocks")
+    answers = answered_counts(asked_counts(blocks, tasks, frames), tasks)
+    met = staged(met_blocks(blocks, answers, tasks, frames, tasks), "met")
+    sums = met.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    n_all, v_all = sums["n"] or 0, sums["v"] or 0
+    # One row for each number of the gates' matrices and vectors.
+    fitted = met.select(F.posexplode("values").alias("place", "value")).groupBy("place").agg(
+        F.sum("value").alias("value")).orderBy("place").collect()
     values = np.array([r["value"] for r in fitted]) if fitted else np.zeros(GATES * ORDERS * (ORDERS + 1))
     bends = GATES * ORDERS * ORDERS
     weights = joined_weights(values[:bends].reshape(GATES, ORDERS, ORDERS), values[bends:].reshape(GATES, ORDERS))
-    return together.applyInArrow(
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for packed, counted in zip(batch.column(0), batch.column(1)):
+                block = unpack_rows(packed)
+                states = BlockStates(block["text"], ~block["held_out"].to_numpy())
+                way = unpack_ways(unpack.decompress(counted.as_buffer()), len(states.keys))
+                counts = way[states.rows[WORD], 8]
+                base = np.log10((counts + 0.1) / (n_all + 0.1 * (v_all + 1)))
+                total = states.per_text(state_bits(states, way, weights))
+                yield from pa.table({
+                    "doc_id": block["doc_id"], "held_out": block["held_out"],
+                    "n_tokens": np.bincount(states.closed_by, minlength=states.texts),
+                    "n_known": states.per_token((counts > 0).astype(float)).astype(np.int64),
+                    "train_tokens": np.full(states.texts, n_all), "base_score": states.per_token(base), "score": -total * np.log10(2),
+                    "bits_per_byte": total / (states.sizes + 1),
+                }).combine_chunks().to_batches()
+
+    return met.select("rows", "way").mapInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
-def _groups(batch: pa.RecordBatch, column: int = 0) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with one value in a column."""
-    if batch.num_rows:
+def _runs_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
+    """Runs of rows with one value in a column, over the bounds of batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
         value = batch.column(column).to_numpy()
         cuts = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
         for a, b in zip(cuts, cuts[1:]):
-            yield batch.slice(a, b - a)
+            if held and a < b and held[0].column(column)[0].as_py() != value[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

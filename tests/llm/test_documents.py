@@ -345,6 +345,70 @@ def test_lm_contexts_share_no_counts(docs):
     assert (lm_score.unpack_ways(lm_score.pack_ways(way), len(states.keys)) == way.T).all()
 
 
+def test_lm_rows_sent_grow_in_proportion(spark, docs, monkeypatch):
+    """Requests and answers over doubled tables with small blocks and frames: rows go with the text, not with its square."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm_score, "RANGE_BYTES", 20_000)
+    table = [(i, t) for i, t in zip(docs.doc_id.tolist(), docs.text.tolist())]
+    sent = []
+    for size in (120, 240, 480):
+        rows = spark.createDataFrame(table[:size], "doc_id long, text string").coalesce(1)
+        blocks = lm_score.dealt_blocks(rows.withColumn("held_out", lm_score.held_out(F.col("doc_id"))), 8)
+        frames = -(-sum(len(t or "") for _, t in table[:size]) // (8 * lm_score.RANGE_BYTES))
+        asked = lm_score.asked_counts(blocks, 8, frames)
+        answers = lm_score.answered_counts(asked, 8)
+        assert asked.count() == answers.count() and all(any(r.sizes) for r in answers.select("sizes").collect())
+        sent.append(asked.count())
+    assert sent[1] < 2.5 * sent[0] and sent[2] < 2.5 * sent[1]
+
+
+def test_lm_frames_and_ranges_change_no_score(spark, monkeypatch):
+    rows = prose(4, 60)
+    one = lm_scores(spark, rows)
+    monkeypatch.setattr(lm_score, "RANGE_BYTES", 100)
+    many = lm_scores(spark, rows)
+    assert [many[i].score for i, _ in rows] == pytest.approx([one[i].score for i, _ in rows], rel=1e-9)
+    assert [many[i].base_score for i, _ in rows] == pytest.approx([one[i].base_score for i, _ in rows], rel=1e-12)
+
+
+def plain_bits(texts, training, weights):
+    """Bits of each text by a mixer that walks from bit to bit, with the counts in one dictionary."""
+    def steps(text):
+        said = b"\n\n\n\n" + "".join(w + " " for w in words(text)).encode() + b" "
+        start = 4
+        for i in range(4, len(said)):
+            yield (("1", said[i - 1 : i]), ("2", said[i - 2 : i]), ("4", said[i - 4 : i]), ("w", said[start:i])), format(said[i], "08b")
+            if said[i] == 32:
+                start = i + 1
+    seen = Counter()
+    for text, known in zip(texts, training):
+        for contexts, bits in steps(text) if known else ():
+            seen.update((c, bits[:k]) for c in contexts for k in range(9))
+    spent = []
+    for text in texts:
+        total = 0.0
+        for contexts, bits in steps(text):
+            for k in range(8):
+                pairs = [(seen[c, bits[: k + 1]], seen[c, bits[:k]]) for c in contexts]
+                level = sum(pairs[-1][1] > t for t in (0.5, 2.5, 8.5, 64.5, 1024.5))
+                z = sum(w * math.log((a + 0.4) / (n - a + 0.4)) for w, (a, n) in zip(weights[k * 6 + level], pairs))
+                total += math.log2(1 + math.exp(-z))
+        spent.append(total)
+    return spent
+
+
+def test_lm_scores_equal_a_plain_mixer(spark, monkeypatch):
+    """Ten texts with weights of all sizes, against the mixer that goes bit by bit."""
+    texts = ["a b a b", "", None, "the cat and the cat", "The  cat\tand\n\nthe dog", "é ü é", "one two three one two", "a b a b", "x" * 90, "dog dog"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    weights = np.random.default_rng(5).normal(0.3, 0.4, (lm_score.GATES, lm_score.ORDERS))
+    monkeypatch.setattr(lm_score, "joined_weights", lambda curve, bent: weights)
+    got = lm_scores(spark, rows)
+    training = [zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows]
+    want = plain_bits([t or "" for t in texts], training, weights)
+    assert [-got[i].score / math.log10(2) for i, _ in rows] == pytest.approx(want, rel=1e-4)
+
+
 def test_lines_odd_cases(spark, odd, empty):
     rows = [(i, f"Menu\n text {i} \n\nfoot {i % 3}", "h") for i in range(30)] + [(40, "Menu\nb", "g"), (41, None, "h"), (42, "Menu", "h"), (42, "Menu", "h"), (43, "", "h")]
     rows += [(100 + i, "copy of a page\nwith two lines", "h") for i in range(30)] + [(200 + i, "Menu\nx", None) for i in range(7)]
