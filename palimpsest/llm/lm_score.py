@@ -16,10 +16,11 @@ broadcast, their number follows the corpus, and the counts behind a score depend
 a word is that of its closing space. Training texts are scored with their own counts among those of the corpus, so their scores
 don't compare with the scores of held-out texts.
 
-Rows are dealt out in turn; a block is a run of rows of one task, about ``BLOCK_BYTES`` of text, and written once; a longer text is a block of its own. Hash ranges
+The rows of a task are put in the order of a hash, ``WINDOW_BLOCKS`` blocks' worth at a time, so that copies side by side part, and
+cut into blocks of at most about ``BLOCK_BYTES`` of text, which are written once; a longer text is a block of its own. Hash ranges
 are as many as shuffle partitions, each in frames that hold the keys of about ``RANGE_BYTES`` of text, so that a task counts one frame at a time.
 A block and a range share a row only if the block has keys there: there are never more rows than blocks times shuffle partitions, nor than keys.
-The text is shuffled to be dealt and, packed, to meet the counts; what met is written, and scoring needs no other shuffle.
+The text is shuffled once, packed, to meet the counts; what met is written, and learning and scoring need no other shuffle.
 
 Defined results: NULL and empty texts have the end as their only token; a NULL id counts as empty text, whose remainder is
 0; repeated rows count and are scored each; without training tokens N and V are 0; an empty table gives an empty result.
@@ -37,11 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textops import LOWER, NOT_SPACE, _BYTE_VALUES, _grow, mixed, slices, utf8, word_bounds
+from palimpsest.llm.textops import LOWER, NOT_SPACE, _BYTE_VALUES, _grow, give_back, mixed, slices, utf8, word_bounds
 from palimpsest.plans.staging import staged
 
 FOLDS = 10
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
+WINDOW_BLOCKS = 4
 # Text for each frame of a hash range.
 RANGE_BYTES = 8 << 20
 ORDERS = 4
@@ -109,9 +111,15 @@ class BlockStates:
             at = end
         letters, four, word, byte = (np.concatenate(x) for x in zip(*runs))
         del runs, data
-        coded = pa.array(word + (four.astype(np.uint64) << np.uint64(8) | byte) * SPREAD).dictionary_encode()
+        mark = four.astype(np.uint64)
+        mark <<= np.uint64(8)
+        mark |= byte
+        mark *= SPREAD
+        mark += word
+        coded = pa.array(mark).dictionary_encode()
         self.state = coded.indices.to_numpy()
         one = np.zeros(len(coded.dictionary), np.int64)
+        del mark, coded
         one[self.state[::-1]] = np.arange(len(byte))[::-1]
         close = byte == SPACE
         four, word, self.byte = four[one].astype(np.uint64), mixed(word[one]), byte[one]
@@ -270,28 +278,39 @@ def unpack_rows(packed: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(packed.as_buffer()).read_all()
 
 
-def dealt_blocks(rows: DataFrame, tasks: int) -> DataFrame:
-    """(block, rows): rows dealt out in turn, so that copies side by side part, then runs of a task's rows, packed."""
+def dealt_blocks(rows: DataFrame) -> DataFrame:
+    """(block, rows): the rows of a task, some blocks' worth at a time, put in the order of a hash and cut; nothing is shuffled."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, number = 0, TaskContext.get().partitionId() << 32
-
-        def block() -> pa.RecordBatch:
-            packed = pack_rows(pa.Table.from_batches(held))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed], pa.binary())], names=["block", "rows"])
-
+        number = TaskContext.get().partitionId() << 32
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            some = pa.Table.from_batches(held).sort_by("place").drop_columns("place")
+            held.clear()
+            ends = utf8(some["text"])[1][1:]
+            count = max(1, -(-int(ends[-1]) // BLOCK_BYTES))
+            # A row belongs to the block where its text ends.
+            cuts = np.searchsorted(ends, [int(ends[-1]) * k // count for k in range(1, count)], "right")
+            for a, z in zip([0, *cuts], [*cuts, len(some)]):
+                if a < z:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number], pa.int64()), pa.array([pack_rows(some.slice(a, z - a))], pa.binary())], names=["block", "rows"])
+                    number += 1
+
+        size = 0
         for batch in batches:
             for run in slices(batch, "text", BLOCK_BYTES):
-                more = int(np.diff(utf8(run.column(1))[1]).sum())
-                if held and size + more > BLOCK_BYTES:
-                    yield block()
-                    held, size, number = [], 0, number + 1
+                more = int(utf8(run.column("text"))[1][-1])
+                if held and size + more > WINDOW_BLOCKS * BLOCK_BYTES:
+                    yield from blocks()
+                    size = 0
                 held.append(run)
                 size += more
         if held:
-            yield block()
+            yield from blocks()
 
-    return rows.repartition(tasks).sortWithinPartitions(F.xxhash64("doc_id", "text")).mapInArrow(deal, "block long, rows binary")
+    return rows.withColumn("place", F.xxhash64("doc_id", "text")).mapInArrow(deal, "block long, rows binary")
 
 
 def asked_counts(blocks: DataFrame, parts: int, frames: int) -> DataFrame:
@@ -311,6 +330,8 @@ def asked_counts(blocks: DataFrame, parts: int, frames: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()),
                     pa.array(asked, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.binary()))], names=["block", "part", "asked", "counts"])
+                del rows, states, asked, counts
+                give_back()
 
     return blocks.mapInArrow(ask, "block long, part int, asked array<binary>, counts array<binary>")
 
@@ -371,6 +392,8 @@ def met_blocks(blocks: DataFrame, answers: DataFrame, parts: int, frames: int, t
             yield pa.RecordBatch.from_arrays([
                 pa.array([packed.as_py()], pa.binary()), pa.array([pack.compress(pack_ways(way.T))], pa.binary()), pa.array([n], pa.int64()),
                 pa.array([v], pa.int64()), pa.array([values], pa.list_(pa.float64()))], names=["rows", "way", "n", "v", "values"])
+            del rows, states, way, packed, met
+            give_back()
 
     both = blocks.withColumn("part", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
     return both.select("block", "part", "sizes", "found", "n", "v", "rows").repartition(tasks, "block").sortWithinPartitions(
@@ -384,7 +407,7 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     frames = max(1, -(-size // (tasks * RANGE_BYTES)))
-    blocks = staged(dealt_blocks(rows.withColumn("held_out", held_out(F.col("doc_id"))), tasks), "blocks")
+    blocks = staged(dealt_blocks(rows.withColumn("held_out", held_out(F.col("doc_id")))), "blocks")
     answers = answered_counts(asked_counts(blocks, tasks, frames), tasks)
     met = staged(met_blocks(blocks, answers, tasks, frames, tasks), "met")
     sums = met.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()

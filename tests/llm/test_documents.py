@@ -353,7 +353,7 @@ def test_lm_rows_sent_grow_in_proportion(spark, docs, monkeypatch):
     sent = []
     for size in (120, 240, 480):
         rows = spark.createDataFrame(table[:size], "doc_id long, text string").coalesce(1)
-        blocks = lm_score.dealt_blocks(rows.withColumn("held_out", lm_score.held_out(F.col("doc_id"))), 8)
+        blocks = lm_score.dealt_blocks(rows.withColumn("held_out", lm_score.held_out(F.col("doc_id"))))
         frames = -(-sum(len(t or "") for _, t in table[:size]) // (8 * lm_score.RANGE_BYTES))
         asked = lm_score.asked_counts(blocks, 8, frames)
         answers = lm_score.answered_counts(asked, 8)
