@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.documents import Spec, group_paths, known_paths
 from palimpsest.functions.scalars import PRIVATE_THREAD, col, snowflake_millis
-from palimpsest.plans.ordered import HotKeys, carry
+from palimpsest.plans.ordered import HotKeys, carry, join_known
 
 
 def check_derived_timestamp(messages: DataFrame, id_: str = "id", ms: str = "timestamp_ms") -> DataFrame:
@@ -210,7 +210,7 @@ def archive_gate(
 
     met = events.join(rules(object_id, "_own_"), object_id, "left")
     if parent_id in events.columns:
-        met = met.join(rules(parent_id, "_parent_"), parent_id, "left")
+        met = join_known(met, rules(parent_id, "_parent_"), parent_id)
     rule_of = {
         n: F.when(F.col("_own_known"), F.col(f"_own_{n}")).otherwise(
             F.col(f"_parent_{n}") if parent_id in events.columns else F.lit(None))

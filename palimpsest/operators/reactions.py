@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import encode_timing, time_bound
-from palimpsest.plans.ordered import Pass, carry, carry_passes
+from palimpsest.plans.ordered import Pass, carry, carry_passes, join_known
 
 MESSAGE = ("message_id",)
 EMOJI = ("message_id", "emoji")
@@ -183,10 +183,11 @@ def reaction_history(
     rows = intervals if messages is None else intervals.where(F.col("message_id").isin(*messages))
     custom = F.when(F.col("emoji_kind") == "custom", F.col("emoji_key").try_cast("long"))
     known = emojis.select(
-        F.col("id").alias("emoji_id"), F.col("name").alias("_emoji_name"), F.col("animated").alias("emoji_animated")
+        F.col("id").alias("_custom"), F.col("id").alias("emoji_id"), F.col("name").alias("_emoji_name"),
+        F.col("animated").alias("emoji_animated"),
     )
     people = users.select(F.col("id").alias("user_id"), F.col(name).alias("user_name"))
-    met = rows.withColumn("_custom", custom).join(known, F.col("_custom") == F.col("emoji_id"), "left")
+    met = join_known(rows.withColumn("_custom", custom), known, "_custom")
     return (
         met.withColumn("emoji_name", F.coalesce("_emoji_name", "emoji_key"))
         .drop("_custom", "_emoji_name")

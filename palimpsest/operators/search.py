@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import MARKED, PLAIN, fold_term, term_words, tokens
+from palimpsest.plans.ordered import join_known
 from palimpsest.plans.spread import spread
 
 
@@ -170,14 +171,11 @@ def search_results(
     personas = webhooks.select(F.col("internal_id").alias("author_id"), F.col("username").alias("_persona"))
     # An unknown kind of author is looked up among the users; every hit stays.
     is_webhook = F.coalesce(F.col("author_kind") == "webhook", F.lit(False))
-    named = (
-        rows.withColumns({
-            "_person": F.when(~is_webhook, F.col("author_id")), "_number": F.when(is_webhook, F.col("author_id")),
-        })
-        .join(people.withColumnRenamed("author_id", "_person"), "_person", "left")
-        .join(personas.withColumnRenamed("author_id", "_number"), "_number", "left")
-        .drop("_person", "_number")
-    )
+    rows = rows.withColumns({
+        "_person": F.when(~is_webhook, F.col("author_id")), "_number": F.when(is_webhook, F.col("author_id")),
+    })
+    named = join_known(rows, people.withColumnRenamed("author_id", "_person"), "_person")
+    named = join_known(named, personas.withColumnRenamed("author_id", "_number"), "_number").drop("_person", "_number")
 
     own = channels.select(
         F.col("id").alias("channel_id"), F.col("name").alias("channel_name"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import decode_timing, snowflake_millis, time_bound
 from palimpsest.operators.capture import compact_snapshots
-from palimpsest.plans.ordered import HotKeys, carry, find_hot_keys, newest
+from palimpsest.plans.ordered import HotKeys, carry, find_hot_keys, join_known, newest
 from palimpsest.spec import REFERENCING_TYPES
 
 
@@ -321,14 +321,14 @@ def hydrate_interaction(
     name: str = "username",
     targets: DataFrame | None = None,
 ) -> DataFrame:
-    """Names of the interaction's user and target as of t; ``targets`` if they are stored apart."""
+    """Names of the interaction's user and target as of t; ``targets`` if they are stored apart.
+
+    Most messages are no interaction and lack both ids.
+    """
     people = as_of(users, t)
     aimed = people if targets is None else as_of(targets, t)
-    return messages.join(
-        people.select(F.col("id").alias(user), F.col(name).alias("interaction_user")), user, "left"
-    ).join(
-        aimed.select(F.col("id").alias(target), F.col(name).alias("interaction_target")), target, "left"
-    )
+    named = join_known(messages, people.select(F.col("id").alias(user), F.col(name).alias("interaction_user")), user)
+    return join_known(named, aimed.select(F.col("id").alias(target), F.col(name).alias("interaction_target")), target)
 
 
 def emojis_as_of(
@@ -344,7 +344,7 @@ def emojis_as_of(
     """Emojis at t with the uploader's name at t where the uploader is known."""
     rows = as_of_children(history, current, t, parent=parent, immutable=[uploader])
     people = as_of(users, t).select(F.col("id").alias(uploader), F.col(name).alias("uploader_name"))
-    return rows.join(people, uploader, "left")
+    return join_known(rows, people, uploader)
 
 
 def tags_as_of(history: DataFrame, current: DataFrame, t: int | None, channels: Sequence[int] | None = None) -> DataFrame:

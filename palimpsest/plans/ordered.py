@@ -23,6 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.plans.staging import staged
 
@@ -33,6 +34,8 @@ STEP = 64
 # There are at most two slices for each DEFAULT_HOT_ROWS rows. Up to this many borders (32 MB) are sent to
 # all executors; beyond that rows and borders are joined by key.
 BROADCAST_SLICES = 4_000_000
+# Rows that lack a join key are dealt to so many groups; a few digits cost a shuffle less than a whole hash.
+LACKING = 4096
 
 KEY_HASH = "_key_hash"
 KEY_CHECK = "_key_check"
@@ -70,6 +73,22 @@ def join_by_key(left: DataFrame, right: DataFrame, key: Sequence[str], how: str
     return met.drop(*renamed.values())
 
 
+def join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join on a key that many rows lack: these meet nothing and are dealt by their other columns, not to one task.
+
+    Both sides are joined on (key, number), where the number is 0 unless the key is NULL.
+    """
+    simple = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DatetimeType)
+    others = [f"`{f.name}`" for f in left.schema if isinstance(f.dataType, simple) and f.name != key]
+    dealt = F.when(F.col(key).isNull(), 1 + F.pmod(F.xxhash64(F.lit(0), *others), F.lit(LACKING))).otherwise(0).cast("long")
+    rows = left.withColumn("_known", F.struct(F.col(key).alias("key"), dealt.alias("dealt")))
+    # Structs of NULL are equal, so the right side must not hold one.
+    known = right.where(F.col(key).isNotNull()).withColumn(
+        "_known", F.struct(F.col(key).alias("key"), F.lit(0).cast("long").alias("dealt")))
+    met = rows.join(known.drop(key), "_known", "left").drop("_known")
+    return met.select(key, *[f"`{c}`" for c in met.columns if c != key])
+
+
 def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(DEFAULT_HOT_ROWS)))
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from palimpsest.operators import temporal as T
 from palimpsest.operators.capture import compact_snapshots
 
@@ -95,3 +97,29 @@ def test_one_count_for_compaction_and_neighbours(spark, tmp_path, hot_mode):
     if hot_mode == "plain":
         for plan in plans:
             assert plan.count("Scan parquet") == 1 and plan.count("Exchange") == 1
+
+
+def test_rows_without_interaction_are_dealt(spark):
+    messages = spark.range(4000).select(
+        "id", F.when(F.col("id") % 100 == 0, F.col("id") % 7).cast("int").alias("interaction_user_id"),
+        F.when(F.col("id") % 50 == 0, F.col("id") % 5).alias("interaction_target_id"), F.array("id").alias("many"),
+    )
+    users = spark.createDataFrame([(i, 0, f"u{i}") for i in range(6)] + [(None, 0, "nobody")], "id long, ts long, username string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        full = T.hydrate_interaction(messages, users, None)
+        assert full.columns == [
+            "interaction_target_id", "interaction_user_id", "id", "many", "interaction_user", "interaction_target"]
+        rows = full.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 4000
+    for r in rows:
+        user, target = r["interaction_user_id"], r["interaction_target_id"]
+        assert r["interaction_user"] == (None if user is None or user > 5 else f"u{user}")
+        assert r["interaction_target"] == (None if target is None else f"u{target}")
+    tasks = [r["task"] for r in rows]
+    assert max(map(tasks.count, set(tasks))) < 1000
