@@ -100,12 +100,14 @@ def _decode(raw: Column, leaf: Leaf, present: Column) -> Column:
     return raw.try_cast(KIND_TYPES[kind])
 
 
-def flatten_object(df: DataFrame, payload: str, spec: Spec, keep: Sequence[str] = ()) -> DataFrame:
+def flatten_object(
+    df: DataFrame, payload: str, spec: Spec, keep: Sequence[str] = (), *, dealt: bool = False
+) -> DataFrame:
     """Columns ``a__b`` for the leaves of a JSON document; ignored keys vanish.
 
-    Leaves of an absent sub-object are NULL, strict booleans included.
+    Leaves of an absent sub-object are NULL, strict booleans included. ``dealt``: the rows are spread already.
     """
-    parsed = spread(df).withColumn("_doc", F.from_json(payload, payload_schema(spec)))
+    parsed = (df if dealt else spread(df)).withColumn("_doc", F.from_json(payload, payload_schema(spec)))
     columns = []
     for path, leaf in _leaves(spec):
         parent = F.col(".".join(["_doc", *path[:-1]]))
@@ -229,12 +231,17 @@ def _export_map(spec: Spec, residual: Column, path: tuple[str, ...]) -> tuple[Co
     return F.map_concat(own, rest), exists
 
 
-def export_documents(df: DataFrame, spec: Spec, extra: str = "_extra", id_: str = "id") -> DataFrame:
-    """(id, json): the nested document with the residual merged in and the null policy undone."""
+def export_documents(
+    df: DataFrame, spec: Spec, extra: str = "_extra", id_: str = "id", *, dealt: bool = False
+) -> DataFrame:
+    """(id, json): the nested document with the residual merged in and the null policy undone.
+
+    ``dealt``: the rows are spread already.
+    """
     document, _ = _export_map(spec, F.try_parse_json(F.col(extra)), ())
     # Through a variant once more, which sorts the keys.
     text = F.to_json(F.parse_json(F.to_json(document)))
-    return spread(df).select(F.col(id_).alias("id"), text.alias("json"))
+    return (df if dealt else spread(df)).select(F.col(id_).alias("id"), text.alias("json"))
 
 
 def known_paths(spec: Spec, path: str = "") -> list[tuple[str, str]]:

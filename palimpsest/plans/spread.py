@@ -8,10 +8,13 @@ TASKS_SETTING = "spark.palimpsest.spreadTasks"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to as many tasks as the setting says; unchanged without it, and on streams.
+    """Rows dealt to as many tasks as the setting says, else to those of a shuffle or one for each core; 0 and streams
+    leave them where they are.
 
-    A scan cannot split a row group, so with few large files most cores may be idle in parsing or text work; only
-    the user knows whether that is worth a shuffle.
+    A scan cannot split a row group, so with few of them most cores would be idle in parsing or text work, which costs
+    more than the shuffle.
     """
-    tasks = df.sparkSession.conf.get(TASKS_SETTING, None)
-    return df.repartition(int(tasks)) if tasks and not df.isStreaming else df
+    session = df.sparkSession
+    tasks = int(session.conf.get(TASKS_SETTING, None) or max(
+        session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(tasks) if tasks and not df.isStreaming else df

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import documents as D
 from palimpsest.functions import scalars as P
 from palimpsest.spec import MESSAGE, OBJECT_TYPES, USER
+from workload import ALL_QUERIES
+from workload.registry import Tables
 
 
 def value(spark, column):
@@ -102,3 +104,10 @@ def test_collapse_empty_struct(spark):
     full = F.struct(F.lit("x").alias("tag"), F.lit(False).alias("on"))
     assert value(spark, P.collapse_empty_struct(empty, ["tag", "on"])) is None
     assert value(spark, P.collapse_empty_struct(full, ["tag", "on"]))["tag"] == "x"
+
+
+def test_round_trips_of_one_file_are_spread(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("S6_round_trip_message", "S6_round_trip_role"):
+        rows = ALL_QUERIES[name].run(Tables(spark, str(tmp_path))).withColumn("task", F.spark_partition_id()).collect()
+        assert len(rows) == 100 and len({r["task"] for r in rows}) >= 8
