@@ -13,6 +13,8 @@ from palimpsest.functions.scalars import ColumnOrName, col
 # Letters, digits, private-use characters and marks on them; all else separates words.
 WORD_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
 COMBINING_MARKS = r"[\u0300-\u036f]"
+# What ``WORD_BREAK`` is in text of ASCII characters in lower case.
+ASCII_BREAK = "[^a-z0-9]+"
 
 
 def _one_mark_letters() -> tuple[str, str]:
@@ -39,8 +41,10 @@ def fold(text: ColumnOrName) -> Column:
 
 
 def tokens(text: ColumnOrName) -> Column:
-    """Folded words in order."""
-    return F.filter(F.split(fold(text), WORD_BREAK), lambda t: t != "")
+    """Folded words in order; ASCII text has no accents to take off and a plainer word break."""
+    words = F.when(col(text).rlike(r"[^\x00-\x7F]"), F.split(fold(text), WORD_BREAK)).otherwise(
+        F.split(F.lower(col(text)), ASCII_BREAK))
+    return F.filter(words, lambda t: t != "")
 
 
 def fold_term(term: str) -> str:

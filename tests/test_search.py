@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import tokens
 from palimpsest.operators import search as X
 from palimpsest.sources import archive, segments
 
@@ -143,3 +144,30 @@ def test_terms_reach_the_scan(spark, tmp_path):
         (X.search_prefix(segments.read_index(spark, path), "ca"), "StringStartsWith(token,ca)"),
     ):
         assert found._jdf.queryExecution().executedPlan().toString().count(pushed) == 2
+
+
+def test_words_of_ascii_text(spark):
+    rows = spark.createDataFrame([(1, " A-b_c9\x00D\x7fE\t"), (2, " A-b_c9\x00D\x7fÉ\t"), (3, None), (4, "--"), (5, "")], "id long, content string")
+    got = {r["id"]: r["w"] for r in rows.select("id", tokens("content").alias("w")).collect()}
+    assert got == {1: ["a", "b", "c9", "d", "e"], 2: ["a", "b", "c9", "d", "e"], 3: None, 4: [], 5: []}
+
+
+def test_an_index_is_computed_once(spark, tmp_path):
+    count = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        count.add(1)
+        return i
+
+    # Uneven tasks, which a search for ranges reads once more.
+    rows = spark.range(3000).select((F.col("id") + 0).alias("id")).repartition(1).union(spark.range(3000, 3001))
+    postings = rows.select(F.concat(F.lit("w"), F.col("id")).alias("token"), F.udf(seen, "long")("id").alias("id"), F.array(F.lit(0)).alias("positions"))
+    segments.write_index(postings, str(tmp_path / "index"))
+    assert count.value == 3001
+    assert segments.read_index(spark, str(tmp_path / "index")).count() == 3001
+
+
+def test_texts_of_one_file_are_spread(spark, tmp_path):
+    spark.createDataFrame([(i, "some words") for i in range(100)], "id long, content string").coalesce(1).write.parquet(str(tmp_path / "texts"))
+    postings = X.build_index(spark.read.parquet(str(tmp_path / "texts")))
+    assert postings.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
