@@ -7,20 +7,21 @@ log odds of the predictors are combined by weights, one set for each gate (place
 context). Every block of documents starts with equal weights and refines them over its training text, each bit judged
 by counts without itself; the blocks' weights, weighed by their curvature, make one set, and all texts are scored with it.
 Bits add up to the log probability. Every byte of every text is scored where it stands; bytes that agree in the four bytes
-before them and in the word so far form a state, which a block works out once.
+before them and in the word so far form a state, which a block works out once. A token's first four bytes depend on the four
+before it, the rest on the word alone, so a block spells its distinct words, and distinct first bytes after distinct bytes before, and not each byte.
 
 All counts come from the training documents, those whose crc32 of the id as text is not 0 modulo 10, and are exact:
 for each context and next byte, a block sends the number of its own training text, packed by hash range, and gets back in
-the same order how often the corpus goes that way after the context, down to each bit. So nothing of the counts is
+the same order how often the corpus goes that way after the context, down to each bit, as a tree in which keys of a context share what they share. So nothing of the counts is
 broadcast, their number follows the corpus, and the counts behind a score depend on the text, not on its block. The count of
 a word is that of its closing space. Training texts are scored with their own counts among those of the corpus, so their scores
 don't compare with the scores of held-out texts.
 
-The rows of a task are put in the order of a hash, ``WINDOW_BLOCKS`` blocks' worth at a time, so that copies side by side part, and
-cut into blocks of at most about ``BLOCK_BYTES`` of text, which are written once; a longer text is a block of its own. Hash ranges
+The rows of a task are put in the order of a hash, ``WINDOW_BYTES`` of text at a time, so that copies side by side part, and
+cut into blocks of at most about ``BLOCK_BYTES`` of text, which are written once as words and tokens; a longer text is a block of its own. Hash ranges
 are as many as shuffle partitions, each in frames that hold the keys of about ``RANGE_BYTES`` of text, so that a task counts one frame at a time.
 A block and a range share a row only if the block has keys there: there are never more rows than blocks times shuffle partitions, nor than keys.
-The text is shuffled once, packed, to meet the counts; what met is written, and learning and scoring need no other shuffle.
+The tokens are shuffled once, packed, to meet the counts; what met is written, and learning and scoring need no other shuffle.
 
 Defined results: NULL and empty texts have the end as their only token; a NULL id counts as empty text, whose remainder is
 0; repeated rows count and are scored each; without training tokens N and V are 0; an empty table gives an empty result.
@@ -50,7 +51,7 @@ RANGE_BYTES = 32 << 20
 ORDERS = 4
 WORD = ORDERS - 1
 PRIOR = 0.4
-TRUST = np.array([0.5, 2.5, 8.5, 64.5, 1024.5])
+TRUST = (0, 2, 8, 64, 1024)
 LEVELS = len(TRUST) + 1
 GATES = 8 * LEVELS
 RIDGE = 1.0
@@ -59,6 +60,7 @@ LARGEST = 0.5
 STEP = 2048
 LEAST_STEPS = 64
 CHUNK = 1 << 14
+EVIDENCE = 1 << 12
 SLICE = 1 << 19
 SPACE = 32
 START = 10
@@ -370,12 +372,14 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 def evidence(way: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of the bit that came against the other one, and trust, for the eight bits of each key; ``own`` takes one count off."""
-    odds, trust = np.zeros((len(way), 8), np.float32), np.zeros((len(way), 8), np.int8)
-    for a in range(0, len(way), CHUNK):
-        some = np.maximum(way[a : a + CHUNK] - int(own), 0)
-        right, both = some[:, 1:], some[:, :8]
-        odds[a : a + CHUNK] = np.log((right + PRIOR) / (both - right + PRIOR))
-        trust[a : a + CHUNK] = np.searchsorted(TRUST, both)
+    odds, trust = np.empty((len(way), 8), np.float32), np.zeros((len(way), 8), np.int8)
+    for a in range(0, len(way), EVIDENCE):
+        here = slice(a, a + EVIDENCE)
+        some = np.maximum(way[here] - int(own), 0).astype(float)
+        right, both = some[:, 1:].copy(), some[:, :8].copy()
+        for least in TRUST:
+            trust[here] += both > least
+        odds[here] = np.log((right + PRIOR) / (both - right + PRIOR))
     return odds, trust
 
 
@@ -447,7 +451,7 @@ def state_bits(states: BlockStates, odds: np.ndarray, trust: np.ndarray, weights
         some = np.arange(a, min(a + CHUNK, len(spent)))
         seen, gate = state_evidence(states, odds, trust, some)
         z = np.einsum("ij,ij->i", seen, weights[gate]).astype(float)
-        spent[some] = np.logaddexp(0, -z).reshape(-1, 8).sum(1) / np.log(2)
+        spent[some] = (np.maximum(-z, 0) + np.log1p(np.exp(-np.abs(z)))).reshape(-1, 8).sum(1) / np.log(2)
     return spent
 
 
