@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.textops import LOWER, NOT_SPACE, shingle_hashes, slices, utf8, word_bounds, word_hashes
+from palimpsest.llm.textops import (
+    LOWER, NOT_SPACE, give_back, in_small_batches, shingle_hashes, slices, utf8, word_bounds, word_hashes,
+)
 from palimpsest.plans.staging import staged
 
 WIDTH = 5
@@ -42,6 +44,8 @@ BLOCKS = 128
 # Ids that are sent to all executors to pick texts (8 bytes each); beyond that texts are joined by id.
 BROADCAST_IDS = 2_000_000
 COUNTED_BITS = 40
+# Shingles (8 bytes each) that a task holds before it counts and sends them.
+HELD_SHINGLES = 4_000_000
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -59,6 +63,54 @@ def enough(overlap: np.ndarray, one: np.ndarray, other: np.ndarray, s: Fraction
     return s.denominator * overlap >= s.numerator * (one + other - overlap)
 
 
+def runs(ascending: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    if not len(ascending):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(ascending[1:] != ascending[:-1]) + 1, [len(ascending)]])
+
+
+def packed_columns(held: list[np.ndarray], parts: int, step: int) -> tuple[list[bytes], list[bytes]]:
+    """For each range of columns the distinct ones among ``held`` and how often each occurs; empties ``held``."""
+    pack = zstandard.ZstdCompressor(level=1)
+    every = np.concatenate(held)
+    held.clear()
+    every.sort()
+    at = runs(every)
+    columns, n = every[at[:-1]], np.minimum(np.diff(at), 65535).astype("<u2")
+    del every, at
+    cuts = np.searchsorted(columns, np.arange(parts + 1, dtype=np.uint64) * np.uint64(step))
+    packed = [
+        pack.compress(np.diff(columns[a:b], prepend=np.uint64(p * step)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:]))
+    ]
+    return packed, [pack.compress(n[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+
+
+def added_columns(blobs: list[tuple[bytes, bytes]], base: int, more_than: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of one range, ascending, and their counts over all blobs, where they exceed ``more_than``; empties ``blobs``.
+
+    A column and its count are one number, sorted in place.
+    """
+    unpack = zstandard.ZstdDecompressor()
+    every = []
+    while blobs:
+        packed, n = blobs.pop()
+        raw = np.frombuffer(unpack.decompress(packed), np.uint8)
+        one = np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8")[:, 0]) << np.uint64(16)
+        one |= np.frombuffer(unpack.decompress(n), "<u2")
+        every.append(one)
+    joined = np.concatenate(every)
+    every.clear()
+    joined.sort()
+    n = (joined & np.uint64(65535)).astype(np.int64)
+    joined >>= np.uint64(16)
+    at = runs(joined)[:-1]
+    total = np.add.reduceat(n, at) if len(at) else n
+    keep = total > more_than
+    return (joined[at[keep]] + np.uint64(base)).astype(np.int64), total[keep]
+
+
 def frequent_columns(docs: DataFrame, text: str, width: int) -> DataFrame:
     """(column, n): the first COUNTED_BITS bits of shingles in more than FREQUENT documents.
 
@@ -70,18 +122,12 @@ def frequent_columns(docs: DataFrame, text: str, width: int) -> DataFrame:
     step = -(-(1 << COUNTED_BITS) // parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        give_back()
         held: list[np.ndarray] = []
         size = 0
 
         def sent() -> pa.RecordBatch:
-            columns, n = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(columns, np.arange(parts + 1, dtype=np.uint64) * np.uint64(step))
-            packed = [
-                pack.compress(np.diff(columns[a:b], prepend=np.uint64(p * step)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
-                for p, (a, b) in enumerate(zip(cuts, cuts[1:]))
-            ]
-            counts = [pack.compress(np.minimum(n[a:b], 65535).astype("<u2").tobytes()) for a, b in zip(cuts, cuts[1:])]
+            packed, counts = packed_columns(held, parts, step)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(parts, dtype=np.int32)), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())],
                 names=["part", "columns", "n"])
@@ -91,31 +137,23 @@ def frequent_columns(docs: DataFrame, text: str, width: int) -> DataFrame:
                 for one in shingle_sets(piece.column(0), width):
                     held.append(one >> np.uint64(64 - COUNTED_BITS))
                     size += len(one)
-            if size > 4_000_000:
-                yield sent()
-                held, size = [], 0
+                if size > HELD_SHINGLES:
+                    yield sent()
+                    size = 0
         if size:
             yield sent()
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        give_back()
         by_part: dict[int, list] = {}
         for batch in batches:
             for part, columns, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 by_part.setdefault(part, []).append((columns, n))
         for part, blobs in by_part.items():
-            columns, counts = [], []
-            for packed, n in blobs:
-                raw = np.frombuffer(unpack.decompress(packed), np.uint8)
-                columns.append(np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8")[:, 0]) + np.uint64(part * step))
-                counts.append(np.frombuffer(unpack.decompress(n), "<u2"))
-            every, n = np.concatenate(columns), np.concatenate(counts).astype(np.int64)
-            order = np.argsort(every, kind="stable")
-            every, n = every[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
-            total = np.add.reduceat(n, first) if len(first) else n
-            keep = total > FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(every[first][keep].astype(np.int64)), pa.array(total[keep])], names=["column", "n"])
+            columns, total = added_columns(blobs, part * step, FREQUENT)
+            yield pa.RecordBatch.from_arrays([pa.array(columns), pa.array(total)], names=["column", "n"])
+        give_back()
 
     return (
         docs.select(text).mapInArrow(count, "part int, columns binary, n binary")
@@ -139,6 +177,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, width: int, s: Fracti
     shared = docs.sparkSession.sparkContext.broadcast(column_order(docs, text, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         frequent, counts = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
@@ -157,6 +196,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, width: int, s: Fracti
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(blocks, pa.binary()),
                      pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "n", "set", "blocks", "first"])
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, n long, set long, blocks binary, first array<long>")
@@ -173,6 +213,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
             full = ((one == 255) & (other == 255)).any(1)
             most = np.where(full, np.minimum(*n), most)
             yield batch.filter(pa.array(enough(most, *n, s))).select(["a", "b"])
+        give_back()
 
     left = sets.select(F.col("set").alias("x"), F.col("doc_id").alias("a"), F.col("blocks").alias("one"), F.col("n").alias("n_one"))
     right = sets.select(F.col("set").alias("y"), F.col("doc_id").alias("b"), F.col("blocks").alias("other"), F.col("n").alias("n_other"))
@@ -202,6 +243,7 @@ class Verifier:
         texts = self.texts(pairs)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 for part in slices(batch, "one"):
                     good = []
@@ -220,12 +262,14 @@ class Verifier:
                         overlap = len(np.intersect1d(one, two, assume_unique=True))
                         good.append(bool(len(one)) and bool(enough(overlap, len(one), len(two), s)))
                     yield part.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+            give_back()
 
         met = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "one"}), "a").join(
             texts.withColumnsRenamed({"id": "b", "text": "two"}), "b").select("a", "b", "one", "two")
         return met.mapInArrow(count, "a long, b long")
 
 
+@in_small_batches
 def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
                    similarity: Fraction = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, representative) of every row.

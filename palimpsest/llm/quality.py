@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textops import LETTERS, LOWER, mixed, slices, utf8, with_fields, word_bounds, word_hashes
+from palimpsest.llm.textops import LETTERS, LOWER, SLICE_BYTES, give_back, mixed, slices, utf8, with_fields, word_bounds, word_hashes
 
 BITS = 18
 FIT_ROWS = 3000
@@ -31,6 +31,8 @@ SCALE = 30.0
 LEAST = 0.5
 # 0 leaves the features as they are, 0.5 gives all the same variance.
 EVEN = 0.25
+# Bytes of text whose features are made at once, about a hundred bytes for each of text.
+SCORED_BYTES = SLICE_BYTES // 4
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,8 +133,9 @@ def train(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id", text:
     )
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SCORED_BYTES):
                 number, value, row, words = features(*utf8(part.column(2)), bits)
                 key, where = np.unique(row * (1 << bits) + number, return_inverse=True)
                 summed = np.bincount(where, value, minlength=len(key))
@@ -142,6 +145,7 @@ def train(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id", text:
                     pa.ListArray.from_arrays(ends, pa.array((key & ((1 << bits) - 1)).astype(np.int32))),
                     pa.ListArray.from_arrays(ends, pa.array(summed.astype(np.float32))),
                 ], names=["_id", "_grade", "_words", "_number", "_value"])
+        give_back()
 
     # At most fit_rows ids are sent to the executors.
     rated = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
@@ -171,9 +175,10 @@ def classify(docs: DataFrame, ratings: DataFrame, *, good: int, doc_id: str = "d
     schema = with_fields(docs, "_expected_grade double, _tail_probability double, _kept boolean")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         known = shared.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SCORED_BYTES):
                 column = part.column(part.schema.get_field_index(text))
                 if known is None:
                     words = features(*utf8(column))[3]
@@ -187,5 +192,6 @@ def classify(docs: DataFrame, ratings: DataFrame, *, good: int, doc_id: str = "d
                     [*part.columns, pa.array(tails.sum(1)), pa.array(tail), pa.array((tail >= least) & (words > 0))],
                     names=[*part.schema.names, "_expected_grade", "_tail_probability", "_kept"],
                 )
+        give_back()
 
     return docs.mapInArrow(judge, schema)

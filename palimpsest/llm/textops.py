@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 2 << 20
+# Spark fills an Arrow batch with 10,000 rows or 64 MB, and grows its columns by doubling them outside the heap.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -89,6 +93,23 @@ def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def in_small_batches(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The jobs that ``run(docs, ...)`` itself starts hand rows to Python in Arrow batches of about BATCH_BYTES, where the session
+    has no setting of its own."""
+    @wraps(run)
+    def run_in_small_batches(docs: DataFrame, *args, **how) -> DataFrame:
+        conf = docs.sparkSession.conf
+        if conf.get(BATCH_SETTING, None) is not None:
+            return run(docs, *args, **how)
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+        try:
+            return run(docs, *args, **how)
+        finally:
+            conf.unset(BATCH_SETTING)
+
+    return run_in_small_batches
+
+
 def give_back() -> None:
     """Return to the system what earlier work left in this worker: cached powers, Arrow's pool, and freed heap where the C library can."""
     _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
